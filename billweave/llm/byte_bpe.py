@@ -170,7 +170,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``doc_id, ids`` of every row."""
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col))
-    return map_rows(rows, lambda: lambda c: [c[0], [x.tolist() for x in codec(path, pattern).encode(c[1])]], f"doc_id {key}, ids array<int>")
+    return map_rows(rows, lambda: lambda c: [c[0], codec(path, pattern).encode(c[1])], f"doc_id {key}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -180,6 +180,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return map_rows(rows, lambda: lambda c: [c[0], codec(path, pattern).decode([np.array(x, np.int32) for x in c[1]])], f"doc_id {key}, content binary")
 
 
+def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decodes``: the ids, and whether they decode to the text's bytes."""
+    key = docs.schema[id_col].dataType.simpleString()
+
+    def make():
+        def work(columns):
+            coder = codec(path, pattern)
+            ids = coder.encode(columns[1])
+            return [columns[0], list(map(len, ids)), ids, [t.encode() == b for t, b in zip(columns[1], coder.decode(ids))]]
+
+        return work
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col))
+    return map_rows(rows, make, f"doc_id {key}, n_tokens long, ids array<int>, decodes boolean")
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encoding, digest and decoding in one pass, so that ids need not be stored."""
     key = docs.schema[id_col].dataType.simpleString()

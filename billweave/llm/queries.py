@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, ledger, pfor, secrets, simhash, token_counts
+from . import byte_bpe, cotrain, decontaminate, html_text, kneser_ney, ledger, pfor, secrets, simhash, token_counts
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -28,22 +28,43 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger.apply_policy(ledger.ledger(table(spark, sf_dir, "documents")), "v1")
     base_failed = F.col("failed_bits").bitwiseAND(F.lit(ledger.mask_of("base"))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), "kept", "n_lines", "failed_bits")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = pfor.write(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_JSON), END_ID)
     return pfor.read(files)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = kneser_ney.held_out("doc_id")
+    model = kneser_ney.train(docs.where(~held_out))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words.total).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 OP7_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 tokens AS (
@@ -85,5 +106,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM judged
 """
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_secret_scan, op5_simhash_dedup, op7_quality_rules, op9_token_file)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_token_counts,
+        op3_secret_scan,
+        op4_decontaminate,
+        op5_simhash_dedup,
+        op6_cotrained_quality,
+        op7_quality_rules,
+        op8_main_text,
+        op9_token_file,
+        op10_lm_score,
+    )
+}
 ORACLES = {"op7_quality_rules": OP7_SQL}

@@ -196,7 +196,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with a null id stay only where their whole group has none: then one of them.
     """
-    g = groups(docs, id_col, text_col, radius, k)
-    keep = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fp").alias("fp")).select("doc_id")
-    kept = docs.join(keep.withColumnRenamed("doc_id", "__keep"), F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    g = cut(groups(docs, id_col, text_col, radius, k))
+    same = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = cut(same.withColumnRenamed("doc_id", "__keep"))
+
+    def kept(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+
+    repeated = keep.where("n > 1")
+    if repeated.isEmpty():
+        return kept(keep)
+    return kept(keep.where("n = 1")).unionByName(kept(repeated).dropDuplicates([id_col]))
