@@ -1,0 +1 @@
+"""Bill and quotation analytics on Spark DataFrames."""
