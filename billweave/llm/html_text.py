@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, map_rows
 
 #: A subtree is a template if it stands on this many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.02
@@ -170,46 +170,49 @@ def main_blocks(html: str) -> list[tuple[str, list[int]]]:
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
+def _row():
+    return F.xxhash64("page_id", "url", "html").alias("row")
+
+
 def _host():
     return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), _HOST, 1)).alias("host")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, mark``: subtree hashes that recur on many different pages of their host."""
+def marked(pages: DataFrame) -> DataFrame:
+    """``row, host, page, marks`` of every row: hashes of the row, of its main text and of its possible templates."""
 
     def make():
         def work(columns):
-            out = ([], [], [])
-            for host, html in zip(*columns):
-                blocks = main_blocks(html)
-                page = xxhash.xxh64_intdigest(" ".join(t for t, _ in blocks)) - (1 << 63)
-                out[0].append(host), out[1].append(page), out[2].append(sorted({m for _, marks in blocks for m in marks}))
-            return out
+            rows, hosts, htmls = columns
+            found = list(map(main_blocks, htmls))
+            texts = [xxhash.xxh64_intdigest(" ".join(t for t, _ in b)) - (1 << 63) for b in found]
+            return [rows, hosts, texts, [sorted({m for _, marks in b for m in marks}) for b in found]]
 
         return work
 
-    found = map_rows(pages.select(_host(), F.coalesce("html", F.lit("")).alias("text")), make, "host string, page long, marks array<long>")
+    rows = pages.select(_row(), _host(), F.coalesce("html", F.lit("")).alias("text"))
+    return map_rows(rows, make, "row long, host string, page long, marks array<long>")
+
+
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, mark``: subtree hashes of ``marked`` pages that recur on many different pages of their host."""
     sizes = found.groupBy("host").agg(F.approx_count_distinct("page").alias("n_host"))
     often = found.select("host", "page", F.explode("marks").alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return often.join(sizes, "host").where(F.col("n") >= min_share * F.col("n_host")).select("host", "mark")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``page_id, url, text`` of every row."""
+    """``page_id, url, text`` of every row. Pages are parsed once for the hashes, which are small and kept, and once for the text."""
     key = pages.schema["page_id"].dataType.simpleString()
+    found = cut(marked(pages))
+    # copies of a row share its hash, and have the same marks
+    hit = found.select("row", "host", F.explode("marks").alias("mark")).distinct().join(templates(found, min_pages, min_share), ["host", "mark"])
+    gone = hit.groupBy("row").agg(F.collect_set("mark").alias("gone"))
 
     def make():
-        def work(columns):
-            row, page_id, url, host, html = columns
-            blocks = list(map(main_blocks, html))
-            return [row, page_id, url, host, [[{"text": t, "marks": m} for t, m in b] for b in blocks], [sorted({x for _, m in b for x in m}) for b in blocks]]
-
-        return work
+        return lambda c: [*c[:-1], [[{"text": t, "marks": m} for t, m in main_blocks(html)] for html in c[-1]]]
 
-    rows = pages.select(F.xxhash64("page_id", "url", "html").alias("row"), "page_id", "url", _host(), F.coalesce("html", F.lit("")).alias("text"))
-    parsed = map_rows(rows, make, f"row long, page_id {key}, url string, host string, blocks array<struct<text:string,marks:array<bigint>>>, marks array<long>")
-    # copies of a row share its hash, and have the same marks
-    hit = parsed.select("row", "host", F.explode("marks").alias("mark")).distinct().join(templates(pages, min_pages, min_share), ["host", "mark"])
-    gone = hit.groupBy("row").agg(F.collect_set("mark").alias("gone"))
+    rows = pages.select(_row(), "page_id", "url", F.coalesce("html", F.lit("")).alias("text"))
+    parsed = map_rows(rows, make, f"row long, page_id {key}, url string, blocks array<struct<text:string,marks:array<bigint>>>")
     left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.coalesce("gone", F.array().cast("array<long>"))))
     return parsed.join(gone, "row", "left").select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), " ").alias("text"))
