@@ -30,21 +30,21 @@ from pyspark.sql import functions as F
 from .common import map_rows, text_of
 
 #: Bounds of the fitting samples, and of the features a view keeps.
-LABELLED, UNLABELLED, FEATURES = 12_000, 4_000, 6_000
+LABELLED, UNLABELLED, FEATURES = 8_000, 3_000, 6_000
 ROUNDS, SURE_BAD, SURE_GOOD = 3, 0.97, 0.97
 THRESHOLD = 0.5
 #: Features up to which a row is taken in full.
 USUAL = 300
 #: Shares at which content shape has a feature; such features are numbered from PLAIN and count in full.
 STEPS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
-PLAIN, SHAPE_VALUE = 1 << 32, 2.0
+PLAIN, SHAPE_VALUE = 1 << 30, 2.0
 REMEMBER = 300_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SYMBOLS, _UPPER = b"#*$%&|<>~^{}\\", bytes(range(0x41, 0x5B))
 
 
 def feature(name: str | bytes) -> int:
-    return xxhash.xxh32_intdigest(name)
+    return xxhash.xxh32_intdigest(name) & 0x3FFFFFFF
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -117,11 +117,11 @@ class Rows:
 
     def __init__(self, rows: list):
         sizes = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows)), sizes)
-        self.f = np.fromiter((x for r in rows for x in r), np.int64, len(self.row))
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        self.f = np.concatenate(rows).astype(np.int32, copy=False) if len(rows) else np.empty(0, np.int32)
         self.n = len(rows)
         #: A row's features count less in long rows, so that many faint words don't outweigh a few plain ones.
-        self.value = np.where(self.f >= PLAIN, SHAPE_VALUE, np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))[self.row])
+        self.value = np.where(self.f >= PLAIN, SHAPE_VALUE, np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))[self.row]).astype(np.float32)
 
 
 class View:
@@ -131,11 +131,11 @@ class View:
         self.features, self.w, self.b = np.empty(0, np.int64), np.empty(0), 0.0
 
     def fit(self, x: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2: float = 1.0) -> View:
-        pairs = np.unique(x.f << 24 | x.row)  # presence, for the significance of a feature
-        f, inverse = np.unique(pairs >> 24, return_inverse=True)
-        row = pairs & 0xFFFFFF
-        n1 = np.bincount(inverse, y[row])
-        n = np.bincount(inverse).astype(float)
+        pairs = np.unique(x.f.astype(np.int64) << 24 | x.row)  # presence, for the significance of a feature
+        first = np.flatnonzero(np.append(True, np.diff(pairs >> 24) != 0)) if len(pairs) else np.empty(0, np.int64)
+        f, n = pairs[first] >> 24, np.diff(np.append(first, len(pairs))).astype(float)
+        n1 = np.add.reduceat(y[pairs & 0xFFFFFF], first) if len(first) else np.empty(0)
+        del pairs
         p, total = y.mean(), len(y)
         with np.errstate(divide="ignore", invalid="ignore"):
             def part(a, e):
@@ -198,10 +198,18 @@ class Model:
         return sigmoid(np.column_stack([*z, np.ones(text.n)]) @ self.combination)
 
 
+def frequent(rows: list[np.ndarray], least: int = 5) -> np.ndarray:
+    """Features of at least so many rows: no rarer one can be significant."""
+    found, counts = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True) if rows else (np.empty(0, np.int32), np.empty(0, int))
+    return found[counts >= least]
+
+
 def cotrain(text: list, meta: list, y: np.ndarray, u_text: list, u_meta: list, rounds: int = ROUNDS) -> Model | None:
     """Fit on labelled rows and unlabelled ones; None if a class has fewer than ten labels."""
     if min(y.sum(), (1 - y).sum()) < 10:
         return None
+    known = frequent([*text, *u_text])
+    text, u_text = ([x[known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x] for x in rows] if len(known) else rows for rows in (text, u_text))
     held = np.arange(len(y)) % 4 == 3
     own = np.flatnonzero(~held)
     extra = [{}, {}]  # rows of the unlabelled sample each view has been given, with their labels
@@ -230,11 +238,11 @@ def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def make():
         read = Reader()
-        return lambda c: [*c[:-4], *zip(*[(read.text(t), layout(t, a, b, n)) for a, b, n, t in zip(*c[-4:])])] if c[-1] else [[] for _ in range(len(c) - 2)]
+        return lambda c: [*c[:-4], *zip(*[(np.array(read.text(t), np.int32), np.array(layout(t, a, b, n), np.int32)) for a, b, n, t in zip(*c[-4:])])] if c[-1] else [[] for _ in range(len(c) - 2)]
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
     rows = docs.select(*keep, F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), text_of("text"))
-    return map_rows(rows, make, f"{kinds}, text_features array<long>, meta_features array<long>")
+    return map_rows(rows, make, f"{kinds}, text_features array<int>, meta_features array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
@@ -246,11 +254,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad")
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
     mine = columns.join(F.broadcast(part.select("doc_id", bad)), "doc_id").select("doc_id", "bad", "text", "lang", "source", "n_chars")
-    got = _features(mine, ["doc_id", "bad"]).toPandas().sort_values("doc_id", kind="stable")
+    got = _features(mine, ["doc_id", "bad"]).toArrow().sort_by("doc_id")
     n_docs = columns.count()
     free = columns.where(place < int((1 << 20) * min(1.0, unlabelled / max(1, n_docs)))).join(worst.select("doc_id"), "doc_id", "left_anti")
-    other = _features(free, ["doc_id"]).toPandas().sort_values("doc_id", kind="stable")
-    return cotrain(list(got["text_features"]), list(got["meta_features"]), got["bad"].to_numpy(float), list(other["text_features"]), list(other["meta_features"]))
+    other = _features(free, ["doc_id"]).toArrow().sort_by("doc_id")
+    return cotrain(_rows(got, "text_features"), _rows(got, "meta_features"), got["bad"].to_numpy().astype(float), _rows(other, "text_features"), _rows(other, "meta_features"))
+
+
+def _rows(table: pa.Table, name: str) -> list[np.ndarray]:
+    """A column of lists as arrays, without copies."""
+    out = []
+    for chunk in table[name].chunks:
+        flat, ends = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(ends, ends[1:])]
+    return out
 
 
 def bad_probability(model: Model | None, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
