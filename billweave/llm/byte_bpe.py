@@ -28,32 +28,37 @@ from pyspark.sql import functions as F
 from .common import map_rows, text_of
 from .units import PATTERN, units
 
-#: Words a query takes at once, and words (units, runs) a worker remembers.
-AT_ONCE, REMEMBER = 30_000, 400_000
+#: Words a query takes at once, and words, and units or runs, in one generation of what a worker remembers.
+AT_ONCE, WORDS, REMEMBER = 100_000, 600_000, 250_000
+
+#: Documents taken together: new words are learned from all of them by one recursive query, which builds its join tables once a round.
+DOCUMENTS = 6000
 
 #: A pair's key orders by rank and then place: rank times 2^32, plus position.
 _ENCODE = """
 WITH RECURSIVE step(word, pos, id, live) AS (
     SELECT word, pos, id, true FROM fresh
-  UNION ALL
-    SELECT word, pos,
-           CASE WHEN pos = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE id END,
-           best IS NOT NULL
-    FROM (
-        SELECT s.word, s.pos, s.id, s.before,
-               min((m.rank::BIGINT << 32) | s.pos) OVER (PARTITION BY s.word) AS best
+  UNION ALL (
+    WITH paired AS MATERIALIZED (
+        SELECT s.word, s.pos, s.id, s.before, (m.rank::BIGINT << 32) | s.pos AS key
         FROM (
             SELECT word, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
             FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
         ) s LEFT JOIN merges m ON m.left_id = s.id AND m.right_id = s.next_id
-    )
+    ),
+    leftmost AS (SELECT word, min(key) AS best FROM paired GROUP BY word)
+    SELECT p.word, p.pos,
+           CASE WHEN p.pos = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE p.id END,
+           best IS NOT NULL
+    FROM paired p JOIN leftmost USING (word)
     WHERE best IS NULL OR before IS NULL OR before <> (best & 4294967295)
+  )
 )
 SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
 """
 
 _DECODE = """
-SELECT t.run, string_agg(v.hex, '' ORDER BY t.pos) AS bytes
+SELECT t.run, unhex(string_agg(v.hex, '' ORDER BY t.pos)) AS bytes
 FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.run
 """
 
@@ -63,6 +68,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Recent:
+    """What was met lately: two generations of bounded size, the older of which is dropped when the newer is full."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys not remembered; all others are in ``now`` until the next call."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        absent = keys.difference(self.now)
+        old = self.before
+        self.now.update([(k, old[k]) for k in absent.intersection(old)])
+        return absent.difference(old)
+
+
 class Codec:
     """A worker's DuckDB with the vocabulary and merge tables, and the words it knows."""
 
@@ -72,15 +93,13 @@ class Codec:
         #: With the usual pattern a single space between non-spaces always starts a word, so texts can be cut there first.
         self.units = units if pattern == PATTERN else lambda text: [text]
         self.single = array("i", [ranks[bytes([b])] for b in range(256)])
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
         splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", zip(*splits), ("left_id", "right_id", "rank"), (pa.int32(),) * 3)
         self._table("vocabulary", (list(ranks.values()), [t.hex() for t in ranks]), ("id", "hex"), (pa.int32(), pa.string()))
         self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # tokens that start with a space
         self.spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.words: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.words, self.known, self.runs = Recent(WORDS), Recent(REMEMBER), Recent(REMEMBER)
 
     def _table(self, name, columns, names, types) -> None:
         rows = pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
@@ -94,7 +113,7 @@ class Codec:
         for w in words:
             b = w.encode()
             if (r := self.ranks.get(b)) is not None:
-                self.words[w] = array("i", [r]).tobytes()
+                self.words.now[w] = array("i", [r]).tobytes()
             else:
                 parts.append((w, b))
         for k in range(0, len(parts), AT_ONCE):
@@ -109,26 +128,17 @@ class Codec:
             lists = got["ids"].chunk(0)
             flat, ends = lists.flatten().to_numpy().tobytes(), lists.offsets.to_pylist()
             for i, start, end in zip(got["word"].to_pylist(), ends, ends[1:]):
-                self.words[some[i][0]] = flat[4 * start : 4 * end]
+                self.words.now[some[i][0]] = flat[4 * start : 4 * end]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.units(t) if t else [] for t in texts]
         for part in cut:  # a unit's leading space was dropped by the cut; put it back on all but the first
             part[1:] = [" " + u for u in part[1:]]
-        new = set().union(*cut).difference(self.known)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = set().union(*cut)
-        split = {u: self.pattern.findall(u) for u in new}
-        words = set().union(*split.values()).difference(self.words)
-        if len(self.words) + len(words) > REMEMBER:
-            self.words.clear()
-            words = set().union(*split.values())
-        self.learn(sorted(words))
-        one = self.words
-        self.known.update((u, b"".join([one[w] for w in ws])) for u, ws in split.items())
-        known = self.known
+        split = {u: self.pattern.findall(u) for u in self.known.missing(set().union(*cut))}
+        self.learn(sorted(self.words.missing(set().union(*split.values()))))
+        known, one = self.known.now, self.words.now
+        known.update((u, b"".join([one[w] for w in ws])) for u, ws in split.items())
         return [np.frombuffer(b"".join([known[u] for u in part]), np.int32) for part in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -139,20 +149,15 @@ class Codec:
             ends = [0, *(4 * (np.flatnonzero(self.spaced[x[1:]]) + 1)).tolist(), 4 * len(x)] if len(x) else [0]
             data = x.astype(np.int32).tobytes()
             cut.append([data[a:b] for a, b in zip(ends, ends[1:])])
-        new = set().union(*cut).difference(self.runs)
-        if len(self.runs) + len(new) > REMEMBER:
-            self.runs.clear()
-            new = set().union(*cut)
-        fresh = sorted(new)
+        fresh, runs = sorted(self.runs.missing(set().union(*cut))), self.runs.now
         for k in range(0, len(fresh), AT_ONCE):
             some = fresh[k : k + AT_ONCE]
             n = np.array([len(r) // 4 for r in some])
             run = np.repeat(np.arange(len(some), dtype=np.int32), n)
             pos = (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             self._table("tokens", (run, pos, np.frombuffer(b"".join(some), np.int32)), ("run", "pos", "id"), (pa.int32(),) * 3)
-            for i, text in self.db.execute(_DECODE).fetchall():
-                self.runs[some[i]] = bytes.fromhex(text)
-        runs = self.runs
+            got = self.db.sql(_DECODE).to_arrow_table()
+            runs.update((some[i], text) for i, text in zip(got["run"].to_pylist(), got["bytes"].to_pylist()))
         return [b"".join([runs[r] for r in part]) for part in cut]
 
 
@@ -170,14 +175,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """``doc_id, ids`` of every row."""
     key = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col))
-    return map_rows(rows, lambda: lambda c: [c[0], codec(path, pattern).encode(c[1])], f"doc_id {key}, ids array<int>")
+    return map_rows(rows, lambda: lambda c: [c[0], codec(path, pattern).encode(c[1])], f"doc_id {key}, ids array<int>", DOCUMENTS)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, content`` (the bytes) of rows ``doc_id, ids``; null ids are none."""
     key = encoded.schema["doc_id"].dataType.simpleString()
     rows = encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return map_rows(rows, lambda: lambda c: [c[0], codec(path, pattern).decode([np.array(x, np.int32) for x in c[1]])], f"doc_id {key}, content binary")
+    return map_rows(rows, lambda: lambda c: [c[0], codec(path, pattern).decode([np.array(x, np.int32) for x in c[1]])], f"doc_id {key}, content binary", DOCUMENTS)
 
 
 def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +198,7 @@ def encode_checked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         return work
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col))
-    return map_rows(rows, make, f"doc_id {key}, n_tokens long, ids array<int>, decodes boolean")
+    return map_rows(rows, make, f"doc_id {key}, n_tokens long, ids array<int>, decodes boolean", DOCUMENTS)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,4 +216,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         return work
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col))
-    return map_rows(rows, make, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(rows, make, f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string", DOCUMENTS)

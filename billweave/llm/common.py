@@ -38,11 +38,11 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias("text")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema: str, at_once: int = 2000) -> DataFrame:
     """Run a helper over Arrow batches of the only column ``text`` and the key columns before it.
 
     ``make`` is called once per task and returns ``rows -> rows``: it gets the batch's columns as lists,
-    and returns the output columns as lists. Batches, not partitions, are what is in memory.
+    and returns the output columns as lists. ``at_once`` rows, not partitions, are what is in memory.
     """
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,13 +52,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, at_once):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(work([c.to_pylist() for c in part.columns]), out, strict=True)], schema=out)
 
     return df.mapInArrow(run, fields)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that the Python objects of one part at a time are alive."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
