@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_RADIUS = 4, 4
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEMS = 1000
-REMEMBER = 400_000
+REMEMBER = 800_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, SHINGLE - 1 - i, 1 << 64)) for i in range(SHINGLE)]
 _FLIPS = np.array([sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(16), r)], np.uint64)
@@ -185,6 +185,8 @@ class Index:
 
 
 _indexes: dict[int, Index] = {}
+#: Hashes of the words the worker has met, up to ``REMEMBER`` at a time.
+_memo: dict[bytes, int] = {}
 
 
 def _worker_index(key: int, items: list) -> Index:
@@ -205,7 +207,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def scanner(items: list[tuple[int, str]], similarity: float):
     """For a task: texts to the leaks of each."""
-    index, memo = _worker_index(hash(tuple(items)), items), {}
+    index, memo = _worker_index(hash(tuple(items)), items), _memo
 
     def scan(texts: list[str]) -> list[list[tuple[int, float, int]]]:
         split = [t.encode().split() for t in texts]
@@ -213,7 +215,7 @@ def scanner(items: list[tuple[int, str]], similarity: float):
             memo.clear()
         memo.update((w, word_hash(w)) for w in set().union(*split).difference(memo))
         lengths = np.array([len(w) for w in split], np.int64)
-        words = np.fromiter((memo[w] for ws in split for w in ws), np.uint64, int(lengths.sum()))
+        words = np.fromiter(map(memo.__getitem__, chain.from_iterable(split)), np.uint64, int(lengths.sum()))
         return index.scan(words, lengths, similarity)
 
     return scan
