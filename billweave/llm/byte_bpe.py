@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import held, map_rows, text_of
 from .units import PATTERN, units
 
 #: Words a query takes at once, and words, and units or runs, in one generation of what a worker remembers.
-AT_ONCE, WORDS, REMEMBER = 100_000, 600_000, 250_000
+AT_ONCE, WORDS, REMEMBER = 50_000, 500_000, 150_000
 
 #: Documents taken together: new words are learned from all of them by one recursive query, which builds its join tables once a round.
-DOCUMENTS = 6000
+DOCUMENTS = 3000
 
 #: A pair's key orders by rank and then place: rank times 2^32, plus position.
 _ENCODE = """
@@ -93,7 +93,7 @@ class Codec:
         #: With the usual pattern a single space between non-spaces always starts a word, so texts can be cut there first.
         self.units = units if pattern == PATTERN else lambda text: [text]
         self.single = array("i", [ranks[bytes([b])] for b in range(256)])
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
         splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("merges", zip(*splits), ("left_id", "right_id", "rank"), (pa.int32(),) * 3)
         self._table("vocabulary", (list(ranks.values()), [t.hex() for t in ranks]), ("id", "hex"), (pa.int32(), pa.string()))
@@ -161,14 +161,9 @@ class Codec:
         return [b"".join([runs[r] for r in part]) for part in cut]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec of a vocabulary file."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return held(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

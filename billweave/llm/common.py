@@ -58,6 +58,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
     return df.mapInArrow(run, fields)
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What a worker keeps between tasks for the operator it runs. Workers serve many operators in turn, so what
+    another one kept is dropped first: the memory of one operator at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that the Python objects of one part at a time are alive."""
     for i in range(0, batch.num_rows, rows):

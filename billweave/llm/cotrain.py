@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import held, map_rows, text_of
 
 #: Bounds of the fitting samples, and of the features a view keeps.
 LABELLED, UNLABELLED, FEATURES = 8_000, 3_000, 6_000
@@ -237,7 +237,7 @@ def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and the features of both views."""
 
     def make():
-        read = Reader()
+        read = held("cotrain", Reader)
         return lambda c: [*c[:-4], *zip(*[(np.array(read.text(t), np.int32), np.array(layout(t, a, b, n), np.int32)) for a, b, n, t in zip(*c[-4:])])] if c[-1] else [[] for _ in range(len(c) - 2)]
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
@@ -277,7 +277,7 @@ def bad_probability(model: Model | None, text: Column, lang: Column, source: Col
 
     @F.arrow_udf("double")
     def score(texts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        read = Reader()
+        read = held("cotrain", Reader)
         for columns in texts:
             done = []
             for i in range(0, len(columns[0]), 1000):

@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import held, map_rows, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, BLOCK_RADIUS = 4, 4
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEMS = 1000
-REMEMBER = 800_000
+REMEMBER = 500_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, SHINGLE - 1 - i, 1 << 64)) for i in range(SHINGLE)]
 _FLIPS = np.array([sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(16), r)], np.uint64)
@@ -184,18 +184,6 @@ class Index:
         return out
 
 
-_indexes: dict[int, Index] = {}
-#: Hashes of the words the worker has met, up to ``REMEMBER`` at a time.
-_memo: dict[bytes, int] = {}
-
-
-def _worker_index(key: int, items: list) -> Index:
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(items)
-    return _indexes[key]
-
-
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of about ``ITEMS`` items each, dealt by a hash."""
     bench = benchmark.select("item_id", "text")
@@ -207,7 +195,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def scanner(items: list[tuple[int, str]], similarity: float):
     """For a task: texts to the leaks of each."""
-    index, memo = _worker_index(hash(tuple(items)), items), _memo
+    index, memo = held(("decontaminate", tuple(items)), lambda: (Index(items), {}))
 
     def scan(texts: list[str]) -> list[list[tuple[int, float, int]]]:
         split = [t.encode().split() for t in texts]

@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, shared_dir, text_of
+from .common import cut, held, map_rows, shared_dir, text_of
 
 #: UTF-8 bytes of text for which there is one file of each kind.
 FILE_BYTES = 8_000_000
@@ -386,9 +386,6 @@ class Scorer:
         return [lengths.tolist(), *sums]
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` (log10 probabilities of the whole text) of every row.
 
@@ -396,10 +393,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def make():
-        if model.key not in _scorers:
-            _scorers.clear()
-            _scorers[model.key] = Scorer(model)
-        scorer = _scorers[model.key]
+        scorer = held(("kneser-ney", model.key), lambda: Scorer(model))
         return lambda c: [c[0], *scorer.score(c[1])] if c[0] else [[] for _ in range(5)]
 
     key = docs.schema[id_col].dataType.simpleString()

@@ -12,6 +12,8 @@ from array import array
 
 import regex
 
+from .common import held
+
 _HARD = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The pieces of a byte-level pre-tokenizer, used for texts in the scripts where all libraries agree on letter classes.
@@ -106,11 +108,6 @@ def _byte_letters():
             spare += 1
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
