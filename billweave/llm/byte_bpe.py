@@ -29,10 +29,10 @@ from .common import held, map_rows, text_of
 from .units import PATTERN, units
 
 #: Words a query takes at once, and words, and units or runs, in one generation of what a worker remembers.
-AT_ONCE, WORDS, REMEMBER = 50_000, 500_000, 150_000
+AT_ONCE, WORDS, REMEMBER = 30_000, 250_000, 100_000
 
 #: Documents taken together: new words are learned from all of them by one recursive query, which builds its join tables once a round.
-DOCUMENTS = 3000
+DOCUMENTS = 2000
 
 #: A pair's key orders by rank and then place: rank times 2^32, plus position.
 _ENCODE = """
