@@ -3,7 +3,8 @@
 A value found next to a credential word is segmented at minimum cost into dictionary words, dates, repeats,
 keyboard walks and brute-force spans; the cost is the base-10 logarithm of the guesses an attacker needs who
 knows those habits. Values at or above ``min_log10`` are reported as kind ``guess``. The pattern kinds
-(``assign``, ``access``, ``hex``) are always reported.
+(``assign``, ``access``, ``hex``) are always reported; a ``guess`` that ends where an ``assign`` does is not, one that
+reaches past it is.
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned each on its own; an empty
 table gives no rows; extra columns are ignored. Offsets are code points, end exclusive.
@@ -41,9 +42,11 @@ _ASCII = re.ASCII | re.IGNORECASE
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Credential contexts beyond the assignments above: other names, "password is x", bearer headers, user:value@host.
+#: Credential contexts: names with a value, "password is x", bearer headers, user:value@host. A quoted value runs to its closing
+#: quote on the line, another one to white space, a quote or a bracket of markup; a host's to the last @ before a slash.
 CONTEXT = re.compile(
-    r"""(?:(?:pwd|passphrase|credential|auth|private_?key|access_?key|client_?secret)["']?\x20*[:=]\x20*["']?|(?:password|passphrase|secret|token)\x20+is:?\x20+["']?|bearer\x20+|://[A-Za-z0-9_.-]+:)([^\s"'<>@,;]{6,})""",
+    r"""(?:(?:password|passwd|secret|token|api_?key|pwd|passphrase|credential|auth|private_?key|access_?key|client_?secret)["']?\x20*[:=]\x20*|(?:password|passphrase|secret|token)\x20+is:?\x20+|bearer\x20+)"""
+    r"""(?:"(?!\s)([^"\r\n]{6,})(?<!\s)"(?![a-z0-9])|'(?!\s)([^'\r\n]{6,})(?<!\s)'(?![a-z0-9])|["']?([^\s"'<>]{6,}))|://[A-Za-z0-9_.-]+:([^\s"'<>/]{6,}(?=@)|[^\s"'<>@,;]{6,})""",
     _ASCII,
 )
 _CUES = ("pwd", "pass", "cred", "auth", "key", "secret", "token", "bearer", "://")
@@ -119,7 +122,13 @@ def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int,
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
     low = text.lower()
     if any(c in low for c in _CUES):
-        found += [(*m.span(1), "guess") for m in CONTEXT.finditer(text) if m.end(1) not in taken and guess_cost(m[1]) >= min_log10]
+        for m in CONTEXT.finditer(text):
+            value, (start, end) = m[m.lastindex], m.span(m.lastindex)
+            if m.lastindex == 3:  # without quotes, what divides it from the next thing is no part of it
+                value = value.rstrip(",;")
+                end = start + len(value)
+            if len(value) >= 6 and end not in taken and guess_cost(value) >= min_log10:
+                found.append((start, end, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -108,6 +108,22 @@ def test_secrets(docs):
     assert empty == []
 
 
+@pytest.mark.parametrize("before, value, after", [
+    ("password=", "S3c#r!t9zQ8vLm", " x"), ("api_key=", "$2b$10$Qw8zLr5TnV", ""), ("token: ", "Zx9&kLm2#qR8", "; x"), ("dbpassword=", "x#9Kq2!Lm7", "\n"),
+    ('password = "', "Tr0ub4dor&3zQ9", '"'), ("pwd=", "k7@Lm2#qR8zVx", ""), ("secret='", 'four words, one "#9"', "',"), ("postgres://bob:", "k7@Lm2#qR8zVx", "@db.example/x@y"),
+])
+def test_secret_values_are_whole(before, value, after):
+    text = f"a {before}{value}{after}"
+    spans = secrets.find_spans(text)
+    assert [text[a:b] for a, b, kind in spans if kind == "guess"] == [value]
+    assert secrets.redact(text, spans).endswith("[SECRET]" + after)
+
+
+def test_easy_values_are_no_guess():
+    assert 0 < secrets.guess_cost("P@55w0rd!xQ9") < secrets.MIN_LOG10  # the likeliest word and four characters: scored, and easily guessed
+    assert not [s for t in ("password: monkey@dragon", 'password: "P@55w0rd!xQ9"', 'say "password: " + input() + "thanks"', "token = deadbeefdead, secret: aaaaaa@aaaaaa") for s in secrets.find_spans(t) if s[2] == "guess"]
+
+
 def test_guess_cost():
     cost = secrets.guess_cost
     assert cost("password") < cost("p@ssw0rd") < cost("xkqvzpwj") and cost("aaaaaaaaaa") < 3 and cost("qwertyuiop") < 4 and cost("19991231") < 6
