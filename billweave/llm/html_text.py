@@ -6,8 +6,13 @@ around a block are hashed as subtrees; Spark counts on how many different pages
 subtrees that recur on many pages of their host are deleted. Counting combines in the map tasks and is keyed by host
 and hash, so a large host is spread over many keys.
 
-Different pages means pages with different text, so copies of one article do not make its paragraphs a template. An
-article's own prose elements, and a subtree that holds more than half of a page's text, are never a template.
+Different pages means pages with different text, so copies of one article do not make its paragraphs a template. A
+subtree that holds more than half of a page's text is never a template.
+
+Inside an article the prose elements, and text that stands directly in a container, are counted in the same way, but it
+takes a greater share of the host's pages to make them a template; size does not protect them. Rows and cells of a table,
+and terms and definitions, count as part of their table or list only. Where an article's templates would leave less than
+``LEAST_LEFT`` of its text, the page is one of many near copies of an article, and they stay.
 
 Defined results: null or empty html gives an empty text; repeated rows are extracted each on its own; an empty table
 gives no rows; a null url makes a host of its own; extra columns are ignored; unclosed and stray tags are accepted.
@@ -15,7 +20,9 @@ gives no rows; a null url makes a host of its own; extra columns are ignored; un
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from html import unescape
 
 import xxhash
@@ -26,6 +33,8 @@ from .common import cut, map_rows
 
 #: A subtree is a template if it stands on this many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.02
+#: The share for an article's own prose, and the share of a page's text that taking it out must leave.
+PROSE_SHARE, LEAST_LEFT = 0.05, 0.1
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
@@ -36,6 +45,8 @@ BLOCK = frozenset(
 #: Elements that are never content.
 NEVER = frozenset("nav footer aside form button select menu dialog fieldset head label input datalist audio video canvas".split()) | RAW
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table tbody thead tr td th figure figcaption".split())
+#: Prose elements that mean something in their table or list only.
+PARTS = frozenset("dt dd tbody thead tr td th".split())
 #: Start tags that end an open element of the same group.
 _CLOSES = {t: frozenset(g) for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in g}
 _NAMES = re.compile(
@@ -151,7 +162,10 @@ def parse(html: str) -> list[tuple[str, list[_Element]]]:
 
 
 def main_blocks(html: str) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the subtrees around it that may be a template) of each block of a page's main part."""
+    """(text, marks of the subtrees around it that may be a template) of each block of a page's main part.
+
+    A mark is a hash; those of an article's prose are odd, others even.
+    """
     blocks = parse(html)
     inner = [b for b in blocks if b[1] and b[1][-1].article]
     blocks = inner or blocks
@@ -160,11 +174,19 @@ def main_blocks(html: str) -> list[tuple[str, list[int]]]:
 
     def mark(e: _Element) -> int | None:
         if id(e) not in known:
-            never = e.tag in ("html", "body", "article", "main") or e.article and e.tag in PROSE or 2 * e.size > whole or e.tag not in BLOCK
-            known[id(e)] = None if never else e.hash.intdigest() - (1 << 63)
+            prose = e.article and e.tag in PROSE
+            never = e.tag in ("html", "body", "article", "main") or prose and e.tag in PARTS or 2 * e.size > whole and not prose or e.tag not in BLOCK
+            known[id(e)] = None if never else e.hash.intdigest() - (1 << 63) & -2 | prose
         return known[id(e)]
 
-    return [(text, [h for e in around if (h := mark(e)) is not None]) for text, around in blocks]
+    def marks(text: str, around: list[_Element]) -> list[int]:
+        found = [h for e in around if (h := mark(e)) is not None]
+        holder = next((e for e in reversed(around) if e.tag in BLOCK), None)
+        if holder and holder.article and holder.tag not in PROSE:  # text directly in a container
+            found.append(xxhash.xxh64_intdigest(f"{holder.tag} {text}") - (1 << 63) | 1)
+        return found
+
+    return [(text, marks(text, around)) for text, around in blocks]
 
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
@@ -175,44 +197,70 @@ def _row():
 
 
 def _host():
-    return F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), _HOST, 1)).alias("host")
+    return F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), _HOST, 1))).alias("host")
+
+
+def host_blocks(html: str, host: int) -> list[tuple[str, list[int]]]:
+    """``main_blocks`` with marks that differ from those of other hosts."""
+    seed = host & 0xFFFFFFFFFFFFFFFF
+    known: dict[int, int] = {}
+
+    def of(m: int) -> int:
+        if m not in known:
+            known[m] = xxhash.xxh64_intdigest(m.to_bytes(8, signed=True), seed) - (1 << 63) & -2 | m & 1
+        return known[m]
+
+    return [(text, [of(m) for m in marks]) for text, marks in main_blocks(html)]
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """``row, host, page, marks`` of every row: hashes of the row, of its main text and of its possible templates."""
+    """``row, host, page, marks`` of every row: hashes of the row, its host and main text, and of its possible templates."""
 
     def make():
         def work(columns):
             rows, hosts, htmls = columns
-            found = list(map(main_blocks, htmls))
+            found = list(map(host_blocks, htmls, hosts))
             texts = [xxhash.xxh64_intdigest(" ".join(t for t, _ in b)) - (1 << 63) for b in found]
             return [rows, hosts, texts, [sorted({m for _, marks in b for m in marks}) for b in found]]
 
         return work
 
     rows = pages.select(_row(), _host(), F.coalesce("html", F.lit("")).alias("text"))
-    return map_rows(rows, make, "row long, host string, page long, marks array<long>")
+    return map_rows(rows, make, "row long, host long, page long, marks array<long>")
 
 
-def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, mark``: subtree hashes of ``marked`` pages that recur on many different pages of their host."""
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+    """``mark``: subtree hashes of ``marked`` pages that recur on many different pages of their host."""
     sizes = found.groupBy("host").agg(F.approx_count_distinct("page").alias("n_host"))
-    often = found.select("host", "page", F.explode("marks").alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    return often.join(sizes, "host").where(F.col("n") >= min_share * F.col("n_host")).select("host", "mark")
+    each = found.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks"))
+    often = each.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    share = F.when(F.col("mark").bitwiseAND(1) == 1, prose_share).otherwise(min_share)
+    return often.join(sizes, "host").where(F.col("n") >= share * F.col("n_host")).select("mark")
+
+
+def left_of(blocks: list[tuple[str, list[int]]], gone: set[int]) -> list[str]:
+    """The texts of blocks without templates."""
+    own = [b for b in blocks if not any(m in gone and not m & 1 for m in b[1])]
+    rest = [b for b in own if gone.isdisjoint(b[1])]
+    enough = sum(len(t) for t, _ in rest) >= LEAST_LEFT * sum(len(t) for t, _ in own)
+    return [t for t, _ in (rest if enough else own)]
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``page_id, url, text`` of every row. Pages are parsed once for the hashes, which are small and kept, and once for the text."""
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+    """``page_id, url, text`` of every row. Pages are parsed once for the hashes, which are small and kept, and once for the text,
+    whose blocks go compressed to where their page's templates are known."""
     key = pages.schema["page_id"].dataType.simpleString()
     found = cut(marked(pages))
     # copies of a row share its hash, and have the same marks
-    hit = found.select("row", "host", F.explode("marks").alias("mark")).distinct().join(templates(found, min_pages, min_share), ["host", "mark"])
+    hit = found.select("row", F.explode("marks").alias("mark")).join(templates(found, min_pages, min_share, prose_share), "mark")
     gone = hit.groupBy("row").agg(F.collect_set("mark").alias("gone"))
 
-    def make():
-        return lambda c: [*c[:-1], [[{"text": t, "marks": m} for t, m in main_blocks(html)] for html in c[-1]]]
+    def pack():
+        return lambda c: [*c[:-2], [zlib.compress(json.dumps(host_blocks(html, host), ensure_ascii=False).encode("utf-8", "surrogatepass"), 3) for host, html in zip(*c[-2:])]]
+
+    def unpack():
+        return lambda c: [*c[:-2], [" ".join(left_of(json.loads(zlib.decompress(b).decode("utf-8", "surrogatepass")), set(g or ()))) for g, b in zip(*c[-2:])]]
 
-    rows = pages.select(_row(), "page_id", "url", F.coalesce("html", F.lit("")).alias("text"))
-    parsed = map_rows(rows, make, f"row long, page_id {key}, url string, blocks array<struct<text:string,marks:array<bigint>>>")
-    left = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.coalesce("gone", F.array().cast("array<long>"))))
-    return parsed.join(gone, "row", "left").select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), " ").alias("text"))
+    rows = pages.select(_row(), "page_id", "url", _host(), F.coalesce("html", F.lit("")).alias("text"))
+    parsed = map_rows(rows, pack, f"row long, page_id {key}, url string, blocks binary")
+    return map_rows(parsed.join(gone, "row", "left").select("page_id", "url", "gone", "blocks"), unpack, f"page_id {key}, url string, text string")

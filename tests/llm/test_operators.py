@@ -318,6 +318,21 @@ def test_main_text(spark):
     assert all(got[200 + k] == [f"{prose(20, 900)} {prose(9, 901)}"] for k in range(25))
 
 
+def test_templates_inside_articles(spark):
+    again = "<p>Get our letter every week</p>", "<ul><li>More of it</li><li>Most read</li></ul>", "<h3>About the author</h3>", "<table><tr><td>Call</td><td>555</td></tr></table>"
+
+    def page(k, host, own, rest="".join(again)):
+        return k, f"http://{host}/{k}", f"<html><body><main><article>Filed under news<h1>{prose(3, k)}</h1>{own}{rest}</article></main></body></html>"
+
+    site = [page(k, "a.example", f"<p>{prose(20, k)}</p><table><tr><td>Yes</td><td>{k}</td></tr></table>") for k in range(25)]
+    near = [page(100 + k, "b.example", f"<p>{prose(60, 900)}</p><p>{prose(60, 901)}</p><p>Copy {k}</p>", "") for k in range(25)]
+    rare = [page(200 + k, "c.example", f"<p>{prose(20, k)}</p>", again[0] if k < 9 else "") for k in range(25)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(site + near + rare, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"{prose(3, k)} {prose(20, k)} Yes {k}" for k in range(25))  # a cell that recurs stays in its table
+    assert all(got[100 + k].endswith(f"{prose(60, 900)} {prose(60, 901)} Copy {k}") for k in range(25))
+    assert sum("Get our letter" in got[200 + k] for k in range(25)) == 9 and not any("Filed" in got[200 + k] for k in range(25))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50_000), st.integers(0, 2**32 - 1)), min_size=1, max_size=400), st.sampled_from([0, 50, 90, 100]))
 def test_blocks_round_trip(values, percent):
