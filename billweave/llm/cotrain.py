@@ -8,8 +8,13 @@ on, a logistic combination of the calibrated views is fitted there too, and ever
 
 A document is bad if its quality label is 0 or its toxic label is 1.
 
-Only fitting is bounded: ``LABELLED`` labelled and ``UNLABELLED`` unlabelled rows, taken by a hash of the id, come to
-the driver as feature numbers. Scoring runs over all documents and whole texts.
+The unlabelled pool is every document without a label. Its candidate features are written once, in the shared folder;
+each round goes over all of them, labels them by the views of the round before, and adds up in Spark how often each
+candidate stands in rows given each label, and the gradients of the new fit. The driver gets one vector per view.
+
+Only the labelled rows of the fit are bounded: ``LABELLED``, taken by a hash of the id, come to the driver as feature
+numbers, and so do ``UNLABELLED`` others, which only help to name the candidates. Scoring runs over all documents and
+whole texts.
 
 Defined results: a null text is empty and scored by its metadata; null metadata is a value of its own; label rows with a
 null are not used, and of several for one id the worst counts; with no labels of either kind every document has
@@ -27,10 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, map_rows, text_of
+from .common import cut, held, map_rows, slices, text_of
 
-#: Bounds of the fitting samples, and of the features a view keeps.
-LABELLED, UNLABELLED, FEATURES = 8_000, 3_000, 6_000
+#: Bounds of the labelled sample, of the rows that name candidates with it, of a view's candidates and of the features it keeps.
+LABELLED, UNLABELLED, CANDIDATES, FEATURES = 8_000, 3_000, 1 << 16, 6_000
+#: Steps of a round's fit, each with the gradient over the whole pool; all its rows weigh no more than the labelled ones.
+STEPS_EACH, GIVEN = 10, 0.5
 ROUNDS, SURE_BAD, SURE_GOOD = 3, 0.97, 0.97
 THRESHOLD = 0.5
 #: Features up to which a row is taken in full.
@@ -124,41 +131,24 @@ class Rows:
         self.value = np.where(self.f >= PLAIN, SHAPE_VALUE, np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))[self.row]).astype(np.float32)
 
 
+def significant(n: np.ndarray, n1: np.ndarray, total: float, bad: float) -> np.ndarray:
+    """Places of the features to keep: of ``total`` rows ``n`` have it, ``bad`` rows are bad, and ``n1`` both."""
+    p = bad / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        def part(a, e):
+            return np.where(a > 0, a * np.log(a / e), 0)
+
+        g2 = 2 * (part(n1, n * p) + part(n - n1, n * (1 - p)) + part(bad - n1, (total - n) * p) + part(total - bad - n + n1, (total - n) * (1 - p)))
+    good = np.flatnonzero((n >= 5) & (g2 > 12))
+    return np.sort(good[np.argsort(-g2[good], kind="stable")][:FEATURES])
+
+
 class View:
     """Logistic regression over significant features."""
 
     def __init__(self):
         self.features, self.w, self.b = np.empty(0, np.int64), np.empty(0), 0.0
 
-    def fit(self, x: Rows, y: np.ndarray, weight: np.ndarray, steps: int = 150, l2: float = 1.0) -> View:
-        pairs = np.unique(x.f.astype(np.int64) << 24 | x.row)  # presence, for the significance of a feature
-        first = np.flatnonzero(np.append(True, np.diff(pairs >> 24) != 0)) if len(pairs) else np.empty(0, np.int64)
-        f, n = pairs[first] >> 24, np.diff(np.append(first, len(pairs))).astype(float)
-        n1 = np.add.reduceat(y[pairs & 0xFFFFFF], first) if len(first) else np.empty(0)
-        del pairs
-        p, total = y.mean(), len(y)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            def part(a, e):
-                return np.where(a > 0, a * np.log(a / e), 0)
-
-            g2 = 2 * (part(n1, n * p) + part(n - n1, n * (1 - p)) + part(y.sum() - n1, (total - n) * p) + part(total - y.sum() - n + n1, (total - n) * (1 - p)))
-        good = np.flatnonzero((n >= 5) & (g2 > 12))
-        good = good[np.argsort(-g2[good], kind="stable")][:FEATURES]
-        self.features = np.sort(f[good])
-        cols, rows, value = self._columns(x)
-        self.w, self.b = np.zeros(len(self.features)), float(np.log((p + 1e-6) / (1 - p + 1e-6)))
-        w, b = np.zeros(len(self.features) + 1), self.b
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        w[-1] = b
-        for t in range(1, steps + 1):
-            z = np.bincount(rows, w[cols] * value, x.n) + w[-1]
-            r = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            g = np.append(np.bincount(cols, r[rows] * value, len(w) - 1) + l2 * w[:-1], r.sum())
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        self.w, self.b = w[:-1], float(w[-1])
-        return self
-
     def _columns(self, x: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(self.features):
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
@@ -199,38 +189,147 @@ class Model:
 
 
 def frequent(rows: list[np.ndarray], least: int = 5) -> np.ndarray:
-    """Features of at least so many rows: no rarer one can be significant."""
+    """The commonest features of at least so many rows, in order: no rarer one can be significant."""
     found, counts = np.unique(np.concatenate([np.unique(r) for r in rows]), return_counts=True) if rows else (np.empty(0, np.int32), np.empty(0, int))
-    return found[counts >= least]
+    common = np.flatnonzero(counts >= least)
+    return found[np.sort(common[np.argsort(-counts[common], kind="stable")][:CANDIDATES])]
 
 
-def cotrain(text: list, meta: list, y: np.ndarray, u_text: list, u_meta: list, rounds: int = ROUNDS) -> Model | None:
-    """Fit on labelled rows and unlabelled ones; None if a class has fewer than ten labels."""
-    if min(y.sum(), (1 - y).sum()) < 10:
-        return None
-    known = frequent([*text, *u_text])
-    text, u_text = ([x[known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x] for x in rows] if len(known) else rows for rows in (text, u_text))
-    held = np.arange(len(y)) % 4 == 3
-    own = np.flatnonzero(~held)
-    extra = [{}, {}]  # rows of the unlabelled sample each view has been given, with their labels
-    held_rows = [Rows([x[i] for i in np.flatnonzero(held)]) for x in (text, meta)]
-    u_rows = [Rows(u_text), Rows(u_meta)]
-    for r in range(rounds + 1):
-        views, calibration = [], []
-        for k, (x, u) in enumerate(((text, u_text), (meta, u_meta))):
-            given = sorted(extra[k].items())
-            rows = Rows([x[i] for i in own] + [u[i] for i, _ in given])
-            labels = np.append(y[own], [t for _, t in given]).astype(float)
-            weight = np.append(np.ones(len(own)), np.full(len(given), 0.5))
-            views.append(View().fit(rows, labels, weight))
-            calibration.append(platt(views[k].logits(held_rows[k])[:, None], y[held]))
-        if r == rounds:
-            break
-        for k in (0, 1):
-            p = sigmoid(np.column_stack([views[k].logits(u_rows[k]), np.ones(u_rows[k].n)]) @ calibration[k])
-            extra[1 - k] |= {int(i): 1.0 for i in np.flatnonzero(p >= SURE_BAD)} | {int(i): 0.0 for i in np.flatnonzero(p <= 1 - SURE_GOOD)}
-    z = np.column_stack([np.column_stack([v.logits(x), np.ones(x.n)]) @ c for v, x, c in zip(views, held_rows, calibration)])
-    return Model(*views, calibration, platt(z, y[held]))
+def places(known: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where a row's features stand among the known ones."""
+    at = np.searchsorted(known, row)
+    at[at == len(known)] = 0
+    return at[known[at] == row] if len(known) else at[:0]
+
+
+class Part:
+    """Rows of one view as places of candidates."""
+
+    def __init__(self, known: np.ndarray, at: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
+        self.n, self.k, self.at, self.row = len(lengths), len(known), at, np.repeat(np.arange(len(lengths)), lengths)
+        usual = np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))
+        self.value = np.where((known >= PLAIN)[at], SHAPE_VALUE, usual[self.row]) if len(at) else np.empty(0)
+
+    def logits(self, w: np.ndarray) -> np.ndarray:
+        """Of weights with the intercept last."""
+        return np.bincount(self.row, w[self.at] * self.value, self.n) + w[-1]
+
+    def gradient(self, r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, r[self.row] * self.value, self.k), r.sum())
+
+    def counts(self, r: np.ndarray) -> np.ndarray:
+        """How often each candidate stands in the rows, weighted; last, the sum of the weights."""
+        return np.append(np.bincount(self.at, r[self.row], self.k), r.sum())
+
+
+def given(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(1 where a view is sure, its label) by its probabilities."""
+    bad = (p >= SURE_BAD).astype(float)
+    return bad + (p <= 1 - SURE_GOOD), bad
+
+
+class Pool:
+    """All unlabelled documents as candidates' places, with sums over them by view."""
+
+    def __init__(self, docs: DataFrame, known: list[np.ndarray]):
+        self.known = known
+
+        def make():
+            read = held("cotrain", Reader)
+
+            def work(c):
+                found = [(np.array(read.text(t), np.int32), np.array(layout(t, a, b, n), np.int32)) for a, b, n, t in zip(*c)]
+                return [[places(known[v], f[v]).astype(np.uint16).tobytes() for f in found] for v in (0, 1)] + [[len(f[v]) for f in found] for v in (0, 1)]
+
+            return work
+
+        rows = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), text_of("text"))
+        self.rows = cut(map_rows(rows, make, "text binary, meta binary, text_size int, meta_size int"))
+
+    def sums(self, views: list[np.ndarray], calibration: list[np.ndarray], new: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By view, over all rows to which the other view gives a label: counts of the rows and of the bad ones with each
+        candidate; or, of the ``new`` weights, the gradient, and zeros."""
+        known = self.known
+        starts = np.cumsum([0, *(len(k) + 1 for k in known)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, starts[-1]))
+            for batch in (part for whole in batches for part in slices(whole, 2000)):
+                x = []
+                for v in (0, 1):
+                    cells = batch.column(v).to_pylist()
+                    x.append(Part(known[v], np.frombuffer(b"".join(cells), np.uint16).astype(np.int64), np.array([len(c) // 2 for c in cells], np.int64), batch.column(2 + v).to_numpy()))
+                for v in (0, 1):
+                    z = x[1 - v].logits(views[1 - v])
+                    sure, bad = given(sigmoid(z * calibration[1 - v][0] + calibration[1 - v][1]))
+                    own = total[:, starts[v] : starts[v + 1]]
+                    if new is None:
+                        own += [x[v].counts(sure), x[v].counts(bad)]
+                    else:
+                        own[0] += x[v].gradient(sure * (sigmoid(x[v].logits(new[v])) - bad))
+            at = np.flatnonzero(total.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["at", "a", "b"])
+
+        got = self.rows.mapInArrow(run, "at int, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+        total = np.zeros((2, starts[-1]))
+        total[:, got["at"].to_numpy()] = [got["a"].to_numpy(), got["b"].to_numpy()]
+        return [tuple(total[:, starts[v] : starts[v + 1]]) for v in (0, 1)]
+
+
+def cotrain(text: list, meta: list, y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
+    """Fit on labelled rows and the pool."""
+    known = pool.known
+    sizes = [np.array([len(x) for x in rows]) for rows in (text, meta)]
+    at = [[places(k, x) for x in rows] for k, rows in zip(known, (text, meta))]
+    held_out = np.arange(len(y)) % 4 == 3
+
+    def part(v: int, which: np.ndarray) -> Part:
+        mine = [at[v][i] for i in np.flatnonzero(which)]
+        return Part(known[v], np.concatenate(mine), np.array([len(x) for x in mine]), sizes[v][which])
+
+    own, calibrating = [part(v, ~held_out) for v in (0, 1)], [part(v, held_out) for v in (0, 1)]
+    mine, theirs = y[~held_out], y[held_out]
+
+    def calibrated(w):
+        return [platt(calibrating[v].logits(w[v])[:, None], theirs) for v in (0, 1)]
+
+    def descend(w, keep, steps, rate, given_weight=(0, 0), outer=lambda w: ((0, 0), (0, 0)), l2=1.0):
+        """Adam on both views at once; weights that are not kept stay zero."""
+        w = [np.where(np.append(k, True), x, 0.0) for k, x in zip(keep, w)]
+        m, q = ([np.zeros_like(x) for x in w] for _ in range(2))
+        for t in range(1, steps + 1):
+            far = outer(w)
+            for v in (0, 1):
+                g = own[v].gradient(sigmoid(own[v].logits(w[v])) - mine) + given_weight[v] * far[v][0]
+                g[:-1] = np.where(keep[v], g[:-1] + l2 * w[v][:-1], 0)
+                m[v], q[v] = 0.9 * m[v] + 0.1 * g, 0.99 * q[v] + 0.01 * g * g
+                w[v] = w[v] - rate(t) * (m[v] / (1 - 0.9**t)) / (np.sqrt(q[v] / (1 - 0.99**t)) + 1e-9)
+        return w
+
+    def kept(n, n1):  # counts with the sum over rows last
+        out = np.zeros(len(n) - 1, bool)
+        out[significant(n[:-1], n1[:-1], n[-1], n1[-1])] = True
+        return out
+
+    counts = [(own[v].counts(np.ones(len(mine))), own[v].counts(mine)) for v in (0, 1)]
+    base = float(np.log((mine.mean() + 1e-6) / (1 - mine.mean() + 1e-6)))
+    keep = [kept(*c) for c in counts]
+    w = descend([np.append(np.zeros(len(k)), base) for k in known], keep, 150, lambda t: 0.1)
+    calibration = calibrated(w)
+    for _ in range(rounds):
+        before, by = w, calibration
+        more = pool.sums(before, by)
+        weight = [min(GIVEN, len(mine) / max(1.0, more[v][0][-1])) for v in (0, 1)]
+        keep = [kept(*(c + weight[v] * x for c, x in zip(counts[v], more[v]))) for v in (0, 1)]
+        w = descend(before, keep, STEPS_EACH, lambda t: 0.1 * (1 - (t - 1) / STEPS_EACH), weight, lambda new: pool.sums(before, by, new))
+        calibration = calibrated(w)
+    views = []
+    for v in (0, 1):
+        view = View()
+        view.features, view.w, view.b = known[v][keep[v]].astype(np.int64), w[v][:-1][keep[v]], float(w[v][-1])
+        views.append(view)
+    z = np.column_stack([calibrating[v].logits(w[v]) * calibration[v][0] + calibration[v][1] for v in (0, 1)])
+    return Model(*views, calibration, platt(z, theirs))
 
 
 def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -246,7 +345,7 @@ def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
-    """Co-train on bounded samples of the documents."""
+    """Co-train on a bounded sample of labelled documents and all unlabelled ones; None if a class has fewer than ten labels."""
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20))
     worst = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     n = worst.count()
@@ -255,10 +354,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
     mine = columns.join(F.broadcast(part.select("doc_id", bad)), "doc_id").select("doc_id", "bad", "text", "lang", "source", "n_chars")
     got = _features(mine, ["doc_id", "bad"]).toArrow().sort_by("doc_id")
+    y = got["bad"].to_numpy().astype(float)
+    if min(y.sum(), (1 - y).sum()) < 10:
+        return None
+    free = columns.join(worst.select("doc_id"), "doc_id", "left_anti")
     n_docs = columns.count()
-    free = columns.where(place < int((1 << 20) * min(1.0, unlabelled / max(1, n_docs)))).join(worst.select("doc_id"), "doc_id", "left_anti")
-    other = _features(free, ["doc_id"]).toArrow().sort_by("doc_id")
-    return cotrain(_rows(got, "text_features"), _rows(got, "meta_features"), got["bad"].to_numpy().astype(float), _rows(other, "text_features"), _rows(other, "meta_features"))
+    other = _features(free.where(place < int((1 << 20) * min(1.0, unlabelled / max(1, n_docs - n)))), ["doc_id"]).toArrow()
+    text, meta = _rows(got, "text_features"), _rows(got, "meta_features")
+    known = [frequent([*text, *_rows(other, "text_features")]), frequent([*meta, *_rows(other, "meta_features")])]
+    del other
+    return cotrain(text, meta, y, Pool(free, known))
 
 
 def _rows(table: pa.Table, name: str) -> list[np.ndarray]:

@@ -279,6 +279,24 @@ def test_cotraining(spark, docs):
     assert cotrain.classify(docs, labels).count() == len(ROWS) and cotrain.classify(docs.limit(0), labels).count() == 0
 
 
+def test_cotraining_uses_every_unlabelled_document(spark, monkeypatch):
+    rows, labels = labelled(spark)
+    seen, pool = [], []
+    plain = cotrain.Pool.sums
+
+    def sums(self, views, calibration, new=None):
+        pool.append(self.rows.count())
+        seen.append((plain(self, [0 * v for v in views], [np.array([0.0, -9.0])] * 2), plain(self, views, calibration, new)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(cotrain.Pool, "sums", sums)
+    monkeypatch.setattr(cotrain, "STEPS_EACH", 1)
+    assert cotrain.fit(rows, labels, unlabelled=10) is not None
+    free = 900 - labels.where("doc_id is not null and quality is not null").select("doc_id").distinct().count()
+    assert len(pool) == 2 * cotrain.ROUNDS and set(pool) == {free}  # a count and a gradient in each round, over all of them
+    assert all(every[v][0][-1] == free for every, _ in seen for v in (0, 1))  # all rows get a label of a view that is always sure
+
+
 def test_ledger(docs):
     rows = ledger.apply_policy(ledger.ledger(docs), "v1")
     db = duckdb.connect()
