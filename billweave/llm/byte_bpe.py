@@ -2,7 +2,9 @@
 
 Encoding: a text's pattern matches are words. Words not met before by the worker become token-position rows
 (word, position, id); a recursive query joins neighbouring rows with the merge table, contracts each word's leftmost
-pair of least rank, and goes on until no word has a pair left. A word that is itself in the vocabulary is one token.
+pair of least rank, and goes on until no word has a pair left. A word that is itself in the vocabulary is one token. Words of
+over ``LONG`` bytes go through a query of their own, whose rounds are as many as the different ranks they merge by, not as
+the merges.
 Decoding: token-position rows join the vocabulary and an ordered aggregation concatenates the bytes.
 
 The merge table has, for every token, each of its two-part splits into tokens, so joining it is the same as looking
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+import sys
 
 import duckdb
 import numpy as np
@@ -26,35 +28,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held, map_rows, text_of
-from .units import PATTERN, units
+from .units import PATTERN, UnitCoder, packets
 
-#: Words a query takes at once, and words, and units or runs, in one generation of what a worker remembers.
-AT_ONCE, WORDS, REMEMBER = 30_000, 250_000, 100_000
+#: Bytes of words, and tokens, that a query takes at once; bytes from which a word is long; tokens of a text decoded as one run.
+AT_ONCE, TOKENS, LONG, RUN = 400_000, 1_000_000, 96, 65_536
 
-#: Documents taken together: new words are learned from all of them by one recursive query, which builds its join tables once a round.
+#: Documents taken together: new words are learned from all of them, as a recursive query builds its join tables once a round.
 DOCUMENTS = 2000
 
-#: A pair's key orders by rank and then place: rank times 2^32, plus position.
+#: A token's place is its word's number times 2^32, plus its position; a pair's key its rank times 2^32, plus its position,
+#: so that the least key is the leftmost pair of least rank.
 _ENCODE = """
-WITH RECURSIVE step(word, pos, id, live) AS (
-    SELECT word, pos, id, true FROM fresh
+WITH RECURSIVE step(place, id, live) AS (
+    SELECT place, id, true FROM fresh
   UNION ALL (
     WITH paired AS MATERIALIZED (
-        SELECT s.word, s.pos, s.id, s.before, (m.rank::BIGINT << 32) | s.pos AS key
+        SELECT s.place, s.id, s.before, (m.rank::BIGINT << 32) | (s.place & 4294967295) AS key
         FROM (
-            SELECT word, pos, id, lead(id) OVER w AS next_id, lag(pos) OVER w AS before
-            FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-        ) s LEFT JOIN merges m ON m.left_id = s.id AND m.right_id = s.next_id
+            SELECT place, id, lag(place) OVER w AS before,
+                   CASE WHEN (lead(place) OVER w) >> 32 = place >> 32 THEN (id::BIGINT << 32) | lead(id) OVER w END AS pair
+            FROM step WHERE live WINDOW w AS (ORDER BY place)
+        ) s LEFT JOIN merges m ON m.pair = s.pair
     ),
-    leftmost AS (SELECT word, min(key) AS best FROM paired GROUP BY word)
-    SELECT p.word, p.pos,
-           CASE WHEN p.pos = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE p.id END,
+    leftmost AS (SELECT place >> 32 AS word, min(key) AS best FROM paired WHERE key IS NOT NULL GROUP BY place >> 32)
+    SELECT p.place,
+           CASE WHEN (p.place & 4294967295) = (best & 4294967295) THEN (best >> 32)::INTEGER ELSE p.id END,
            best IS NOT NULL
-    FROM paired p JOIN leftmost USING (word)
-    WHERE best IS NULL OR before IS NULL OR before <> (best & 4294967295)
+    FROM paired p LEFT JOIN leftmost ON leftmost.word = p.place >> 32
+    WHERE best IS NULL OR before IS NULL OR before <> ((p.place >> 32 << 32) | (best & 4294967295))
   )
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word
+SELECT (place >> 32)::INTEGER AS word, list(id ORDER BY place) AS ids FROM step WHERE NOT live GROUP BY place >> 32
+"""
+
+#: The same for long words, whose rounds only give what changes (a token taken into the one before it becomes -1). A round takes all
+#: places of a word's least rank, from left to right without overlaps, where the token made is safe: no merge with it as a part
+#: ranks below it, so the rank stays the least until no place of it is left. Of other tokens it takes the leftmost.
+_ENCODE_LONG = """
+WITH RECURSIVE step(place, id) USING KEY (place) AS (
+    SELECT place, id FROM fresh
+  UNION (
+    WITH paired AS MATERIALIZED (
+        SELECT s.place, s.next_place, m.rank, m.safe
+        FROM (
+            SELECT place, lead(place) OVER w AS next_place,
+                   CASE WHEN (lead(place) OVER w) >> 32 = place >> 32 THEN (id::BIGINT << 32) | lead(id) OVER w END AS pair
+            FROM recurring.step WHERE id >= 0 WINDOW w AS (ORDER BY place)
+        ) s JOIN merges m ON m.pair = s.pair
+    ),
+    least AS (SELECT place >> 32 AS word, min(rank) AS rank FROM paired GROUP BY place >> 32),
+    found AS (
+        SELECT p.*, p.place >> 32 AS word, coalesce(lag(next_place) OVER (ORDER BY place) <> place, true) AS apart
+        FROM paired p JOIN least ON least.word = p.place >> 32 AND least.rank = p.rank
+    ),
+    runs AS (SELECT *, sum(apart::INTEGER) OVER (ORDER BY place) AS run, row_number() OVER (PARTITION BY word ORDER BY place) AS nth FROM found),
+    taken AS (SELECT * FROM runs WHERE safe OR nth = 1 QUALIFY row_number() OVER (PARTITION BY run ORDER BY place) % 2 = 1)
+    SELECT place, rank FROM taken UNION ALL SELECT next_place, -1 FROM taken
+  )
+)
+SELECT (place >> 32)::INTEGER AS word, list(id ORDER BY place) AS ids FROM step WHERE id >= 0 GROUP BY place >> 32
 """
 
 _DECODE = """
@@ -68,97 +100,63 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Recent:
-    """What was met lately: two generations of bounded size, the older of which is dropped when the newer is full."""
-
-    def __init__(self, size: int):
-        self.size, self.now, self.before = size, {}, {}
-
-    def missing(self, keys: set) -> set:
-        """The keys not remembered; all others are in ``now`` until the next call."""
-        if len(self.now) > self.size:
-            self.now, self.before = {}, self.now
-        absent = keys.difference(self.now)
-        old = self.before
-        self.now.update([(k, old[k]) for k in absent.intersection(old)])
-        return absent.difference(old)
-
-
-class Codec:
+class Codec(UnitCoder):
     """A worker's DuckDB with the vocabulary and merge tables, and the words it knows."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks = ranks = read_ranks(path)
-        self.pattern = regex.compile(pattern)
         #: With the usual pattern a single space between non-spaces always starts a word, so texts can be cut there first.
-        self.units = units if pattern == PATTERN else lambda text: [text]
-        self.single = array("i", [ranks[bytes([b])] for b in range(256)])
+        super().__init__(regex.compile(pattern).findall, self._ids, pattern == PATTERN)
+        self.decimal = list(map(str, range(max(ranks.values()) + 1)))
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
-        splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self._table("merges", zip(*splits), ("left_id", "right_id", "rank"), (pa.int32(),) * 3)
+        splits = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        unsafe = {part for pair, r in splits for part in (pair >> 32, pair & 0xFFFFFFFF) if r < part}
+        self._table("merges", (*zip(*splits), [r not in unsafe for _, r in splits]), ("pair", "rank", "safe"), (pa.int64(), pa.int32(), pa.bool_()))
         self._table("vocabulary", (list(ranks.values()), [t.hex() for t in ranks]), ("id", "hex"), (pa.int32(), pa.string()))
-        self.spaced = np.zeros(max(ranks.values()) + 1, bool)  # tokens that start with a space
-        self.spaced[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.words, self.known, self.runs = Recent(WORDS), Recent(REMEMBER), Recent(REMEMBER)
 
     def _table(self, name, columns, names, types) -> None:
-        rows = pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=list(names))
+        rows = pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
         self.db.register("incoming", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words not known yet, by the recursive query."""
-        parts = []
-        for w in words:
-            b = w.encode()
-            if (r := self.ranks.get(b)) is not None:
-                self.words.now[w] = array("i", [r]).tobytes()
-            else:
-                parts.append((w, b))
-        for k in range(0, len(parts), AT_ONCE):
-            some = parts[k : k + AT_ONCE]
-            word, pos, ids = array("i"), array("i"), array("i")
-            for i, (_, b) in enumerate(some):
-                word.extend([i] * len(b))
-                pos.extend(range(len(b)))
-                ids.extend(map(self.single.__getitem__, b))
-            self._table("fresh", (word, pos, ids), ("word", "pos", "id"), (pa.int32(),) * 3)
-            got = self.db.sql(_ENCODE).to_arrow_table().combine_chunks()
-            lists = got["ids"].chunk(0)
-            flat, ends = lists.flatten().to_numpy().tobytes(), lists.offsets.to_pylist()
-            for i, start, end in zip(got["word"].to_pylist(), ends, ends[1:]):
-                self.words.now[some[i][0]] = flat[4 * start : 4 * end]
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Of words, one token each or by the recursive queries."""
+        whole = list(map(self.ranks.get, words))
+        out = [b"" if r is None else r.to_bytes(4, sys.byteorder) for r in whole]
+        fresh = [i for i, r in enumerate(whole) if r is None and words[i]]
+        for query, some in (_ENCODE, [i for i in fresh if len(words[i]) <= LONG]), (_ENCODE_LONG, [i for i in fresh if len(words[i]) > LONG]):
+            for part in packets(some, [len(words[i]) for i in some], AT_ONCE):
+                sizes = np.array([len(words[i]) for i in part])
+                place = np.arange(sizes.sum()) + np.repeat((np.arange(len(part)) << 32) - (np.cumsum(sizes) - sizes), sizes)
+                ids = self.single[np.frombuffer(b"".join([words[i] for i in part]), np.uint8)]
+                self._table("fresh", (place, ids), ("place", "id"), (pa.int64(), pa.int32()))
+                got = self.db.sql(query).to_arrow_table().combine_chunks()
+                lists = got["ids"].chunk(0)
+                flat, ends = lists.values.to_numpy().tobytes(), (4 * lists.offsets.to_numpy()).tolist()
+                for i, start, end in zip(got["word"].to_pylist(), ends, ends[1:]):
+                    out[part[i]] = flat[start:end]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [self.units(t) if t else [] for t in texts]
-        for part in cut:  # a unit's leading space was dropped by the cut; put it back on all but the first
-            part[1:] = [" " + u for u in part[1:]]
-        split = {u: self.pattern.findall(u) for u in self.known.missing(set().union(*cut))}
-        self.learn(sorted(self.words.missing(set().union(*split.values()))))
-        known, one = self.known.now, self.words.now
-        known.update((u, b"".join([one[w] for w in ws])) for u, ws in split.items())
-        return [np.frombuffer(b"".join([known[u] for u in part]), np.int32) for part in cut]
+        return [x.view(np.int32) for x in self.encode_all(texts)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """Bytes of each id list. A list is cut before tokens that start with a space, and each distinct run is decoded
-        once by the ordered aggregation."""
-        cut = []
-        for x in ids:
-            ends = [0, *(4 * (np.flatnonzero(self.spaced[x[1:]]) + 1)).tolist(), 4 * len(x)] if len(x) else [0]
-            data = x.astype(np.int32).tobytes()
-            cut.append([data[a:b] for a, b in zip(ends, ends[1:])])
-        fresh, runs = sorted(self.runs.missing(set().union(*cut))), self.runs.now
-        for k in range(0, len(fresh), AT_ONCE):
-            some = fresh[k : k + AT_ONCE]
-            n = np.array([len(r) // 4 for r in some])
+        """Bytes of each id list, by the ordered aggregation over runs of ``RUN`` tokens at most."""
+        runs = [(i, x[a : a + RUN]) for i, x in enumerate(ids) for a in range(0, len(x), RUN)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        for some in packets(runs, [len(x) for _, x in runs], TOKENS):
+            n = np.array([len(x) for _, x in some])
             run = np.repeat(np.arange(len(some), dtype=np.int32), n)
             pos = (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            self._table("tokens", (run, pos, np.frombuffer(b"".join(some), np.int32)), ("run", "pos", "id"), (pa.int32(),) * 3)
+            self._table("tokens", (run, pos, np.concatenate([x for _, x in some])), ("run", "pos", "id"), (pa.int32(),) * 3)
             got = self.db.sql(_DECODE).to_arrow_table()
-            runs.update((some[i], text) for i, text in zip(got["run"].to_pylist(), got["bytes"].to_pylist()))
-        return [b"".join([runs[r] for r in part]) for part in cut]
+            content = dict(zip(got["run"].to_pylist(), got["bytes"].to_pylist()))
+            for k, (i, _) in enumerate(some):
+                out[i].append(content[k])
+        return [b"".join(parts) for parts in out]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -204,7 +202,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         def work(columns):
             coder = codec(path, pattern)
             ids = coder.encode(columns[1])
-            sums = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+            sums = [hashlib.sha256(",".join(map(coder.decimal.__getitem__, x.tolist())).encode()).hexdigest() for x in ids]
             back = [hashlib.sha256(b).hexdigest() for b in coder.decode(ids)]
             return [columns[0], list(map(len, ids)), sums, back]
 

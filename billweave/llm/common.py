@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,27 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder as a URI; a path without a scheme is of Spark's default file system, as Spark takes it."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that later passes neither recompute it nor depend on an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_of(name: str) -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias("text")
@@ -58,6 +74,35 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], list]], schema:
     return df.mapInArrow(run, fields)
 
 
+def cells(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset).tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
+_SPACES = np.isin(np.arange(256), [*range(0x09, 0x0E), 0x20])
+
+
+def split_words(content: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of UTF-8 texts, as divided by the six ASCII spaces: (number of each word in turn, the different ones, how many
+    each text has). The different ones may have spaces after them, so that one word can have several numbers."""
+    data, ends = b"".join(content), np.cumsum([len(c) for c in content])
+    white = _SPACES[np.frombuffer(data, np.uint8)]
+    start = ~white
+    start[1:] &= white[:-1]
+    sizes = np.array([len(c) for c in content], np.int64)
+    first = (ends - sizes)[sizes > 0]
+    start[first] = ~white[first]
+    starts = np.flatnonzero(start)
+    if not len(starts):
+        return np.empty(0, np.int64), [], np.zeros(len(content), np.int64)
+    offsets = np.append(starts, len(data))
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return words.indices.to_numpy(), cells(words.dictionary), np.diff(np.searchsorted(starts, np.append(0, ends)))
+
+
 _held: dict = {}
 
 

@@ -83,12 +83,11 @@ def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         enc = encoder(path)
         guard = max(map(len, enc.specials), default=0) + 2
 
-        def tokens(text: str) -> int:
-            if len(text) <= chunk:
-                return len(enc.encode(text)) // 4
-            return count_spliced(text, lambda part: pieces(enc, part), guard, chunk, overlap)
+        def tokens(texts: list[str]) -> list[int]:
+            short = iter(enc.encode_all([t for t in texts if len(t) <= chunk]))
+            return [len(next(short)) if len(t) <= chunk else count_spliced(t, lambda part: pieces(enc, part), guard, chunk, overlap) for t in texts]
 
-        return lambda c: [c[0], [len(t.encode()) for t in c[1]], list(map(tokens, c[1]))]
+        return lambda c: [c[0], [len(t.encode()) for t in c[1]], tokens(c[1])]
 
     key = docs.schema[id_col].dataType.simpleString()
     return map_rows(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col)), make, f"doc_id {key}, n_bytes long, n_tokens long")

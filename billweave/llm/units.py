@@ -1,31 +1,141 @@
-"""Counting and encoding with the tokenizers library, once per distinct unit of text.
+"""Ids of texts by way of their distinct units and words, and the tokenizers library over these.
 
-A unit is what stands between two single spaces that have a non-space on either side. A byte-level pre-tokenizer
-always starts a new piece at such a space, and what follows it depends on nothing before it, so a text's ids are
-its units' ids in order. Each worker keeps the ids of the units it has met, up to a bound.
+A unit is what begins at a single space that has a non-space on either side, or at the text's start. A byte-level
+pre-tokenizer always starts a new piece at such a space, and what follows it depends on nothing before it, so a text's ids
+are its units' ids in order. Many texts are taken together: their units are found and counted as Arrow binary dictionaries,
+so that Python sees each of them once, and a worker keeps the ids of the units and words it met lately, up to a bound.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import regex
 
-from .common import held
+from .common import cells, held
 
-_HARD = re.compile(r"\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The pieces of a byte-level pre-tokenizer, used for texts in the scripts where all libraries agree on letter classes.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECES = regex.compile(PATTERN)
 _BEYOND = re.compile("[^\u0000-\u024f]")
-#: Units and pieces a worker remembers.
-REMEMBER = 500_000
+#: Units and words in one generation of what a worker remembers.
+UNITS, WORDS = 150_000, 300_000
+#: Characters of texts taken together.
+TEXT = 8_000_000
+_WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARKS = frozenset(bytes([b]) for b in b".,;:!?)\"'")
 
 _loaded: dict[str, object] = {}
 
 
+class Recent:
+    """What was met lately: two generations of bounded size, the older of which is dropped when the newer is full."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, keys: list) -> list:
+        """The keys not remembered; all others are in ``now`` until the next call."""
+        if len(self.now) > self.size:
+            self.now, self.before = {}, self.now
+        now, old, absent = self.now, self.before, []
+        for key in keys:
+            if key not in now:
+                if (got := old.get(key)) is None:
+                    absent.append(key)
+                else:
+                    now[key] = got
+        return absent
+
+
+def packets(items: list, sizes: list[int], most: int) -> Iterator[list]:
+    """The items in turn, in lists of ``most`` size together or of one item."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            yield items[start:i]
+            start, total = i, 0
+        total += size
+    if items[start:]:
+        yield items[start:]
+
+
+class UnitCoder:
+    """Ids of texts from those of their distinct words.
+
+    ``divide`` gives the words of a unit, ``learn`` the ids (native unsigned 32-bit) of new words in turn. Without ``cut``
+    a text is one unit.
+    """
+
+    def __init__(self, divide: Callable[[str], list[str]], learn: Callable[[list[bytes]], list[bytes]], cut: bool):
+        self.divide, self.learn, self.cut = divide, learn, cut
+        self.units, self.words = Recent(UNITS), Recent(WORDS)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids for some in packets(texts, list(map(len, texts)), TEXT) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        content = [t.encode() for t in texts]
+        ends = np.cumsum([len(c) for c in content])
+        starts, data = unit_starts(texts, content, ends, self.cut), b"".join(content)
+        offsets = np.append(starts, len(data))
+        units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        which, distinct = units.indices.to_numpy(), cells(units.dictionary)
+        self._meet(self.units.missing(distinct))
+        ids = list(map(self.units.now.__getitem__, distinct))
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        flat, first = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        before = np.append(0, np.cumsum(n))
+        out = flat[np.repeat(first[which] - before[:-1], n) + np.arange(before[-1])]
+        at = before[np.searchsorted(starts, ends)].tolist()
+        return [out[a:b] for a, b in zip([0, *at], at)]
+
+    def _meet(self, fresh: list[bytes]) -> None:
+        """Learn units not met lately."""
+        one, more = [], {}
+        for u in fresh:
+            if self.cut and u[:1] == b" " and u[1:].isalpha():  # ASCII letters
+                one.append(u)
+            elif self.cut and u[:1] == b" " and u[1:-1].isalpha() and u[-1:] in _MARKS:
+                more[u] = (u[:-1], u[-1:])
+            else:
+                text = u.decode()
+                if self.cut and u[:1] == b" " and text[1:].isalpha() and not _BEYOND.search(text):
+                    one.append(u)
+                else:
+                    more[u] = [w.encode() for w in self.divide(text)]
+        new = self.words.missing(list(dict.fromkeys(chain(one, chain.from_iterable(more.values())))))
+        words, units = self.words.now, self.units.now
+        words.update(zip(new, self.learn(new), strict=True))
+        units.update((u, words[u]) for u in one)
+        units.update((u, b"".join([words[w] for w in parts])) for u, parts in more.items())
+
+
+def unit_starts(texts: list[str], content: list[bytes], ends: np.ndarray, cut: bool) -> np.ndarray:
+    """Byte places in the contents, one after the other, where units start."""
+    sizes = np.array([len(c) for c in content], np.int64)
+    own = (ends - sizes)[sizes > 0]
+    if not cut or not len(own):
+        return own
+    raw = np.frombuffer(b"".join(content), np.uint8)
+    white = _WHITE[raw]
+    for text, end, size in zip(texts, ends.tolist(), sizes.tolist()):
+        if not text.isascii() and _WIDE.search(text):  # has other white space: nothing next to its wide characters is cut
+            white[end - size : end] |= raw[end - size : end] >= 0x80
+    start = np.zeros(len(raw), bool)
+    start[1:-1] = (raw[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
+    start[ends[sizes > 0] - 1] = False  # a text's last character
+    start[own] = True
+    return np.flatnonzero(start)
+
+
 def load(path: str):
     """The tokenizer of a file, once per worker; its own threads stay off, as Spark has the cores."""
     if path not in _loaded:
@@ -41,17 +151,8 @@ def load(path: str):
     return _loaded[path]
 
 
-def units(text: str) -> list[str]:
-    """The text in parts; joined by single spaces they are the text."""
-    if _HARD.search(text) or text[:1].isspace() or text[-1:].isspace():
-        parts = _CUT.split(text)
-    else:
-        parts = text.split(" ")
-    return parts
-
-
-class Encoder:
-    """Ids of whole texts as native (little-endian) unsigned 32-bit bytes. One per worker and file."""
+class Encoder(UnitCoder):
+    """Ids by the tokenizers library. One per worker and file."""
 
     def __init__(self, path: str):
         self.tok = load(path)
@@ -59,42 +160,26 @@ class Encoder:
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = {b: c for b, c in _byte_letters()}
         self.mark = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            word = piece.encode().decode("latin-1").translate(self.letters)
-            got = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-            if len(self.pieces) >= REMEMBER:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
-
-    def _fresh(self, unit: str) -> bytes:
-        if (unit.isascii() or not _BEYOND.search(unit)) and not self.mark.search(unit):
-            pieces = _PIECES.findall(unit)
-            return self._piece(unit) if len(pieces) == 1 else b"".join(map(self._piece, pieces))
-        return array("I", self.tok.encode(unit, add_special_tokens=False).ids).tobytes()
+        super().__init__(lambda unit: [unit] if self._odd(unit) else _PIECES.findall(unit), self._ids, True)
+
+    def _odd(self, unit: str) -> bool:
+        """Whether the library takes the unit as a whole: it has a special string, or letters beyond those agreed on."""
+        return bool(not unit.isascii() and _BEYOND.search(unit) or self.mark.search(unit))
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        space, out, tokenize = self.letters[0x20], [], self.model.tokenize
+        for w in words:
+            if w[1:].isalpha() and w[:1] == b" ":
+                ids = [t.id for t in tokenize(space + w[1:].decode())]
+            elif self._odd(text := w.decode()):
+                ids = self.tok.encode(text, add_special_tokens=False).ids
+            else:
+                ids = [t.id for t in tokenize(w.decode("latin-1").translate(self.letters))]
+            out.append(array("I", ids).tobytes())
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = units(text)
-        known = self.tail
-        out = [self.head.get(first) or self._remember(self.head, first, first)]
-        for u in rest:
-            got = known.get(u)
-            out.append(self._remember(known, u, " " + u) if got is None else got)
-        return b"".join(out)
-
-    def _remember(self, known: dict, key: str, unit: str) -> bytes:
-        if len(known) >= REMEMBER:
-            known.clear()
-        known[key] = got = self._fresh(unit)
-        return got
+        return self.encode_all([text])[0].tobytes()
 
 
 def _byte_letters():

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -16,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from billweave.llm import byte_bpe, cotrain, decontaminate, html_text, kneser_ney, ledger, pfor, queries, secrets, simhash, token_counts
-from billweave.llm.units import encoder
+from billweave.llm.units import Encoder, encoder
 
 RANKS, JSON = public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.path(queries.BPE_JSON)
 _RNG = random.Random(7)
@@ -65,13 +67,26 @@ def test_byte_bpe(docs):
 PIECES = st.lists(st.sampled_from(["a", "B", "é", "the", " ", "  ", "\n", "\t", "<|endoftext|>", "<|end", "'s", "123", "!!", "日本", "\xa0", "😀", "²", "_", "\r\n", " the"]), max_size=14).map("".join)
 
 
+@cache
+def coders():
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+    return Encoder(JSON), enc, byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
+
+
+def test_long_words_take_few_rounds():
+    _, enc, coder = coders()
+    r = random.Random(5)
+    words = ["".join(r.choice(a) for _ in range(n)) for a, n in (("abcdefghijklmnopqrstuvwxyz", 4000), ("a", 60_000), ("ab", 1500), ("éaß日本", 6000), ("ernstia", 97))]
+    start = time.monotonic()
+    assert [x.tolist() for x in coder.encode([*words, " ".join(words)])] == [enc.encode_ordinary(w) for w in [*words, " ".join(words)]]
+    assert time.monotonic() - start < 60
+
+
 @settings(max_examples=300, deadline=None)
 @given(PIECES)
 def test_units_agree_with_the_libraries(text):
-    e = encoder(JSON)
+    e, enc, coder = coders()
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tok.encode(text, add_special_tokens=False).ids
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
-    coder = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
     (ids,) = coder.encode([text])
     assert ids.tolist() == enc.encode_ordinary(text) and coder.decode([ids]) == [text.encode()]
 
@@ -157,10 +172,10 @@ def plain_leaks(texts, bench, similarity=0.8):
             k = min(5, n)
             counts = lambda ws: Counter(tuple(ws[x : x + k]) for x in range(len(ws) - k + 1))
             own = counts(item)
-            for s in range(len(words) - n + 1):
+            for s in range(max(1, len(words) - n + 1)):
                 got = counts(words[s : s + n])
                 weight = {g: len(set(g)) for g in {*own, *got}}
-                score = sum(min(own[g], got[g]) * w for g, w in weight.items()) / sum(max(own[g], got[g]) * w for g, w in weight.items())
+                score = sum(min(own[g], got[g]) * w for g, w in weight.items()) / max(1, sum(max(own[g], got[g]) * w for g, w in weight.items()))
                 if score >= similarity and (best is None or score > best[0]):
                     best = score, s
             if best:
@@ -175,6 +190,7 @@ def test_decontaminate(spark):
         w = t.split()
         changed = w[:1] + ["other"] + w[2:]
         near = [*w[:-2], w[-2].upper() + "!", *w[-1:]]
+        texts += [(50 + k, " ".join(w[: -1 - len(w) // 12])), (60 + k, " ".join(w[1 + len(w) // 20 :]))]  # shorter than the item
         texts += [(10 + k, prose(60, k) + " " + t + " " + prose(30, k + 9)), (20 + k, prose(60, k) + " " + " ".join(changed)), (30 + k, " ".join(near) + " " + prose(20, k)), (40 + k, t + " " + t)]
     got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert sorted(((r[0], r[1], round(r[2], 9), r[3]) for r in got), key=repr) == plain_leaks(texts, bench)
@@ -361,7 +377,8 @@ def test_blocks_round_trip(values, percent):
 
 def test_token_files(docs):
     e, start, want = encoder(JSON), 0, []
-    for i, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    place = {r["text"]: r["h"] for r in docs.selectExpr("coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    for i, t in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1] or ""])):
         ids = np.array([*e.tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
