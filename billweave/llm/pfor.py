@@ -8,12 +8,14 @@ A shard file holds the ids of a run of documents, in ascending doc_id order:
     footer: block index (offset, ids, minimum, width, exceptions) and document index (id, null flag, ids)
     trailer: footer offset, number of blocks, number of documents, magic
 
-Shards are cut by range partitioning, so no task and no driver sees more than its own. Files go to the shared
-folder under a name of their own for every attempt, and only the names that finished tasks return are read, so a
-lost executor or a repeated task leaves nothing but an unread file.
-
-Defined results: a null text is empty and has only its end id; equal ids are ordered by text; null ids come first;
-an empty table gives no shards and no rows; extra columns are ignored.
+Texts are encoded where they are read, and ids, not texts, are shuffled to the shards: ranges of (doc_id, hash of the text),
+with bounds from a sample of about ``SAMPLE`` rows a shard, so that repeated or null ids don't make a shard of their own size. No
+task and no driver sees more than its own shards, and a shard streams through its task. Files go to the shared folder under a
+name of their own for every attempt, and only the names that finished tasks return are read, so a lost executor or a
+repeated task leaves nothing but an unread file.
+
+Defined results: a null text is empty and has only its end id; equal doc_ids are ordered by the hash of their texts; null
+doc_ids come first; an empty table gives no shards and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, text_of
+from .common import cut, shared_uri, slices, text_of
 from .units import encoder
 
 BLOCK = 8192
@@ -37,8 +41,8 @@ PERCENT = 90
 MAGIC = b"PFOR0001"
 _INDEX = np.dtype([("offset", "<u8"), ("n", "<u4"), ("minimum", "<u4"), ("width", "<u1"), ("n_except", "<u4")])
 _DOC = np.dtype([("doc_id", "<i8"), ("is_null", "<u1"), ("n", "<u8")])
-#: Bytes of UTF-8 text per shard aimed at.
-SHARD_BYTES = 16_000_000
+#: Bytes of UTF-8 text per shard aimed at, rows sampled for the bounds of each, and shards whose sizes are summed up together.
+SHARD_BYTES, SAMPLE, TOGETHER = 16_000_000, 40, 1024
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -157,40 +161,73 @@ def _open(uri: str):
     return fs, path
 
 
+def bounds(rows: DataFrame, shards: int, n: int) -> list[tuple[bool, int, int]]:
+    """Least keys of all shards but the first, by a sample of ``doc_id, h``; a key is (not null, doc_id, h)."""
+    if shards < 2:
+        return []
+    some = rows.select("doc_id", "h").sample(min(1.0, SAMPLE * shards / max(1, n)), 7).toArrow()
+    keys = sorted((i is not None, i or 0, h) for i, h in zip(some["doc_id"].to_pylist(), some["h"].to_pylist()))
+    return sorted({keys[len(keys) * k // shards] for k in range(1, shards)}) if keys else []
+
+
 def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode and write all documents; ``shard, uri, n_tokens`` of each file, in ascending order of documents.
 
     ``shards`` defaults to one per ``SHARD_BYTES`` of text. The ids must be integers.
     """
     spark = docs.sparkSession
-    base = shared_dir(spark)
-    base = f"{base if '://' in base or base.startswith('file:') else 'file://' + base}/pfor-{uuid.uuid4().hex}"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col))
-    if shards is None:
-        shards = 1 + int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
-
-    def save(batches):
-        enc, end, out = encoder(path), np.array([end_id], "<u4").tobytes(), None
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                if out is None:
-                    shard = TaskContext.get().partitionId()
-                    uri = f"{base}/{shard:06d}-{uuid.uuid4().hex}.pfor"
+    base = f"{shared_uri(spark)}/pfor-{uuid.uuid4().hex}"
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).withColumn("h", F.xxhash64("text"))
+    size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    shards = shards or 1 + int((size or 0) // SHARD_BYTES)
+    least = bounds(rows, shards, n)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
+            ids, h = batch["doc_id"].to_pylist(), batch["h"].to_pylist()
+            shard = [bisect_right(least, (i is not None, i or 0, x)) for i, x in zip(ids, h)]
+            cells = [_narrow(np.append(x, np.uint32(end_id))) for x in enc.encode_all(batch["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch["doc_id"], batch["h"], pa.array(cells, pa.binary())], ["shard", "doc_id", "h", "ids"])
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, done = None, None, []
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
+            for shard, doc_id, ids in zip(*(batch[c].to_pylist() for c in ("shard", "doc_id", "ids"))):
+                if shard != now:
+                    if out is not None:
+                        done.append((now, uri, out.close()))
+                    now, uri = shard, f"{base}/{shard:06d}-{uuid.uuid4().hex}.pfor"
                     fs, at = _open(uri)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
                     out = ShardWriter(fs.open_output_stream(at))
-                out.add(None if pd.isna(doc_id) else int(doc_id), enc.encode(text) + end)
+                out.add(doc_id, _wide(ids))
         if out is not None:
-            yield pd.DataFrame({"shard": [shard], "uri": [uri], "n_tokens": [out.close()]})
+            done.append((now, uri, out.close()))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["shard", "uri", "n_tokens"])
+
+    encoded = rows.mapInArrow(encode, "shard int, doc_id long, h long, ids binary")
+    dealt = encoded.repartitionById(len(least) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "h", "ids")
+    return cut(dealt.mapInArrow(save, "shard long, uri string, n_tokens long"))
+
+
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids for the shuffle, in two bytes each if they all fit; the last byte says how many."""
+    width = 2 if int(ids.max()) < 1 << 16 else 4
+    return ids.astype(f"<u{width}").tobytes() + bytes([width])
+
 
-    ranged = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    as_text = ranged.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # nullable longs would pass through floats
-    return cut(as_text.mapInPandas(save, "shard long, uri string, n_tokens long"))
+def _wide(cell: bytes) -> bytes:
+    return np.frombuffer(cell, f"<u{cell[-1]}", len(cell) // cell[-1]).astype("<u4").tobytes()
 
 
 def read(files: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files that ``write`` returned."""
-    placed = files.withColumn("first", F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))  # one row a file
+    group = F.expr(f"shard div {TOGETHER}")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("part", group)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("ahead", F.sum("n").over(before.orderBy("part")))  # one row a part
+    placed = files.join(parts.drop("n"), "part").withColumn("first", F.coalesce("ahead", F.lit(0)) + F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("shard")), F.lit(0)))
 
     def load(batches):
         for pdf in batches:
@@ -203,5 +240,5 @@ def read(files: DataFrame) -> DataFrame:
                         start += len(tokens)
                 yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": starts, "n_tokens": sizes, "ids_crc32": sums})
 
-    one_each = placed.select("uri", F.coalesce("first", F.lit(0)).alias("first"), "shard").repartition(files.count() or 1, "shard")
+    one_each = placed.select("uri", "first", "shard").repartitionById((files.agg(F.max("shard")).first()[0] or 0) + 1, F.col("shard").cast("int"))
     return one_each.mapInPandas(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
