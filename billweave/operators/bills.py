@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
+from ..sources.uploads import digital_words
 from ..schema import WIDE
 from . import fields, layout, tables
+from .shared import cut
 
 TOLERANCE, EXTRACTION_TOLERANCE = "1.00", "2.00"
 
@@ -36,7 +38,7 @@ def totals(bills: DataFrame, items: DataFrame, key: str = "bill_id", adjustment:
 
 def reconciles(printed: Column, calculated: Column, tolerance: str = TOLERANCE) -> Column:
     """No printed total, or one within the tolerance."""
-    return F.coalesce(F.abs(printed - calculated) <= money.dec(tolerance, 6, 2), F.lit(True))
+    return F.coalesce(F.abs(printed - calculated) <= money.dec(tolerance, 14, 2), F.lit(True))
 
 
 def item_errors(quantity: Column, rate: Column, gst: Column) -> Column:
@@ -56,8 +58,14 @@ def markup_error(markup: Column) -> Column:
 def with_edit_defaults(items: DataFrame) -> DataFrame:
     """An edited item's line is priced with quantity 1 if it has none or less than nothing, and tax 0 if it has none."""
     q = F.when(F.coalesce(F.col("quantity"), F.lit(0)) <= 0, F.lit(1)).otherwise(F.col("quantity")).cast("decimal(12,3)")
-    d = items.withColumn("__q", q).withColumn("__g", F.coalesce("gst_rate", F.lit(0)).cast("decimal(5,2)"))
-    return with_amounts(d, "__q", "rate", "__g").drop("__q", "__g")
+    line = money.line_amount(q, F.col("rate"))
+    tax = money.tax_amount(line, F.coalesce("gst_rate", F.lit(0)))
+    return items.withColumns({"line_amount": line, "tax_amount": tax, "total_amount": (line + tax).cast(WIDE)})
+
+
+def needs_review(n_items: Column, doubtful: Column, printed: Column, calculated: Column, tolerance: str = EXTRACTION_TOLERANCE) -> Column:
+    """A bill without items, with a doubtful one, or far from its printed total."""
+    return (n_items == 0) | F.coalesce(doubtful, F.lit(False)) | ~reconciles(printed, calculated, tolerance)
 
 
 def next_serial(bills: DataFrame, items: DataFrame, key: str = "bill_id") -> DataFrame:
@@ -105,12 +113,15 @@ def numbered(items: DataFrame) -> DataFrame:
 def extract(documents: DataFrame, digital: DataFrame, recognised: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bills, bill items) of documents (``doc_id``) from words of digital pages, or else from recognised ones.
 
-    Recognised words count only for documents whose digital pages yield no item; a total found on digital pages stays.
+    Digital pages of a document count if they have eight words or more together. Recognised words count only for documents whose
+    digital pages yield no item; a total found on digital pages stays. Lines and digital items are computed once, in the shared
+    folder.
     """
-    digital_lines = layout.lines(digital).persist()
-    digital_items = tables.candidate_items(digital_lines).persist()
+    digital = digital_words(digital)
+    digital_lines = cut(layout.lines(digital))
+    digital_items = cut(tables.candidate_items(digital_lines))
     scanned = recognised.join(digital_items.select("doc_id").distinct(), "doc_id", "left_anti")
-    scanned_lines = layout.lines(scanned).persist()
+    scanned_lines = cut(layout.lines(scanned))
     candidates = numbered(digital_items.unionByName(tables.candidate_items(scanned_lines)))
 
     rate = F.coalesce("source_rate", "taxable_rate", F.lit(0).cast("decimal(24,12)"))
@@ -143,7 +154,7 @@ def extract(documents: DataFrame, digital: DataFrame, recognised: DataFrame) ->
     zero = F.lit(0).cast(WIDE)
     d = d.withColumn("subtotal", F.coalesce("subtotal", zero).cast(WIDE)).withColumn("tax_total", F.coalesce("tax_total", zero).cast(WIDE))
     d = d.withColumn("grand_total", (F.col("subtotal") + F.col("tax_total")).cast(WIDE)).withColumn("document_total", F.coalesce("a", "b"))
-    review = (F.col("n_items") == 0) | F.coalesce("doubtful", F.lit(False)) | ~reconciles(F.col("document_total"), F.col("grand_total"), EXTRACTION_TOLERANCE)
+    review = needs_review(F.col("n_items"), F.col("doubtful"), F.col("document_total"), F.col("grand_total"))
     bills = d.select(
         F.col("doc_id").alias("bill_id"), "vendor_name", "vendor_address", "vendor_gstin", "vendor_phone", "vendor_email", "invoice_number", "invoice_date", "buyer_name",
         F.lit("INR").alias("currency"), "subtotal", "tax_total", "grand_total", "document_total", "n_items",

@@ -36,31 +36,43 @@ def full_text(words: DataFrame) -> DataFrame:
     return page.select(*PAGE, F.array_join(F.col("lines.text"), "\n").alias("full_text"))
 
 
+def upper_median(values: Column) -> Column:
+    """Of a sorted array the element in the middle, the later of two; null of an empty one."""
+    return F.try_element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+
+
 def line_clusters(words: DataFrame) -> DataFrame:
     """The words with ``line`` (from 0, top to bottom of the page).
 
     Words are visited from top to bottom; one joins the current line if its centre is within the tolerance of that
-    line's running mean, else it opens the next. Only the latest line can ever match, so a fold over the page's
-    sorted words with the sum and number of that line as its state does it.
+    line's running mean, else it opens the next. A centre further than the tolerance below the one before it is beyond the mean
+    too, so it always opens a line: the page falls into stretches without such a gap, mostly a line each, and only within a
+    stretch a fold keeps the sum and number of the current line and the places where lines start.
     """
     word = F.struct(((2 * F.col("top") + F.col("height")) / 2).alias("y"), "word_ord", "text", "confidence", "left", "top", "width", "height")
     pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(word)).alias("w"))
     heights = F.array_sort(F.filter(F.col("w.height"), lambda h: h > 0))
-    median = F.coalesce(F.try_element_at(heights, F.floor(F.size(heights) / 2).cast("int") + 1), F.lit(20))
-    pages = pages.withColumn("tolerance", F.greatest(F.lit(4.0), median * 0.6))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(-1).alias("k"), F.array().cast("array<int>").alias("out"))
-
-    def step(state, w):
-        joins = (state["n"] > 0) & (F.abs(w["y"] - state["s"] / F.greatest(state["n"], F.lit(1))) <= F.col("tolerance"))
-        k = F.when(joins, state["k"]).otherwise(state["k"] + 1)
+    pages = pages.withColumn("tolerance", F.greatest(F.lit(4.0), F.coalesce(upper_median(heights), F.lit(20)) * 0.6))
+    placed = pages.select(*PAGE, "tolerance", F.posexplode("w").alias("at", "w"))
+    page = Window.partitionBy(*PAGE).orderBy("at")
+    gap = F.coalesce(F.col("w.y") - F.lag("w.y").over(page) > F.col("tolerance"), F.lit(False))
+    placed = placed.withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    stretches = placed.groupBy(*PAGE, "stretch", "tolerance").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("w"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
+
+    def step(state, x):
+        y = x["w"]["y"]
+        joins = (state["n"] > 0) & (F.abs(y - state["s"] / F.greatest(state["n"], F.lit(1))) <= F.col("tolerance"))
         return F.struct(
-            F.when(joins, state["s"] + w["y"]).otherwise(w["y"]).alias("s"), F.when(joins, state["n"] + 1).otherwise(F.lit(1)).alias("n"), k.alias("k"), F.concat(state["out"], F.array(k)).alias("out")
-        )
-
-    placed = pages.select(*PAGE, F.explode(F.arrays_zip("w", F.aggregate("w", start, step, lambda s: s["out"]).alias("k"))).alias("x"))
-    placed = placed.select(*PAGE, F.col("x.k").alias("cluster"), "x.w.*")
-    tops = placed.withColumn("line_top", F.min("top").over(Window.partitionBy(*PAGE, "cluster")))
-    return tops.withColumn("line", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("line_top", "cluster")) - 1).drop("cluster", "line_top")
+            F.when(joins, state["s"] + y).otherwise(y).alias("s"), F.when(joins, state["n"] + 1).otherwise(F.lit(1)).alias("n"), (state["i"] + 1).alias("i"),
+            F.when(joins, state["starts"]).otherwise(F.concat(state["starts"], F.array(state["i"]))).alias("starts"),
+        )
+
+    folded = stretches.withColumn("starts", F.aggregate("w", start, step, lambda s: s["starts"]))
+    placed = folded.select(*PAGE, "stretch", "starts", F.posexplode("w").alias("i", "x"))
+    placed = placed.select(*PAGE, "stretch", F.size(F.filter("starts", lambda k: k <= F.col("i"))).alias("part"), "x.w.*")
+    tops = placed.withColumn("line_top", F.min("top").over(Window.partitionBy(*PAGE, "stretch", "part")))
+    return tops.withColumn("line", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("line_top", "stretch", "part")) - 1).drop("stretch", "part", "line_top")
 
 
 def word_cells(placed: DataFrame) -> DataFrame:

@@ -21,11 +21,22 @@ def config(spark, markup_b: str, markup_c: str, rounding_mode: str) -> DataFrame
 def items(bill_items: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Bill items (``rate``: with tax) priced under each scenario; the three rows of ``scenarios`` go to every task."""
     allowed = scenarios.where("markup_percent >= 0")
-    d = bill_items.crossJoin(F.broadcast(allowed)).withColumn("adjusted_rate", money.marked_up(F.col("rate"), F.col("markup_percent")))
+    return priced(bill_items.crossJoin(F.broadcast(allowed)))
+
+
+def priced(scenario_items: DataFrame) -> DataFrame:
+    """Items with ``rate`` and ``markup_percent`` at the marked-up rate."""
+    d = scenario_items.withColumn("adjusted_rate", money.marked_up(F.col("rate"), F.col("markup_percent")))
     d = d.withColumn("line_amount", money.line_amount(F.col("quantity"), F.col("adjusted_rate"))).withColumn("tax_amount", money.tax_amount(F.col("line_amount"), F.col("gst_rate")))
     return d.withColumn("total_amount", (F.col("line_amount") + F.col("tax_amount")).cast(WIDE))
 
 
+def labelled(scenarios: DataFrame) -> DataFrame:
+    """Scenarios with the label and notice of their type."""
+    label = F.when(F.col("scenario_type") == "baseline", LABELS["baseline"]).when(F.col("scenario_type") == "simulation_b", LABELS["simulation_b"]).otherwise(LABELS["simulation_c"])
+    return scenarios.withColumn("label", label).withColumn("disclaimer", F.when(F.col("scenario_type") == "baseline", BASELINE_NOTE).otherwise(DISCLAIMER))
+
+
 def totals(scenario_items: DataFrame, key: str = "bill_id") -> DataFrame:
     """One row per bill and scenario; only the grand total is rounded by the scenario's mode."""
     by = [key, "scenario_type", "label", "markup_percent", "rounding_mode", "disclaimer"]

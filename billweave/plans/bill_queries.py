@@ -178,8 +178,7 @@ def review_flags(spark, sf_dir):
     """Bills without items, with an unsure item, or far from their printed total."""
     d = bill_ops.with_amounts(items(spark, sf_dir)).groupBy("bill_id").agg(F.count("*").alias("n_items"), F.bool_or(1 - F.col("confidence_gap") < 0.925).alias("unsure"), (F.sum("line_amount") + F.sum("tax_amount")).alias("g"))
     d = bills(spark, sf_dir).join(d, "bill_id", "left").na.fill(0, ["n_items"])
-    far = F.coalesce(F.abs(F.col("printed_total") - F.col("g")) > 2_000_000, F.lit(False))
-    review = (F.col("n_items") == 0) | F.coalesce("unsure", F.lit(False)) | far
+    review = bill_ops.needs_review(F.col("n_items"), F.col("unsure"), F.col("printed_total"), F.col("g"), "2000000.00")
     return d.select("bill_id", "n_items", review.alias("needs_review"))
 
 
@@ -312,7 +311,7 @@ _UPLOADS = """files AS (SELECT page_id, 'scan ' || page_id || (CASE page_id % 5
 
 @query(
     f"""WITH {_UPLOADS}, kinds AS (SELECT *, lower(regexp_extract(name, '(\\.[^./]*)$', 1)) AS ext FROM files)
-        SELECT page_id, CASE WHEN ext NOT IN ('.pdf', '.jpg', '.jpeg', '.png') THEN 'Unsupported file type ''' || ext || '''.'
+        SELECT page_id, CASE WHEN ext NOT IN ('.pdf', '.jpg', '.jpeg', '.png') THEN 'Unsupported file type ''' || ext || '''. Allowed: .pdf, .jpg, .jpeg, .png'
             WHEN mime NOT IN ('application/pdf', 'image/jpeg', 'image/png') THEN 'Unsupported content type ''' || mime || '''.'
             WHEN size <= 0 THEN 'Uploaded file is empty.' WHEN size > 20971520 THEN 'File exceeds maximum size of 20 MB.' END AS error FROM kinds"""
 )

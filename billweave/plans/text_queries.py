@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money, text
 from ..operators import fields, layout, tables
 from ..operators import bills as bill_ops
+from ..operators.shared import cut
 from .inputs import WORDS_SQL, table, words
 
 QUERIES, SQL = {}, {}
@@ -119,11 +120,12 @@ def sanitize_names(spark, sf_dir):
     """SELECT c_custkey, 'Rs. ' || format('{:,.2f}', c_acctbal) AS shown,
         CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || CASE WHEN abs(c_acctbal) * 1000 >= 100000 THEN (abs(c_acctbal) * 1000)::BIGINT // 100000 || ',' || lpad((((abs(c_acctbal) * 1000)::BIGINT // 1000) % 100)::VARCHAR, 2, '0')
             WHEN (abs(c_acctbal) * 1000)::BIGINT >= 1000 THEN ((abs(c_acctbal) * 1000)::BIGINT // 1000)::VARCHAR END || ',' || lpad(((abs(c_acctbal) * 1000)::BIGINT % 1000)::VARCHAR, 3, '0') || '.00' AS grouped
-        FROM customer WHERE abs(c_acctbal) >= 1"""
+        FROM (SELECT c_custkey, CASE WHEN abs(c_acctbal) < 1 THEN c_acctbal + 1000 ELSE c_acctbal END AS c_acctbal FROM customer)"""
 )
 def money_display(spark, sf_dir):
     """Account balances, and a thousand times as much with digits grouped by lakh."""
-    d = table(spark, sf_dir, "customer").where(F.abs("c_acctbal") >= 1)
+    balance = F.when(F.abs("c_acctbal") < 1, F.col("c_acctbal") + 1000).otherwise(F.col("c_acctbal"))  # the SQL can't print less
+    d = table(spark, sf_dir, "customer").select("c_custkey", balance.alias("c_acctbal"))
     return d.select("c_custkey", text.money_text(F.col("c_acctbal")).alias("shown"), text.lakh_text(F.round(F.col("c_acctbal").cast("decimal(14,2)") * 1000, 0)).alias("grouped"))
 
 
@@ -156,16 +158,12 @@ def extract_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bill_id"), text.date_in(shown).cast("string").alias("invoice_date"))
 
 
-def _any_sql(parts: str = "", whole: str = "") -> str:
-    tests = [f"contains(norm, '{p}')" for p in parts.split()] + ([f"norm IN ({', '.join(_quoted(w) for w in whole.split())})"] if whole else [])
-    return "(" + " OR ".join(tests) + ")"
+def _heading_sql(kind: str, parts: tuple, whole: tuple) -> str:
+    tests = [f"contains(norm, '{p}')" for p in parts] + ([f"norm IN ({', '.join(map(_quoted, whole))})"] if whole else [])
+    return f"WHEN {' OR '.join(tests)} THEN '{kind}'"
 
 
-_TYPE_SQL = f"""CASE WHEN norm = '' THEN NULL WHEN {_any_sql('gst taxrate taxper', 'vat tax%')} THEN 'gst' WHEN {_any_sql('hsn sac', 'code commodity')} THEN 'hsn'
-    WHEN {_any_sql('serial', 'no sr srno sl slno sno itemno si sino')} THEN 'serial'
-    WHEN {_any_sql('desc particular item goods product service article material name details', 'particulrs particlr itm dsc')} THEN 'description'
-    WHEN {_any_sql('qty quantity qnty qnt', 'qy units nos pcs')} THEN 'qty' WHEN {_any_sql('uom', 'per unit un measure')} THEN 'unit' WHEN {_any_sql('incl mrp')} THEN 'rate_incl'
-    WHEN {_any_sql('rate price prc', 'rat pr cost')} THEN 'rate' WHEN {_any_sql('amount total value amt', 'amnt amou val gross')} THEN 'amount' END"""
+_TYPE_SQL = f"CASE WHEN norm = '' THEN NULL {' '.join(_heading_sql(*h) for h in text.HEADINGS)} END"
 
 
 @query(
@@ -194,15 +192,16 @@ def header_score(spark, sf_dir):
 
 @query(
     f"""WITH {WORDS_SQL}, columns(pos, col_type, x) AS (VALUES (1, 'serial', 60.0), (2, 'description', 700.0), (3, 'qty', 2000.0), (4, 'rate', 3000.0), (5, 'amount', 4000.0)),
-        near AS (SELECT doc_id, line, i, col_type FROM words, columns QUALIFY row_number() OVER (PARTITION BY doc_id, line, i ORDER BY abs(words.x + width / 2.0 - columns.x), pos) = 1)
-        SELECT doc_id, col_type, count(*) AS n FROM near GROUP BY ALL"""
+        near AS (SELECT doc_id, line, i, text, col_type FROM words, columns QUALIFY row_number() OVER (PARTITION BY doc_id, line, i ORDER BY abs(words.x + width / 2.0 - columns.x), pos) = 1),
+        named AS (SELECT doc_id, CASE WHEN col_type = 'serial' AND regexp_matches(text, '\\p{{L}}') THEN 'description' ELSE col_type END AS col_type FROM near)
+        SELECT doc_id, col_type, count(*) AS n FROM named GROUP BY ALL"""
 )
 def nearest_column(spark, sf_dir):
-    """Words by the nearest of five fixed columns."""
+    """Words by the nearest of five fixed columns; lettered ones of the serial column are descriptions."""
     fixed = F.array(*[F.struct(F.lit(t).alias("type"), F.lit(x).alias("x")) for t, x in (("serial", 60.0), ("description", 700.0), ("qty", 2000.0), ("rate", 3000.0), ("amount", 4000.0))])
-    d = words(spark, sf_dir).withColumn("center", F.col("left") + F.col("width") / 2).withColumn("columns", fixed)
-    near = F.array_min(F.transform("columns", lambda k, i: F.struct(F.abs(k["x"] - F.col("center")).alias("d"), i.alias("i"), k["type"].alias("type"))))
-    return d.select("doc_id", near["type"].alias("col_type")).groupBy("doc_id", "col_type").agg(F.count("*").alias("n"))
+    cell = F.array(F.struct("text", "confidence", (F.col("left") + F.col("width") / 2).alias("center_x")))
+    d = words(spark, sf_dir).select("doc_id", tables.assigned(cell, fixed)[0]["type"].alias("col_type"))
+    return d.groupBy("doc_id", "col_type").agg(F.count("*").alias("n"))
 
 
 _STOP_SQL = f"(regexp_matches(line_text, {_quoted(text.STOP)}) OR " + " OR ".join(f"contains(regexp_replace(lower(line_text), '[^a-z]', '', 'g'), '{w}')" for w in text.STOP_SQUASHED) + ")"
@@ -292,13 +291,13 @@ def line_clusters(spark, sf_dir):
 )
 def upper_median(spark, sf_dir):
     h = F.array_sort(F.collect_list(F.length("text")))
-    return words(spark, sf_dir).groupBy("doc_id").agg(F.element_at(h, F.floor(F.size(h) / 2).cast("int") + 1).alias("upper_median"))
+    return words(spark, sf_dir).groupBy("doc_id").agg(layout.upper_median(h).alias("upper_median"))
 
 
 @query()
 def candidate_items(spark, sf_dir):
     """Item rows that the table parser finds in all documents."""
-    return tables.candidate_items(layout.lines(words(spark, sf_dir)))
+    return tables.candidate_items(cut(layout.lines(words(spark, sf_dir))))
 
 
 @query()
