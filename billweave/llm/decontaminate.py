@@ -2,17 +2,20 @@
 
 A document leaks an item if some window of exactly the item's number of words has a weighted-shingle similarity of
 ``similarity`` or more with it: shingles of five words, counted, each weighted by its number of different words, the
-sum of the lesser counts over the sum of the greater.
+sum of the lesser counts over the sum of the greater. A document of fewer words than the item is one window, all of it.
 
-1. Places. A window that shares no shingle with any item has similarity zero, so only places around a shingle of the
-   benchmark get windows; the test is a bit table and a binary search over whole batches of texts.
-2. Windows. At those places every window of every item length gets its weighted 64-bit SimHash, from running sums.
+1. Places. A window that shares no shingle with an item has similarity zero with it, so only places around a shingle of
+   the benchmark get windows, of the lengths of items that have the shingle; the test is a bit table and a binary search
+   over whole batches of texts.
+2. Windows. At those places every window of those lengths gets its weighted 64-bit SimHash, from running sums.
 3. Blocks. A fingerprint is four blocks of 16 bits. If two differ in at most ``RADIUS`` = 19 bits, some block differs in
-   at most 4, so an index that lists each item under all values within 4 bits of each of its blocks finds every item
-   within the radius. At similarity 0.8 the expected distance is 9.7 bits with a standard deviation of 2.9.
+   at most 4, so there is a value within 2 bits of both their blocks: an index that lists each item under all values within
+   2 bits of each of its blocks, and is asked for all values within 2 bits of a window's, finds every item within the
+   radius. At similarity 0.8 the expected distance is 9.7 bits with a standard deviation of 2.9.
 4. Verification. Candidates are compared exactly.
 
-The benchmark is read in blocks of about ``ITEMS`` items, so what a worker holds is bounded whatever its size.
+The benchmark is read in blocks of about ``ITEMS`` items (some 10 KB of index each), so what a worker holds is bounded
+whatever its size.
 
 Defined results: null or empty texts and items without a word match nothing; an item of fewer than five words has one
 shingle, all of it; of equal best windows the first is reported; repeated rows report each on its own; empty tables
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, map_rows, text_of
+from .common import held, map_rows, split_words, text_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-BLOCKS, BLOCK_RADIUS = 4, 4
-RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-ITEMS = 1000
+#: Blocks, and the bits that an item's and a window's block values are varied by.
+BLOCKS, VARIED = 4, 2
+RADIUS = BLOCKS * (2 * VARIED + 1) - 1
+ITEMS = 5000
 REMEMBER = 500_000
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _P = [np.uint64(pow(0x9E3779B97F4A7C15, SHINGLE - 1 - i, 1 << 64)) for i in range(SHINGLE)]
-_FLIPS = np.array([sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(16), r)], np.uint64)
+_FLIPS = np.array([sum(1 << b for b in bits) for r in range(VARIED + 1) for bits in combinations(range(16), r)], np.uint64)
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -106,7 +110,10 @@ class Index:
         keys = np.concatenate([x[0] for x in near]) if near else np.empty(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.at = keys[order], np.concatenate([x[1] for x in near])[order] if near else np.empty(0, int)
-        self.known = np.unique(np.array([s for x in self.items for s in x[2]], np.uint64))
+        pairs = np.array([(s, x[1]) for x in self.items for s in x[2]], np.uint64).reshape(-1, 2)
+        pairs = np.unique(pairs, axis=0)  # shingles in order, each with the lengths of items that have it
+        self.known, self.first = np.unique(pairs[:, 0], return_index=True)
+        self.first, self.length = np.append(self.first, len(pairs)), pairs[:, 1].astype(np.int64)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.shorter = sorted({x[1] for x in self.items if x[1] < SHINGLE})
@@ -115,50 +122,52 @@ class Index:
     def _key(n: int, block: int, values: np.ndarray) -> np.ndarray:
         return np.uint64(n << 18 | block << 16) | values
 
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of hashes that are some item's shingle."""
+    def has(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes that are some item's shingle, and of the shingle among the known."""
         maybe = np.flatnonzero(self.table[(hashes >> np.uint64(44)).astype(np.int64)])
         at = np.searchsorted(self.known, hashes[maybe])
         at[at == len(self.known)] = 0
-        return maybe[self.known[at] == hashes[maybe]] if len(self.known) else maybe[:0]
+        same = self.known[at] == hashes[maybe] if len(self.known) else np.zeros(len(maybe), bool)
+        return maybe[same], at[same]
 
     def near(self, n: int, fps: np.ndarray) -> set[tuple[int, int]]:
         """(window, item) of all items of ``n`` words within the radius of each fingerprint."""
         found = set()
         for b in range(BLOCKS):
-            keys = self._key(n, b, fps >> np.uint64(16 * b) & np.uint64(0xFFFF))
+            keys = self._key(n, b, (fps >> np.uint64(16 * b) & np.uint64(0xFFFF))[:, None] ^ _FLIPS).reshape(-1)
             low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
             hit = np.flatnonzero(high > low)
-            window = np.repeat(hit, (high - low)[hit])
-            place = np.concatenate([np.arange(a, z) for a, z in zip(low[hit], high[hit])]) if len(hit) else np.empty(0, int)
-            item = self.at[place]
+            many = (high - low)[hit]
+            window = np.repeat(hit // len(_FLIPS), many)
+            item = self.at[np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
             close = np.bitwise_count(fps[window] ^ self.fps[item]) <= RADIUS
             found.update(zip(window[close].tolist(), item[close].tolist()))
         return found
 
-    def leaks(self, words: np.ndarray, places: np.ndarray, similarity: float) -> list[tuple[int, float, int]]:
-        """(item_id, best similarity, first word of its window) of a document, from its known shingles' places."""
+    def leaks(self, words: np.ndarray, places: np.ndarray, shingle: np.ndarray, similarity: float) -> list[tuple[int, float, int]]:
+        """(item_id, best similarity, first word of its window) of a document, from its known shingles and their places in order."""
         best: dict[int, tuple[float, int]] = {}
         longest = max(self.lengths)
-        groups = np.split(places, np.flatnonzero(np.diff(places) > longest) + 1)
-        for group in groups:
+        at = np.flatnonzero(np.diff(places) > longest) + 1
+        for group, known in zip(np.split(places, at), np.split(shingle, at)):
             begin, end = max(0, int(group[0]) - longest), min(len(words), int(group[-1]) + longest + SHINGLE)
             h, w = shingles(words[begin:end])
             running = np.vstack([np.zeros((1, 64), np.int64), np.cumsum(signed(h, w), axis=0)])
-            for n in self.lengths:
-                if n > end - begin:
-                    continue
-                if n < SHINGLE:
+            for n in sorted({n for s in set(known.tolist()) for n in self.length[self.first[s] : self.first[s + 1]].tolist()}):
+                k = max(1, n - SHINGLE + 1)
+                if n >= len(words):  # the whole document
+                    own, fps = [shingles(words)], simhash_of(signed(*shingles(words)).sum(axis=0, keepdims=True))
+                elif n < SHINGLE:
                     own = [shingles(words[begin + i : begin + i + n]) for i in range(end - begin - n + 1)]
                     fps = simhash_of(np.vstack([signed(a, c).sum(axis=0, keepdims=True) for a, c in own]))
                 else:
-                    k = n - SHINGLE + 1
                     own, fps = None, simhash_of(running[k:] - running[:-k])
                 for i, item in self.near(n, fps):
                     a, c = own[i] if own else (h[i : i + k], w[i : i + k])
                     got = similarity_of(Counter(a.tolist()), self.items[item][2], dict(zip(a.tolist(), c.tolist())) | self.items[item][3])
-                    if got >= similarity and (-got, begin + i) < (-best[item][0], best[item][1]) if item in best else got >= similarity:
-                        best[item] = (got, begin + i)
+                    start = 0 if n >= len(words) else begin + i
+                    if got >= similarity and (item not in best or (-got, start) < (-best[item][0], best[item][1])):
+                        best[item] = (got, start)
         return [(self.items[i][0], s, start) for i, (s, start) in sorted(best.items(), key=lambda x: self.items[x[0]][0])]
 
     def scan(self, words: np.ndarray, lengths: np.ndarray, similarity: float) -> list[list[tuple[int, float, int]]]:
@@ -168,19 +177,20 @@ class Index:
             return out
         first = np.cumsum(lengths) - lengths
         hits: dict[int, set] = defaultdict(set)
-        for k in [SHINGLE, *self.shorter]:
+        for k in sorted({SHINGLE, *self.shorter}):
             if len(words) < k:
                 continue
             h = np.zeros(len(words) - k + 1, np.uint64)
             for i in range(k):
                 h += words[i : len(words) - k + 1 + i] * _P[i]
-            at = self.has(mix(h))
+            at, shingle = self.has(mix(h))
             doc = np.searchsorted(first, at, "right") - 1
             inside = at + k <= first[doc] + lengths[doc]  # not across a document's end
-            for d, p in zip(doc[inside].tolist(), (at - first[doc])[inside].tolist()):
-                hits[d].add(p)
-        for d, places in hits.items():
-            out[d] = self.leaks(words[first[d] : first[d] + lengths[d]], np.array(sorted(places)), similarity)
+            for d, p, s in zip(doc[inside].tolist(), (at - first[doc])[inside].tolist(), shingle[inside].tolist()):
+                hits[d].add((p, s))
+        for d, found in hits.items():
+            places, shingle = np.array(sorted(found)).T
+            out[d] = self.leaks(words[first[d] : first[d] + lengths[d]], places, shingle, similarity)
         return out
 
 
@@ -198,13 +208,12 @@ def scanner(items: list[tuple[int, str]], similarity: float):
     index, memo = held(("decontaminate", tuple(items)), lambda: (Index(items), {}))
 
     def scan(texts: list[str]) -> list[list[tuple[int, float, int]]]:
-        split = [t.encode().split() for t in texts]
+        which, distinct, lengths = split_words([t.encode() for t in texts])
         if len(memo) > REMEMBER:
             memo.clear()
-        memo.update((w, word_hash(w)) for w in set().union(*split).difference(memo))
-        lengths = np.array([len(w) for w in split], np.int64)
-        words = np.fromiter(map(memo.__getitem__, chain.from_iterable(split)), np.uint64, int(lengths.sum()))
-        return index.scan(words, lengths, similarity)
+        memo.update((w, word_hash(w.rstrip())) for w in distinct if w not in memo)
+        hashes = np.fromiter(map(memo.__getitem__, distinct), np.uint64, len(distinct))
+        return index.scan(hashes[which], lengths, similarity)
 
     return scan
 
