@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns, plus password guess-cost dynamic programming on credential-context values.
 
-A value found next to a credential word is segmented at minimum cost into dictionary words, dates, repeats,
+Every value found next to a credential word is segmented at minimum cost into dictionary words, dates, repeats,
 keyboard walks and brute-force spans; the cost is the base-10 logarithm of the guesses an attacker needs who
-knows those habits. Values at or above ``min_log10`` are reported as kind ``guess``. The pattern kinds
-(``assign``, ``access``, ``hex``) are always reported; a ``guess`` that ends where an ``assign`` does is not, one that
-reaches past it is.
+knows those habits. Values at or above ``min_log10`` are reported as kind ``guess``, the value alone. The pattern kinds
+(``assign``, ``access``, ``hex``) are always reported, whether their value is also a ``guess`` or not.
+
+The dictionary is the short list below, then the commonest words of the texts themselves, counted over all of them in Spark and
+ranked by frequency; its size is a bound of the model (``DICTIONARY``).
 
 Defined results: a null text is empty and has no spans; repeated rows are scanned each on its own; an empty
 table gives no rows; extra columns are ignored. Offsets are code points, end exclusive.
@@ -15,12 +17,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import held, map_rows, text_of
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -35,8 +38,10 @@ WORDS = (
     "freedom computer internet dummy placeholder none null true false temp backup database data mysql postgres "
     "oracle redis mongo docker local host dev prod stage staging production company office home house family"
 ).split()
-#: Rows of a common keyboard.
-KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
+#: Words of the texts in the dictionary, and the letters they have.
+DICTIONARY, SHORTEST, LONGEST = 20_000, 3, 16
+#: Rows of a common keyboard, and how far each is shifted to the right, in keys.
+KEYBOARD, SHIFT = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"), (0.0, 0.5, 0.75, 1.25)
 
 _ASCII = re.ASCII | re.IGNORECASE
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", _ASCII)
@@ -50,73 +55,111 @@ CONTEXT = re.compile(
     _ASCII,
 )
 _CUES = ("pwd", "pass", "cred", "auth", "key", "secret", "token", "bearer", "://")
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-_RANK = {w: i for i, w in enumerate(WORDS, 1)}
+_DAY, _MONTH, _YEAR = r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|1[0-2])", r"(?:19|20)\d\d"
+#: Dates, with the guesses that each kind takes.
+DATES = tuple((re.compile(p), n) for p, n in ((f"{_YEAR}[-/._]?{_MONTH}[-/._]?{_DAY}", 365 * 120), (f"{_DAY}[-/._]?{_MONTH}[-/._]?{_YEAR}", 365 * 120), (_YEAR, 120)))
 _LEET = str.maketrans("@4301!5$7", "aaeoiisst")
-_PLACE = {c: (r, i) for r, row in enumerate(KEYBOARD) for i, c in enumerate(row) if r < 4}
-_ALPHA = {c: i for i, c in enumerate(KEYBOARD[4])}
-_LONGEST = max(map(len, WORDS))
+_KEYS = {c: (x + SHIFT[y], y) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 #: Cost of opening one more segment: the attacker also guesses where it ends.
-_SEGMENT = math.log10(2)
+SEGMENT = math.log10(2)
+#: Longest unit of a repeat, and the choices at a turn of a keyboard walk.
+UNIT, TURN = 8, 4.6
+
+
+def char_cost(c: str) -> float:
+    return math.log10(10 if c.isdigit() else 52 if c.isupper() else 26 if c.isalpha() else 33)
+
+
+def step_of(a: str, b: str) -> tuple[int, int] | None:
+    """The direction (left or right, up or down) from a key to a neighbour; None if they are none."""
+    if a not in _KEYS or b not in _KEYS:
+        return None
+    dx, dy = _KEYS[b][0] - _KEYS[a][0], _KEYS[b][1] - _KEYS[a][1]
+    return ((dx > 0) - (dx < 0), dy) if abs(dx) <= 1 and abs(dy) <= 1 and (dx or dy) else None
+
+
+def next_letter(a: str, b: str) -> tuple[int, int] | None:
+    return (ord(b) - ord(a), 0) if "a" <= a <= "z" and "a" <= b <= "z" and abs(ord(b) - ord(a)) == 1 else None
+
+
+class Guesser:
+    """Guess costs with a dictionary, most common words first."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *words):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+    def cost(self, value: str) -> float:
+        """Least log10(guesses) over all segmentations; linear in the length, as a place begins a bounded number of segments:
+        words, dates, and of every unit's repeats and of walks the longest from there."""
+        n, low = len(value), value.lower()
+        low = low if len(low) == n else value
+        plain = low.translate(_LEET)
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+
+        def add(i: int, j: int, cost: float) -> None:
+            ends[j].append((i, cost + SEGMENT))
+
+        for i in range(n):
+            for j in range(i + SHORTEST, min(n, i + self.longest) + 1):
+                if (r := self.rank.get(plain[i:j])) is not None:
+                    add(i, j, math.log10(r * (1 if value[i:j] == low[i:j] else 2) * (1 if plain[i:j] == low[i:j] else 2) + 1))
+            for pattern, guesses in DATES:
+                if m := pattern.match(value, i):
+                    add(i, m.end(), math.log10(guesses))
+        self._walks(low, step_of, len(_KEYS), add)
+        self._walks(low, next_letter, 26, add)
+        units: dict[str, float] = {}
+        for p in range(1, min(UNIT, n // 2) + 1):
+            same = 0
+            for i in range(n - p - 1, -1, -1):  # ``same``: characters from i on that are those ``p`` places on
+                same = same + 1 if value[i] == value[i + p] else 0
+                times = same // p + 1
+                if times >= (3 if p == 1 else 2):
+                    unit = value[i : i + p]
+                    if unit not in units:
+                        units[unit] = char_cost(unit) if p == 1 else self.cost(unit)
+                    add(i, i + p * times, units[unit] + math.log10(times))
+        best = [0.0] + [math.inf] * n  # over prefixes
+        brute = [math.inf] * (n + 1)  # the prefix ends inside a brute-force span
+        for j in range(1, n + 1):
+            brute[j] = min(brute[j - 1], best[j - 1] + SEGMENT) + char_cost(value[j - 1])
+            best[j] = min([brute[j], *(best[i] + c for i, c in ends[j])])
+        return best[n]
+
+    def _walks(self, low: str, step, starts: int, add) -> None:
+        """Walks of three keys and more, each as long as it goes from its start."""
+        n, end, turns = len(low), len(low), 1
+        steps = [step(a, b) for a, b in zip(low, low[1:])]
+        for i in range(n - 2, -1, -1):
+            if steps[i] is None:
+                end, turns = i + 1, 1
+                continue
+            if i + 1 < end - 1 and steps[i + 1] != steps[i]:
+                turns += 1
+            elif i + 1 >= end - 1:
+                turns = 1
+            if end - i >= 3:
+                add(i, end, math.log10(starts) + math.log10(end - i) + turns * math.log10(TURN))
+
 
+def guess_cost(value: str) -> float:
+    """The cost with the short list alone."""
+    return _PLAIN.cost(value)
 
-def _char_cost(c: str) -> float:
-    return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
+_PLAIN = Guesser()
 
-def guess_cost(value: str) -> float:
-    """Least log10(guesses) over all segmentations; linear in the length, as every segment kind is bounded or greedy."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET) if len(low) == n else value
-    low = low if len(low) == n else value
-    ends: dict[int, list[tuple[int, float]]] = {}
-
-    def add(i: int, j: int, cost: float) -> None:
-        ends.setdefault(j, []).append((i, cost + _SEGMENT))
-
-    for m in _DATE.finditer(low):
-        add(m.start(), m.end(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120))
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            if (r := _RANK.get(plain[i:j])) is not None:
-                cased = 1 if value[i:j] == low[i:j] else 2
-                add(i, j, math.log10(r * cased * (1 if plain[i:j] == low[i:j] else 2) + 1))
-    i = 0
-    while i < n:  # repeats: the longest run of one character
-        j = i + 1
-        while j < n and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            add(i, j, _char_cost(value[i]) + math.log10(j - i))
-        i = j
-    for place in (_PLACE, {c: (0, k) for c, k in _ALPHA.items()}):  # walks along a keyboard row or the alphabet
-        i = 0
-        while i < n - 2:
-            a, b = place.get(low[i]), place.get(low[i + 1])
-            step = b[1] - a[1] if a and b and a[0] == b[0] else 0
-            j = i + 1
-            if abs(step) == 1:
-                while j < n and (q := place.get(low[j])) and (p := place[low[j - 1]])[0] == q[0] and q[1] - p[1] == step:
-                    j += 1
-            if j - i >= 3:
-                add(i, j, math.log10(2 * 36) + math.log10(j - i))
-            i = max(j - 1, i + 1) if j - i >= 3 else i + 1
-    best = [0.0] + [math.inf] * n  # over prefixes
-    brute = [math.inf] * (n + 1)  # the prefix ends inside a brute-force span
-    for j in range(1, n + 1):
-        brute[j] = min(brute[j - 1], best[j - 1] + _SEGMENT) + _char_cost(value[j - 1])
-        best[j] = min([brute[j], *(best[i] + c for i, c in ends.get(j, ()))])
-    return best[n]
-
-
-def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int, str]]:
+
+def find_spans(text: str, min_log10: float = MIN_LOG10, guesser: Guesser = _PLAIN) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all findings, by start and then kind."""
-    found, taken = [], set()
+    found = []
     if ":" in text or "=" in text:
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= 6:
                 found.append((m.start(), m.end(), "assign"))
-                taken.add(m.end())
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     found += [(*m.span(), "hex") for m in HEX.finditer(text)]
@@ -127,7 +170,7 @@ def find_spans(text: str, min_log10: float = MIN_LOG10) -> list[tuple[int, int,
             if m.lastindex == 3:  # without quotes, what divides it from the next thing is no part of it
                 value = value.rstrip(",;")
                 end = start + len(value)
-            if len(value) >= 6 and end not in taken and guess_cost(value) >= min_log10:
+            if len(value) >= 6 and guesser.cost(value) >= min_log10:
                 found.append((start, end, "guess"))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -147,13 +190,23 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join(out) + text[at:]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10) -> DataFrame:
-    """Per document: counts by kind, all spans, and the digest of the pattern spans."""
+def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> tuple[str, ...]:
+    """The commonest words of ASCII letters in all texts, most common first, of equals the first in order."""
+    word = F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(f"[a-z]{{{SHORTEST},}}"), 0)).alias("word")
+    counts = docs.select(word).groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") <= LONGEST)
+    return tuple(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10, words: tuple[str, ...] | None = None) -> DataFrame:
+    """Per document: counts by kind, all spans, and the digest of the pattern spans. ``words`` defaults to the texts' own."""
     key = docs.schema[id_col].dataType.simpleString()
+    words = dictionary(docs, text_col) if words is None else words
 
     def make():
+        guesser = held(("secrets", words), lambda: Guesser(words))
+
         def one(text):
-            spans = find_spans(text, min_log10)
+            spans = find_spans(text, min_log10, guesser)
             kinds = [k for _, _, k in spans]
             base = listed([s for s in spans if s[2] != "guess"])
             return (*map(kinds.count, KINDS), hashlib.sha256(base.encode()).hexdigest(), listed(spans))
@@ -164,11 +217,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lo
     return map_rows(rows, make, f"doc_id {key}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")
 
 
-def redacted(text: Column, min_log10: float = MIN_LOG10) -> Column:
+def redacted(text: Column, words: tuple[str, ...] = (), min_log10: float = MIN_LOG10) -> Column:
     """A column of texts with secrets masked; null stays null."""
 
     @F.arrow_udf("string")
-    def mask(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else redact(t, find_spans(t, min_log10)) for t in texts.to_pylist()], pa.string())
+    def mask(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        guesser = held(("secrets", words), lambda: Guesser(words))
+        for part in texts:
+            yield pa.array([t if t is None else redact(t, find_spans(t, min_log10, guesser)) for t in part.to_pylist()], pa.string())
 
     return mask(text)
