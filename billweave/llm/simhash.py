@@ -4,7 +4,8 @@
    of copies never meet in a task as rows.
 2. The upper levels of a vantage-point tree deal the nodes into shards: at each level a node goes to the inner or
    outer side of a vantage point by its Hamming distance. A node within ``radius`` of the border is also sent
-   across it as a query, which the triangle inequality proves to be enough to lose no pair.
+   across it as a query, which the triangle inequality proves to be enough to lose no pair. A shard of over ``BLOCK``
+   placements is searched as pairs of blocks of it, each a task of its own.
 3. In each shard the tree goes on over its own nodes, pruning branches by the same bound, down to small leaves
    compared exactly. A shard returns a spanning forest of the links it found, not the links: at most one row a node.
 4. Connected components over those edges, by min-label propagation with pointer jumping, cut by checkpoints.
@@ -25,12 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, text_of
+from .common import cut, free_name, map_rows, text_of
 
 RADIUS = 3
 SHINGLE = 3
 #: Nodes a shard should own, and pairs below which a branch is compared exactly.
 SHARD, LEAF_PAIRS = 4096, 1 << 17
+#: Placements in a block of a shard, and linked pairs held before they are folded into the forest.
+BLOCK, HELD = 200_000, 1 << 20
 _SEED = 20240229
 
 
@@ -69,26 +72,49 @@ def _vantage(level: int, branch: np.ndarray) -> np.ndarray:
 def deal(fps: np.ndarray, levels: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, shard, owned) of each placement: every row is owned by one shard and is a query in the shards it may link to.
 
-    A pair split at a level is found once, in the outer side, where the inner one arrives as a query.
+    A pair split at a level is found once, in the outer side, where the inner one arrives as a query, or the other way round;
+    which way is a bit of the vantage point, so that queries don't gather in one shard.
     """
     row, shard, own = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
     border = 31  # inner: distance 31 or less; the median of random words is 32
     for level in range(levels):
-        d = np.bitwise_count(fps[row] ^ _vantage(level, shard)).astype(np.int64)
+        point = _vantage(level, shard)
+        d, inwards = np.bitwise_count(fps[row] ^ point).astype(np.int64), (point >> np.uint64(63)).astype(bool)
         inner, outer = d <= border, d > border
-        # owned rows keep their side, and inner ones at the border query the outer side; queries go wherever the bound lets a partner be
+        # owned rows keep their side, and those of one side at the border query the other; queries go wherever the bound lets a partner be
         to_in = np.where(own, inner, d <= border + radius)
         to_out = np.where(own, outer, d > border - radius)
-        visit = own & inner & (d > border - radius)
+        out = own & inner & (d > border - radius) & ~inwards
+        back = own & outer & (d <= border + radius) & inwards
         row, shard, own = (
-            np.concatenate([row[to_in], row[to_out], row[visit]]),
-            np.concatenate([2 * shard[to_in], 2 * shard[to_out] + 1, 2 * shard[visit] + 1]),
-            np.concatenate([own[to_in], own[to_out], np.zeros(int(visit.sum()), bool)]),
+            np.concatenate([row[to_in], row[to_out], row[out], row[back]]),
+            np.concatenate([2 * shard[to_in], 2 * shard[to_out] + 1, 2 * shard[out] + 1, 2 * shard[back]]),
+            np.concatenate([own[to_in], own[to_out], np.zeros(int(out.sum() + back.sum()), bool)]),
         )
     return row, shard, own
 
 
-def _exact(h: np.ndarray, q: np.ndarray, fps: np.ndarray, radius: int, out: list) -> None:
+class Linked:
+    """Linked pairs of ``n`` nodes as they are found: a forest, and the pairs not folded into it yet."""
+
+    def __init__(self, n: int):
+        self.label, self.pairs, self.held = np.arange(n), [], 0
+
+    def append(self, pair: tuple[np.ndarray, np.ndarray]) -> None:
+        self.pairs.append(pair)
+        self.held += len(pair[0])
+        if self.held > HELD:
+            self.fold()
+
+    def fold(self) -> np.ndarray:
+        """The smallest node reachable from each."""
+        known = np.flatnonzero(self.label != np.arange(len(self.label)))
+        a, b = (np.concatenate([x, *(p[k] for p in self.pairs)]) for k, x in enumerate((known, self.label[known])))
+        self.label, self.pairs, self.held = forest(len(self.label), a, b), [], 0
+        return self.label
+
+
+def _exact(h: np.ndarray, q: np.ndarray, fps: np.ndarray, radius: int, out: Linked) -> None:
     """Linked (query, owner) index pairs by comparing all, in blocks of bounded size."""
     step = max(1, (1 << 20) // max(1, len(h)))
     for i in range(0, len(q), step):
@@ -98,7 +124,7 @@ def _exact(h: np.ndarray, q: np.ndarray, fps: np.ndarray, radius: int, out: list
             out.append((part[a], h[b]))
 
 
-def _search(h: np.ndarray, q: np.ndarray, fps: np.ndarray, radius: int, out: list, level: int) -> None:
+def _search(h: np.ndarray, q: np.ndarray, fps: np.ndarray, radius: int, out: Linked, level: int) -> None:
     """Vantage-point tree over owners ``h``; pairs among them and with the queries ``q``."""
     if not len(h) or (len(h) < 2 and not len(q)):
         return
@@ -134,16 +160,14 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def shard_links(fps: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, fingerprint) that connect all of a shard's linked nodes as its links do."""
-    out: list = []
+    out = Linked(len(fps))
     _search(np.flatnonzero(own), np.flatnonzero(~own), fps, radius, out, 0)
-    if not out:
-        return fps[:0], fps[:0]
-    label = forest(len(fps), np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]))
+    label = out.fold()
     linked = np.flatnonzero(label != np.arange(len(fps)))
     return fps[linked], fps[label[linked]]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """Edges ``u, v`` (signed fingerprints) whose components are those of all pairs of distinct ``fp`` within ``radius``."""
     n = nodes.count()
     levels = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
@@ -158,7 +182,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
         u, v = shard_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["own"].to_numpy(bool), radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return nodes.select("fp").mapInPandas(place, "shard long, own boolean, fp long").groupBy("shard").applyInPandas(search, "u long, v long")
+    placed = nodes.select("fp").mapInPandas(place, "shard long, own boolean, fp long")
+    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    # a row of a large shard meets each of its blocks: once with its own, once in a task for the two
+    dealt = placed.join(parts, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.col("shard"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")
+    return dealt.select(*cell, "own", "fp").groupBy("shard", "a", "b").applyInPandas(search, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,10 +228,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     g = cut(groups(docs, id_col, text_col, radius, k))
     same = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = cut(same.withColumnRenamed("doc_id", "__keep"))
+    keep_id = free_name(docs, "keep")
+    keep = cut(same.withColumnRenamed("doc_id", keep_id))
 
     def kept(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
+        return docs.join(ids, F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi")
 
     repeated = keep.where("n > 1")
     if repeated.isEmpty():
