@@ -1,10 +1,12 @@
 """Main text of HTML pages by site template removal.
 
 Each page is parsed once per pass into blocks of text. A block inside an element that is never content (menus,
-headers outside the article, forms, scripts and so on, by tag, role or class name) is left out. The other elements
-around a block are hashed as subtrees; Spark counts on how many different pages of a host each hash stands, and
-subtrees that recur on many pages of their host are deleted. Counting combines in the map tasks and is keyed by host
-and hash, so a large host is spread over many keys.
+headers outside the article, forms, scripts and so on) is left out: by tag or role anywhere; by a class or id outside the
+article if a part of it names such a thing, and inside it if all of it does, but never for prose elements. A header inside an
+article holds its title and stays. The other elements around a block are hashed as subtrees; Spark counts on how many
+different pages of a host each hash stands, and subtrees that recur on many pages of their host are deleted. Counting combines
+in the map tasks and is keyed by host and hash, so a large host is spread over many keys, and the join of pages with their
+templates is one that Spark can broadcast, or split where a hash is hot. Parsing is linear in the page, however deep it nests.
 
 Different pages means pages with different text, so copies of one article do not make its paragraphs a template. A
 subtree that holds more than half of a page's text is never a template.
@@ -23,7 +25,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,11 +53,11 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table tb
 PARTS = frozenset("dt dd tbody thead tr td th".split())
 #: Start tags that end an open element of the same group.
 _CLOSES = {t: frozenset(g) for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in g}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|gdpr|popup|modal|overlay|nav|navbar|navigation|"
-    r"menu|breadcrumbs?|sidebar|footer|header|masthead|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|signup|login|search|widget|toolbar|pagination|pager|skip)(?:$|[\s_-])",
-    re.I,
+#: Parts of class names and ids of such things.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent notice gdpr popup modal overlay nav navbar navigation "
+    "menu breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist disqus replies reply respond share sharing social related recommended "
+    "newsletter subscribe signup login search widget toolbar pagination pager skip".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
@@ -63,37 +67,43 @@ _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?"
 def never_content(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in NEVER or tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        if tag != "article" or not attributes:
-            return False
+    if not attributes or tag in ("html", "body", "main"):
+        return False
     at = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)}
     if "hidden" in at or at.get("aria-hidden") == "true" or at.get("role") in _ROLES:
         return True
-    return any(_NAMES.search(at[k]) for k in ("class", "id") if k in at)
+    if in_article and tag in PROSE:
+        return False
+    named = (NAMES.issuperset if in_article else lambda parts: not NAMES.isdisjoint(parts))
+    return any(named(_PARTS.split(name)) for k in ("class", "id") for name in at.get(k, "").lower().split())
+
+
+_PARTS = re.compile("[_-]+")
 
 
 class _Element:
-    __slots__ = ("article", "children", "drop", "hash", "size", "tag")
+    __slots__ = ("article", "drop", "hash", "node", "parent", "size", "tag")
 
-    def __init__(self, tag: str, drop: bool, article: bool):
-        self.tag, self.drop, self.article, self.hash, self.size = tag, drop, article, xxhash.xxh64(tag), 0
+    def __init__(self, tag: str, parent: _Element | None, drop: bool, article: bool):
+        self.tag, self.parent, self.drop, self.article, self.hash, self.size, self.node = tag, parent, drop, article, xxhash.xxh64(tag), 0, -1
 
 
-def parse(html: str) -> list[tuple[str, list[_Element]]]:
-    """(text, elements around it from the outermost) of each block of a page in order; the elements' hashes are final."""
+def parse(html: str) -> list[tuple[str, _Element | None]]:
+    """(text, innermost element) of each block of a page in order; the elements' hashes and sizes are final."""
     stack: list[_Element] = []
-    blocks: list[tuple[str, list[_Element]]] = []
+    blocks: list[tuple[str, _Element | None]] = []
     held: list[str] = []
+    opened: Counter = Counter()
     at, n = 0, len(html)
 
     def flush() -> None:
         if held:
             text = " ".join(unescape("".join(held)).split())
             held.clear()
-            if text and not any(e.drop for e in stack):
-                for e in stack:
-                    e.size += len(text)
-                blocks.append((text, list(stack)))
+            if text and not (stack and stack[-1].drop):
+                if stack:
+                    stack[-1].size += len(text)
+                blocks.append((text, stack[-1] if stack else None))
 
     def close(k: int) -> None:
         """Pop all elements from place ``k``."""
@@ -101,8 +111,10 @@ def parse(html: str) -> list[tuple[str, list[_Element]]]:
             flush()
         while len(stack) > k:
             e = stack.pop()
+            opened[e.tag] -= 1
             if stack:
                 stack[-1].hash.update(e.hash.digest())
+                stack[-1].size += e.size
 
     while at < n:
         m = _TOKEN.search(html, at)
@@ -119,10 +131,11 @@ def parse(html: str) -> list[tuple[str, list[_Element]]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if opened[tag] > 0:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag == "br":
             held.append(" ")
@@ -151,99 +164,115 @@ def parse(html: str) -> list[tuple[str, list[_Element]]]:
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
                     break
-        inside = bool(stack) and stack[-1].article
-        drop = never_content(tag, m[3], inside)
+        above = stack[-1] if stack else None
+        inside = above is not None and above.article
+        drop = above is not None and above.drop or never_content(tag, m[3], inside)
         if drop:
             flush()
-        stack.append(_Element(tag, drop, inside or tag in ("article", "main")))
+        stack.append(_Element(tag, above, drop, inside or tag in ("article", "main")))
+        opened[tag] += 1
     flush()
     close(0)
     return blocks
 
 
-def main_blocks(html: str) -> list[tuple[str, list[int]]]:
-    """(text, marks of the subtrees around it that may be a template) of each block of a page's main part.
+class Page(NamedTuple):
+    """A page's main part. ``nodes``: (place of the node around it or -1, mark or 0), outer ones first; ``blocks``: (text, place of
+    its node or -1, own mark or 0). A mark is the hash of what may be a template; those of an article's prose are odd, others even."""
+
+    nodes: list[tuple[int, int]]
+    blocks: list[tuple[str, int, int]]
 
-    A mark is a hash; those of an article's prose are odd, others even.
-    """
+    def marks(self) -> set[int]:
+        return {m for _, m in self.nodes if m} | {m for _, _, m in self.blocks if m}
+
+
+def main_blocks(html: str) -> Page:
     blocks = parse(html)
-    inner = [b for b in blocks if b[1] and b[1][-1].article]
+    inner = [b for b in blocks if b[1] is not None and b[1].article]
     blocks = inner or blocks
     whole = sum(len(t) for t, _ in blocks)
-    known: dict[int, int | None] = {}
-
-    def mark(e: _Element) -> int | None:
-        if id(e) not in known:
-            prose = e.article and e.tag in PROSE
-            never = e.tag in ("html", "body", "article", "main") or prose and e.tag in PARTS or 2 * e.size > whole and not prose or e.tag not in BLOCK
-            known[id(e)] = None if never else e.hash.intdigest() - (1 << 63) & -2 | prose
-        return known[id(e)]
 
-    def marks(text: str, around: list[_Element]) -> list[int]:
-        found = [h for e in around if (h := mark(e)) is not None]
-        holder = next((e for e in reversed(around) if e.tag in BLOCK), None)
-        if holder and holder.article and holder.tag not in PROSE:  # text directly in a container
-            found.append(xxhash.xxh64_intdigest(f"{holder.tag} {text}") - (1 << 63) | 1)
-        return found
-
-    return [(text, marks(text, around)) for text, around in blocks]
+    def mark(e: _Element) -> int:
+        prose = e.article and e.tag in PROSE
+        never = e.tag in ("html", "body", "article", "main") or prose and e.tag in PARTS or 2 * e.size > whole and not prose or e.tag not in BLOCK
+        return 0 if never else e.hash.intdigest() - (1 << 63) & -2 | prose
+
+    nodes: list[tuple[int, int]] = []
+    out = []
+    for text, e in blocks:
+        fresh, holder = [], e
+        while holder is not None and holder.node < 0:
+            fresh.append(holder)
+            holder = holder.parent
+        for x in reversed(fresh):
+            x.node = len(nodes)
+            nodes.append((x.parent.node if x.parent is not None else -1, mark(x)))
+        while e is not None and e.tag not in BLOCK and e.parent is not None:
+            e = e.parent
+        direct = e is not None and e.tag in BLOCK and e.article and e.tag not in PROSE  # text directly in a container
+        out.append((text, blocks_node(fresh, holder), xxhash.xxh64_intdigest(f"{e.tag} {text}") - (1 << 63) | 1 if direct else 0))
+    return Page(nodes, out)
+
+
+def blocks_node(fresh: list[_Element], known: _Element | None) -> int:
+    """The node of the innermost element of a block."""
+    return fresh[0].node if fresh else known.node if known is not None else -1
 
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
 def _row():
-    return F.xxhash64("page_id", "url", "html").alias("row")
+    """A row by 128 bits of hash."""
+    return F.xxhash64("page_id", "url", "html").alias("row"), F.xxhash64(F.lit("again"), "page_id", "url", "html").alias("again")
 
 
 def _host():
     return F.xxhash64(F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), _HOST, 1))).alias("host")
 
 
-def host_blocks(html: str, host: int) -> list[tuple[str, list[int]]]:
+def host_blocks(html: str, host: int) -> Page:
     """``main_blocks`` with marks that differ from those of other hosts."""
     seed = host & 0xFFFFFFFFFFFFFFFF
-    known: dict[int, int] = {}
-
-    def of(m: int) -> int:
-        if m not in known:
-            known[m] = xxhash.xxh64_intdigest(m.to_bytes(8, signed=True), seed) - (1 << 63) & -2 | m & 1
-        return known[m]
-
-    return [(text, [of(m) for m in marks]) for text, marks in main_blocks(html)]
+    page = main_blocks(html)
+    own = {m: xxhash.xxh64_intdigest(m.to_bytes(8, signed=True), seed) - (1 << 63) & -2 | m & 1 for m in page.marks()}
+    return Page([(up, own.get(m, 0)) for up, m in page.nodes], [(text, node, own.get(m, 0)) for text, node, m in page.blocks])
 
 
 def marked(pages: DataFrame) -> DataFrame:
-    """``row, host, page, marks`` of every row: hashes of the row, its host and main text, and of its possible templates."""
+    """``row, again, host, page, marks`` of every row: hashes of the row, its host and main text, and of its possible templates."""
 
     def make():
         def work(columns):
-            rows, hosts, htmls = columns
-            found = list(map(host_blocks, htmls, hosts))
-            texts = [xxhash.xxh64_intdigest(" ".join(t for t, _ in b)) - (1 << 63) for b in found]
-            return [rows, hosts, texts, [sorted({m for _, marks in b for m in marks}) for b in found]]
+            found = list(map(host_blocks, columns[-1], columns[-2]))
+            texts = [xxhash.xxh64_intdigest(" ".join(t for t, _, _ in p.blocks)) - (1 << 63) for p in found]
+            return [*columns[:-1], texts, [sorted(p.marks()) for p in found]]
 
         return work
 
-    rows = pages.select(_row(), _host(), F.coalesce("html", F.lit("")).alias("text"))
-    return map_rows(rows, make, "row long, host long, page long, marks array<long>")
+    rows = pages.select(*_row(), _host(), F.coalesce("html", F.lit("")).alias("text"))
+    return map_rows(rows, make, "row long, again long, host long, page long, marks array<long>")
 
 
 def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
     """``mark``: subtree hashes of ``marked`` pages that recur on many different pages of their host."""
-    sizes = found.groupBy("host").agg(F.approx_count_distinct("page").alias("n_host"))
     each = found.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks"))
+    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     often = each.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     share = F.when(F.col("mark").bitwiseAND(1) == 1, prose_share).otherwise(min_share)
     return often.join(sizes, "host").where(F.col("n") >= share * F.col("n_host")).select("mark")
 
 
-def left_of(blocks: list[tuple[str, list[int]]], gone: set[int]) -> list[str]:
+def left_of(page: Page, gone: set[int]) -> list[str]:
     """The texts of blocks without templates."""
-    own = [b for b in blocks if not any(m in gone and not m & 1 for m in b[1])]
-    rest = [b for b in own if gone.isdisjoint(b[1])]
-    enough = sum(len(t) for t, _ in rest) >= LEAST_LEFT * sum(len(t) for t, _ in own)
-    return [t for t, _ in (rest if enough else own)]
+    state = [(False, False)]  # (in a template, in one or a template of prose) of each node; last, of no node
+    for up, m in page.nodes:
+        above, hit = state[up + 1], m in gone
+        state.append((above[0] or hit and not m & 1, above[1] or hit))
+    own = [(text, state[node + 1][1] or m in gone) for text, node, m in page.blocks if not state[node + 1][0]]
+    rest = [text for text, hit in own if not hit]
+    return rest if sum(map(len, rest)) >= LEAST_LEFT * sum(len(t) for t, _ in own) else [t for t, _ in own]
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
@@ -252,15 +281,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     key = pages.schema["page_id"].dataType.simpleString()
     found = cut(marked(pages))
     # copies of a row share its hash, and have the same marks
-    hit = found.select("row", F.explode("marks").alias("mark")).join(templates(found, min_pages, min_share, prose_share), "mark")
-    gone = hit.groupBy("row").agg(F.collect_set("mark").alias("gone"))
+    hit = found.select("row", "again", F.explode("marks").alias("mark")).join(templates(found, min_pages, min_share, prose_share), "mark")
+    gone = hit.groupBy("row", "again").agg(F.collect_set("mark").alias("gone"))
 
     def pack():
         return lambda c: [*c[:-2], [zlib.compress(json.dumps(host_blocks(html, host), ensure_ascii=False).encode("utf-8", "surrogatepass"), 3) for host, html in zip(*c[-2:])]]
 
     def unpack():
-        return lambda c: [*c[:-2], [" ".join(left_of(json.loads(zlib.decompress(b).decode("utf-8", "surrogatepass")), set(g or ()))) for g, b in zip(*c[-2:])]]
+        return lambda c: [*c[:-2], [" ".join(left_of(Page(*json.loads(zlib.decompress(b).decode("utf-8", "surrogatepass"))), set(g or ()))) for g, b in zip(*c[-2:])]]
 
-    rows = pages.select(_row(), "page_id", "url", _host(), F.coalesce("html", F.lit("")).alias("text"))
-    parsed = map_rows(rows, pack, f"row long, page_id {key}, url string, blocks binary")
-    return map_rows(parsed.join(gone, "row", "left").select("page_id", "url", "gone", "blocks"), unpack, f"page_id {key}, url string, text string")
+    rows = pages.select(*_row(), "page_id", "url", _host(), F.coalesce("html", F.lit("")).alias("text"))
+    parsed = map_rows(rows, pack, f"row long, again long, page_id {key}, url string, blocks binary")
+    return map_rows(parsed.join(gone, ["row", "again"], "left").select("page_id", "url", "gone", "blocks"), unpack, f"page_id {key}, url string, text string")
