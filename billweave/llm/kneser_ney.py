@@ -12,7 +12,9 @@ Workers map those files into memory and look whole batches up by binary search.
 the numbers of items with count one to four come to the driver.
 
 Files lie in the shared folder under a name of their own for every attempt; only those that finished tasks return are
-read. Where that folder is not a mountable path, a worker reads a file once into memory instead of mapping it.
+read. Where that folder is not a mountable path, a worker reads a file once into memory instead of mapping it. A file's
+counts have four bytes each, or eight where one of them needs it. Words are told apart by their 64-bit hash alone, and are
+less than 2^32 - 1; more are an error.
 
 Defined results: a null text is empty (one token, the end); a null id counts as the empty text for the fold; repeated
 rows count as often as they occur; with nothing to learn from, every token has probability one over the vocabulary
@@ -32,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, map_rows, shared_dir, text_of
+from .common import cut, held, map_rows, shared_uri, split_words, text_of
 
 #: UTF-8 bytes of text for which there is one file of each kind.
 FILE_BYTES = 8_000_000
@@ -48,8 +50,12 @@ _START = np.uint64(0xFFFFFFFF)  # as an id: the place before the first token
 _UNKNOWN = -1
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of texts in lower case: (number of each in turn, the different ones, how many each text has)."""
+    which, written, n_words = split_words([t.encode() for t in texts])
+    number: dict[bytes, int] = {}
+    lower = np.array([number.setdefault(w.rstrip().lower(), len(number)) for w in written], np.int64)
+    return lower[which] if len(which) else which, list(number), n_words
 
 
 def held_out(id_col: str) -> Column:
@@ -91,6 +97,7 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.empty(0, int)
     ends = np.append(first[1:], len(keys))
+    narrow(counts, "<u4")
     return pd.DataFrame(
         {
             "bucket": bucket[first],
@@ -100,6 +107,22 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
     )
 
 
+def narrow(counts: np.ndarray, kind: str) -> np.ndarray:
+    """The counts as a type that must hold them."""
+    if len(counts) and int(counts.max()) > np.iinfo(kind).max:
+        raise OverflowError(f"a count of {int(counts.max())} doesn't fit {kind}")
+    return counts.astype(kind)
+
+
+def wide_enough(counts: np.ndarray) -> np.ndarray:
+    return counts.astype("<u4" if not len(counts) or int(counts.max()) < 1 << 32 else "<u8")
+
+
+def counts_in(data: np.ndarray, n: int, rows: int = 1) -> np.ndarray:
+    """The ``n`` by ``rows`` counts that fill a part of a file."""
+    return data.view("<u4" if len(data) == 4 * n * rows else "<u8")
+
+
 _DEALT = "bucket long, keys binary, counts binary"
 _FILE = "bucket long, name string, n long, total long, ones array<long>"
 
@@ -116,7 +139,7 @@ def _keep(base: str, kind: str):
         keys = np.frombuffer(b"".join(pdf["keys"]), np.uint64)
         counts = np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.uint64)
         keys, counts = combine(keys, counts)
-        name = _save(base, kind, keys=keys, counts=counts.astype("<u4"))
+        name = _save(base, kind, keys=keys, counts=wide_enough(counts))
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "name": [name], "n": [len(keys)], "total": [int(counts.sum())], "ones": [_ones(counts)]})
 
     return reduce
@@ -145,7 +168,7 @@ class Lookup:
     def _arrays(self, b: int) -> tuple[np.ndarray, np.ndarray]:
         if b not in self.open:
             data, n = _map(self.files.base, self.files.names[b]), int(self.files.sizes[b])
-            self.open[b] = data[: 8 * n].view(np.uint64), data[8 * n :].view("<u4")
+            self.open[b] = data[: 8 * n].view(np.uint64), counts_in(data[8 * n :], n)
         return self.open[b]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,33 +193,37 @@ class Words:
     """Ids and counts of words, remembered by the worker up to a bound."""
 
     def __init__(self, files: Files):
-        self.look, self.known = Lookup(files), {}
-        (end,), _ = self.look.find(np.array([_END]))
-        self.end = int(end)
-        self.end_count = int(self.look.find(np.array([_END]))[1][0])
+        if files.n >= int(_START):
+            raise OverflowError(f"{files.n} different words; ids have 32 bits")
+        self.look = Lookup(files)
+        self._forget()
+        place, count = self.look.find(np.array([_END]))
+        self.end, self.end_count = int(place[0]), int(count[0])
+
+    def _forget(self) -> None:
+        self.known, self.places, self.counts = {}, np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, counts, lengths): each text's tokens one after the other, its end included."""
-        split = [words_of(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            new = set().union(*split)
-        new = list(new)
+        which, distinct, n_words = words_of(texts)
+        if len(self.known) > REMEMBER:
+            self._forget()
+        known = self.known
+        new = [w for w in distinct if w not in known]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
         order = np.argsort(hashes)
-        place, count = self.look.find(hashes[order])
-        packed = np.empty(len(new), np.int64)
-        packed[order] = np.where(place < 0, -1, place << 32 | count)  # ids have 31 bits and counts 32
-        self.known.update(zip(new, packed.tolist()))
-        known = self.known
-        lengths = np.array([len(w) + 1 for w in split], np.int64)
-        both = np.empty(int(lengths.sum()), np.int64)
-        both[np.cumsum(lengths) - 1] = self.end << 32 | self.end_count if self.end >= 0 else -1
-        inner = np.ones(len(both), bool)
+        place, count = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        place[order], count[order] = self.look.find(hashes[order])
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        self.places, self.counts = np.concatenate([self.places, place]), np.concatenate([self.counts, count])
+        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        lengths = n_words + 1
+        ids, counts = np.full(int(lengths.sum()), self.end, np.int64), np.full(int(lengths.sum()), self.end_count, np.int64)
+        inner = np.ones(len(ids), bool)
         inner[np.cumsum(lengths) - 1] = False
-        both[inner] = np.fromiter((known[w] for ws in split for w in ws), np.int64, int(inner.sum()))
-        return np.where(both < 0, _UNKNOWN, both >> 32), np.where(both < 0, 0, both & 0xFFFFFFFF), lengths
+        if len(which):
+            ids[inner], counts[inner] = self.places[at][which], self.counts[at][which]
+        return ids, counts, lengths
 
 
 def previous(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -247,8 +274,7 @@ def discounts(ones: list[int]) -> np.ndarray:
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Count the model over all rows of ``docs``."""
-    shared = shared_dir(docs.sparkSession)
-    base = f"{shared if shared.startswith('file:') or '://' in shared else 'file://' + shared}/kneser-ney-{uuid.uuid4().hex}"
+    base = f"{shared_uri(docs.sparkSession)}/kneser-ney-{uuid.uuid4().hex}"
     texts = docs.select(text_of(text_col))
     n_docs, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = max(0, math.ceil(math.log2(max(1, size / FILE_BYTES))))
@@ -256,11 +282,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     def count_words(batches):
         got = Gather(bits)
         for pdf in batches:
-            counts, n = Counter(), 0
-            for i in range(0, len(pdf), 500):
-                for t in pdf["text"].iloc[i : i + 500]:
-                    counts.update(words_of(t))
-                    n += 1
+            counts, n = Counter(), len(pdf)
+            for i in range(0, n, 1000):
+                which, distinct, _ = words_of(pdf["text"].iloc[i : i + 1000].tolist())
+                counts.update(dict(zip(distinct, np.bincount(which, minlength=len(distinct)).tolist())))
                 if len(counts) > 300_000:
                     got.add(*_hashed(counts))
                     counts = Counter()
@@ -293,7 +318,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             for name, n in zip(pdf["name"], pdf["n"]):
                 data = _map(base, name)
                 pair = data[: 8 * n].view(np.uint64) * _UNMIX
-                count = np.minimum(data[8 * n :].view("<u4"), 3).astype(np.uint64)
+                count = np.minimum(counts_in(data[8 * n :], n), 3).astype(np.uint64)
                 # as a follower: one more word it follows; as a context: one more follower with count 1, 2, or 3 and more
                 for kind, ids in ((np.uint64(0), pair & np.uint64(0xFFFFFFFF)), (count, pair >> np.uint64(32))):
                     keys, times = np.unique(ids << np.uint64(2) | kind, return_counts=True)
@@ -301,7 +326,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
                     where = np.where(ids_of == int(_START), 1 << bits, ids_of // step)
                     first = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
                     for a, b in zip(first, np.append(first[1:], len(keys))):
-                        yield pd.DataFrame({"bucket": [where[a]], "keys": [keys[a:b].tobytes()], "counts": [times[a:b].astype("<u4").tobytes()]})
+                        yield pd.DataFrame({"bucket": [where[a]], "keys": [keys[a:b].tobytes()], "counts": [narrow(times[a:b], "<u4").tobytes()]})
 
     def keep_stats(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
@@ -309,7 +334,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         rows = (keys >> np.uint64(2)).astype(np.int64) - bucket * step if bucket < 1 << bits else np.zeros(len(keys), np.int64)
         dense = np.zeros((4, step if bucket < 1 << bits else 1), np.int64)
         np.add.at(dense, ((keys & np.uint64(3)).astype(np.int64), rows), np.frombuffer(b"".join(pdf["counts"]), "<u4").astype(np.int64))
-        name = _save(base, "stats", dense=dense.astype("<u4"))
+        name = _save(base, "stats", dense=wide_enough(dense))
         return pd.DataFrame({"bucket": [bucket], "name": [name], "n": [dense.shape[1]], "total": [int(dense[0].sum())], "ones": [_ones(dense[0])]})
 
     spread = pair_files.select("name", "n").repartition(max(1, 1 << bits), "name")
@@ -347,7 +372,7 @@ class Scorer:
         for b in np.unique(where).tolist():
             if b >= 0 and b in self.m.stats:
                 if b not in self.open:
-                    self.open[b] = _map(self.m.words.base, self.m.stats[b]).view("<u4").reshape(4, -1)
+                    self.open[b] = counts_in(_map(self.m.words.base, self.m.stats[b]), self.m.step if b < last else 1, 4).reshape(4, -1)
                 mine = np.flatnonzero(where == b)
                 out[:, mine] = self.open[b][:, ids[mine] - b * self.m.step if b < last else 0 * ids[mine]]
         return out
