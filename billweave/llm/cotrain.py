@@ -1,7 +1,7 @@
 """Quality classifier by co-training two views of a document.
 
-The text view sees words, word beginnings and content shape; the metadata view sees language, source, size and line
-layout. Both are sparse logistic regressions over the features whose association with the label is significant.
+The text view sees words, word beginnings, content shape and line layout; the metadata view sees language, source and the
+stated size. Both are sparse logistic regressions over the features whose association with the label is significant.
 In each round a view labels those unlabelled documents of which it is sure, by its calibrated probability, and hands
 them to the other view as training rows. At the end both views are calibrated on labelled rows that neither was fitted
 on, a logistic combination of the calibrated views is fitted there too, and every document is scored.
@@ -12,9 +12,9 @@ The unlabelled pool is every document without a label. Its candidate features ar
 each round goes over all of them, labels them by the views of the round before, and adds up in Spark how often each
 candidate stands in rows given each label, and the gradients of the new fit. The driver gets one vector per view.
 
-Only the labelled rows of the fit are bounded: ``LABELLED``, taken by a hash of the id, come to the driver as feature
-numbers, and so do ``UNLABELLED`` others, which only help to name the candidates. Scoring runs over all documents and
-whole texts.
+Only the rows that name the candidates are bounded: about ``LABELLED`` labelled ones, which the fit uses too, and about
+``UNLABELLED`` others, both taken by a hash of the id and one row of each id. They come to the driver as feature numbers.
+Scoring runs over all documents and whole texts.
 
 Defined results: a null text is empty and scored by its metadata; null metadata is a value of its own; label rows with a
 null are not used, and of several for one id the worst counts; with no labels of either kind every document has
@@ -24,7 +24,9 @@ probability zero and is kept; repeated rows are scored alike; extra columns stay
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, map_rows, slices, text_of
+from .common import cut, free_name, held, map_rows, slices, split_words, text_of
 
-#: Bounds of the labelled sample, of the rows that name candidates with it, of a view's candidates and of the features it keeps.
-LABELLED, UNLABELLED, CANDIDATES, FEATURES = 8_000, 3_000, 1 << 16, 6_000
+#: Bounds of the labelled sample, of the rows that name candidates with it, and of a view's candidates.
+LABELLED, UNLABELLED, CANDIDATES = 8_000, 3_000, 1 << 16
 #: Steps of a round's fit, each with the gradient over the whole pool; all its rows weigh no more than the labelled ones.
 STEPS_EACH, GIVEN = 10, 0.5
 ROUNDS, SURE_BAD, SURE_GOOD = 3, 0.97, 0.97
@@ -57,8 +59,14 @@ def feature(name: str | bytes) -> int:
 def word_features(word: bytes) -> tuple[int, ...]:
     """Of a lower-case word: itself and its beginnings."""
     w = word.strip(_EDGES) or word
-    text = w.decode("utf-8", "replace")
-    return (feature(b"w " + w), *(feature(f"p{n} {text[:n]}") for n in (4, 5) if len(text) > n))
+    if w.isascii():
+        four, five, n = w[:4], w[:5], len(w)
+    else:
+        text = w.decode("utf-8", "replace")
+        four, five, n = text[:4].encode(), text[:5].encode(), len(text)
+    if n > 5:
+        return feature(b"w " + w), feature(b"p4 " + four), feature(b"p5 " + five)
+    return (feature(b"w " + w), feature(b"p4 " + four)) if n > 4 else (feature(b"w " + w),)
 
 
 def level(x: float) -> int:
@@ -70,9 +78,9 @@ def _count(content: bytes, kinds: bytes) -> int:
     return len(content) - len(content.translate(None, kinds))
 
 
-def shape(content: bytes, words: list[bytes], distinct: int) -> Iterator[str]:
-    """Names of the steps that content shape passes; characters beyond ASCII count as their bytes."""
-    n = max(1, len(words))
+def shape(text: str, content: bytes, n: int, distinct: int, same: int) -> list[int]:
+    """Features of content shape: the steps it passes, and line layout; characters beyond ASCII count as their bytes."""
+    n, lines = max(1, n), text.count("\n") + 1
     size = max(1, len(content) - _count(content, b" \t\n\r\x0b\x0c"))
     shares = {
         "distinct": distinct / n,
@@ -81,54 +89,84 @@ def shape(content: bytes, words: list[bytes], distinct: int) -> Iterator[str]:
         "marks": _count(content, b"!?") / n,
         "digits": _count(content, b"0123456789") / size,
         "bars": _count(content, b"|") / n,
-        "same": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "same": same / n,
     }
-    for name, share in shares.items():
-        for step in STEPS:
-            if share > step:
-                yield f"{name} over {step}"
-    yield f"distinct {round(10 * distinct / n)} {min(8, level(n) // 2)}"
+    out = [step for name, share in shares.items() for step in _STEP[name][: bisect_left(STEPS, share)]]
+    plain = (f"distinct {round(10 * distinct / n)} {min(8, level(n) // 2)}", f"lines {level(lines)}", f"line {level(len(text) / lines)}", f"bytes {round(20 * len(content) / max(1, len(text)))}")
+    return out + [PLAIN + feature(x) for x in plain]
 
 
-def layout(text: str, lang, source, n_chars) -> list[int]:
+_STEP = {name: [PLAIN + feature(f"{name} over {step}") for step in STEPS] for name in ("distinct", "symbols", "upper", "marks", "digits", "bars", "same")}
+
+
+def stated(lang, source, n_chars) -> tuple[int, ...]:
     """Features of the metadata view."""
-    lines = text.count("\n") + 1
-    size = len(text) if n_chars is None else n_chars
-    names = (f"lang {lang}", f"source {source}", f"size {level(size)}", f"lines {level(lines)}", f"line {level(size / lines)}", f"lang {lang} size {level(size) // 2}", f"bytes {round(20 * len(text.encode()) / max(1, len(text)))}")
-    return [feature(n) for n in names]
+    size = "none" if n_chars is None else level(n_chars)
+    half = "none" if n_chars is None else level(n_chars) // 2
+    names = (f"lang {lang}", f"source {source}", f"size {size}", f"half {half}", f"lang {lang} source {source}", f"lang {lang} half {half}", f"source {source} half {half}")
+    return tuple(map(feature, names))
+
+
+class Rows:
+    """Sparse rows: feature numbers one row after the other."""
+
+    def __init__(self, f: np.ndarray, sizes: np.ndarray):
+        self.f, self.sizes, self.n = f.astype(np.int32, copy=False), sizes, len(sizes)
+        self.row = np.repeat(np.arange(self.n), sizes)
+
+    def values(self) -> np.ndarray:
+        """A row's features count less in long rows, so that many faint words don't outweigh a few plain ones."""
+        usual = np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, self.sizes)))
+        return np.where(self.f >= PLAIN, SHAPE_VALUE, usual[self.row])
+
+    def each(self) -> list[np.ndarray]:
+        ends = np.cumsum(self.sizes).tolist()
+        return [self.f[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Reader:
-    """Texts to features; remembers the words it has met, up to a bound."""
+    """Rows to features; remembers the words it has met, up to a bound."""
 
     def __init__(self):
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.about: dict[tuple, tuple[int, ...]] = {}
 
-    def text(self, text: str) -> list[int]:
-        content, seen = text.encode("utf-8", "replace"), self.memo
-        words = content.lower().split()
-        each = set(words)
-        out = [PLAIN + feature(s) for s in shape(content, words, len(each))]
+    def text(self, texts: list[str]) -> Rows:
+        """Of each text its different words, in lower case, with their beginnings, and its shape."""
+        content, seen, number = [t.encode("utf-8", "replace") for t in texts], self.memo, {}
+        which, written, n_words = split_words(content)
+        lower = np.array([number.setdefault(w.rstrip().lower(), len(number)) for w in written], np.int64)
         if len(seen) > REMEMBER:
             seen.clear()
-        for w in each:
-            got = seen.get(w)
-            if got is None:
-                got = seen[w] = word_features(w)
-            out += got
-        return out
-
-
-class Rows:
-    """Sparse rows: feature numbers one row after the other."""
-
-    def __init__(self, rows: list):
-        sizes = np.array([len(r) for r in rows], np.int64)
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
-        self.f = np.concatenate(rows).astype(np.int32, copy=False) if len(rows) else np.empty(0, np.int32)
-        self.n = len(rows)
-        #: A row's features count less in long rows, so that many faint words don't outweigh a few plain ones.
-        self.value = np.where(self.f >= PLAIN, SHAPE_VALUE, np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))[self.row]).astype(np.float32)
+        seen.update((w, word_features(w)) for w in number if w not in seen)
+        own = [seen[w] for w in number]
+        sizes = np.array([len(x) for x in own], np.int64)
+        flat, first = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        doc, word = np.repeat(np.arange(len(texts)), n_words), lower[which] if len(which) else which
+        pairs = np.sort(doc * max(1, len(number)) + word)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+        in_doc, of_word = pairs // max(1, len(number)), pairs % max(1, len(number))
+        distinct = np.bincount(in_doc, minlength=len(texts))
+        same = np.bincount(doc[1:][(word[1:] == word[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
+        shapes = list(map(shape, texts, content, n_words.tolist(), distinct.tolist(), same.tolist()))
+        n = sizes[of_word]
+        words = flat[np.repeat(first[of_word] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else flat[:0]
+        in_row, more = np.repeat(in_doc, n), np.array([len(x) for x in shapes], np.int64)
+        have = np.bincount(in_row, minlength=len(texts))
+        out = np.empty(len(words) + int(more.sum()), np.int32)
+        out[np.arange(len(words)) + (np.cumsum(more) - more)[in_row]] = words  # a row's words, then its shape
+        out[np.arange(int(more.sum())) + np.repeat(np.cumsum(have), more)] = np.fromiter(chain.from_iterable(shapes), np.int32, int(more.sum()))
+        return Rows(out, have + more)
+
+    def meta(self, *columns: list) -> Rows:
+        if len(self.about) > REMEMBER:
+            self.about.clear()
+        found = []
+        for key in zip(*columns):
+            if key not in self.about:
+                self.about[key] = stated(*key)
+            found.append(self.about[key])
+        return Rows(np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64))
 
 
 def significant(n: np.ndarray, n1: np.ndarray, total: float, bad: float) -> np.ndarray:
@@ -139,8 +177,7 @@ def significant(n: np.ndarray, n1: np.ndarray, total: float, bad: float) -> np.n
             return np.where(a > 0, a * np.log(a / e), 0)
 
         g2 = 2 * (part(n1, n * p) + part(n - n1, n * (1 - p)) + part(bad - n1, (total - n) * p) + part(total - bad - n + n1, (total - n) * (1 - p)))
-    good = np.flatnonzero((n >= 5) & (g2 > 12))
-    return np.sort(good[np.argsort(-g2[good], kind="stable")][:FEATURES])
+    return np.flatnonzero((n >= 5) & (g2 > 12))
 
 
 class View:
@@ -154,7 +191,7 @@ class View:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         at = np.minimum(np.searchsorted(self.features, x.f), len(self.features) - 1)
         hit = self.features[at] == x.f
-        return at[hit], x.row[hit], x.value[hit]
+        return at[hit], x.row[hit], x.values()[hit]
 
     def logits(self, x: Rows) -> np.ndarray:
         cols, rows, value = self._columns(x)
@@ -195,18 +232,23 @@ def frequent(rows: list[np.ndarray], least: int = 5) -> np.ndarray:
     return found[np.sort(common[np.argsort(-counts[common], kind="stable")][:CANDIDATES])]
 
 
-def places(known: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Where a row's features stand among the known ones."""
-    at = np.searchsorted(known, row)
+def places(known: np.ndarray, x: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows' features stand among the known ones, and how many known ones each row has."""
+    at = np.searchsorted(known, x.f)
     at[at == len(known)] = 0
-    return at[known[at] == row] if len(known) else at[:0]
+    hit = known[at] == x.f if len(known) else np.zeros(len(at), bool)
+    return at[hit], np.bincount(x.row[hit], minlength=x.n)
 
 
 class Part:
     """Rows of one view as places of candidates."""
 
-    def __init__(self, known: np.ndarray, at: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
+    def __init__(self, known: np.ndarray, at: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, used: np.ndarray | None = None):
         self.n, self.k, self.at, self.row = len(lengths), len(known), at, np.repeat(np.arange(len(lengths)), lengths)
+        if used is not None:
+            hit = used[at]
+            self.at, self.row = at[hit], self.row[hit]
+            at = self.at
         usual = np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))
         self.value = np.where((known >= PLAIN)[at], SHAPE_VALUE, usual[self.row]) if len(at) else np.empty(0)
 
@@ -231,34 +273,44 @@ def given(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Pool:
     """All unlabelled documents as candidates' places, with sums over them by view."""
 
-    def __init__(self, docs: DataFrame, known: list[np.ndarray]):
+    def __init__(self, docs: DataFrame, labels: DataFrame, known: list[np.ndarray]):
         self.known = known
 
         def make():
             read = held("cotrain", Reader)
 
             def work(c):
-                found = [(np.array(read.text(t), np.int32), np.array(layout(t, a, b, n), np.int32)) for a, b, n, t in zip(*c)]
-                return [[places(known[v], f[v]).astype(np.uint16).tobytes() for f in found] for v in (0, 1)] + [[len(f[v]) for f in found] for v in (0, 1)]
+                out = [c[0]]
+                rows = read.text(c[4]), read.meta(*c[1:4])
+                for v in (0, 1):
+                    at, n = places(known[v], rows[v])
+                    data, ends = at.astype(np.uint16).tobytes(), (2 * np.cumsum(n)).tolist()
+                    out.append([data[a:b] for a, b in zip([0, *ends], ends)])
+                return out + [x.sizes.tolist() for x in rows]
 
             return work
 
-        rows = docs.select(F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), text_of("text"))
-        self.rows = cut(map_rows(rows, make, "text binary, meta binary, text_size int, meta_size int"))
+        key = docs.schema["doc_id"].dataType.simpleString()
+        rows = map_rows(docs.select("doc_id", *_about(), text_of("text")), make, f"doc_id {key}, text binary, meta binary, text_size int, meta_size int")
+        # features, not texts, are shuffled, and at every size
+        free = rows.join(labels.select("doc_id").hint("merge"), "doc_id", "left_anti")
+        self.blocks = cut(free.drop("doc_id").mapInArrow(_packed, "n int, text binary, text_n binary, text_size binary, meta binary, meta_n binary, meta_size binary"))
+
+    def count(self) -> int:
+        return self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    def sums(self, views: list[np.ndarray], calibration: list[np.ndarray], new: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    def sums(self, views: list[np.ndarray], calibration: list[np.ndarray], new: list[np.ndarray] | None = None, keep: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """By view, over all rows to which the other view gives a label: counts of the rows and of the bad ones with each
-        candidate; or, of the ``new`` weights, the gradient, and zeros."""
+        candidate; or, of the ``new`` weights, the gradient by the candidates that are kept, and zeros."""
         known = self.known
+        used = [None if new is None else keep[v] | (views[v][:-1] != 0) for v in (0, 1)]
         starts = np.cumsum([0, *(len(k) + 1 for k in known)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, starts[-1]))
-            for batch in (part for whole in batches for part in slices(whole, 2000)):
-                x = []
-                for v in (0, 1):
-                    cells = batch.column(v).to_pylist()
-                    x.append(Part(known[v], np.frombuffer(b"".join(cells), np.uint16).astype(np.int64), np.array([len(c) // 2 for c in cells], np.int64), batch.column(2 + v).to_numpy()))
+            for block in (part for whole in batches for part in slices(whole, 1)):
+                cells = [c[0].as_py() for c in block.columns[1:]]
+                x = [Part(known[v], np.frombuffer(cells[3 * v], np.uint16).astype(np.int64), *(np.frombuffer(c, np.int32) for c in cells[3 * v + 1 : 3 * v + 3]), used[v]) for v in (0, 1)]
                 for v in (0, 1):
                     z = x[1 - v].logits(views[1 - v])
                     sure, bad = given(sigmoid(z * calibration[1 - v][0] + calibration[1 - v][1]))
@@ -270,17 +322,28 @@ class Pool:
             at = np.flatnonzero(total.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["at", "a", "b"])
 
-        got = self.rows.mapInArrow(run, "at int, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+        got = self.blocks.mapInArrow(run, "at int, a double, b double").groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
         total = np.zeros((2, starts[-1]))
         total[:, got["at"].to_numpy()] = [got["a"].to_numpy(), got["b"].to_numpy()]
         return [tuple(total[:, starts[v] : starts[v + 1]]) for v in (0, 1)]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, meta: places as bytes; text_size, meta_size) in blocks of up to 2,000, each a row of few large cells, so that the
+    many passes over them have little to do for a document."""
+    for batch in (part for whole in batches for part in slices(whole, 2000)):
+        out = [pa.array([batch.num_rows], pa.int32())]
+        for v in (0, 1):
+            cells = batch.column(v).to_pylist()
+            out += [pa.array([x], pa.binary()) for x in (b"".join(cells), np.array([len(c) // 2 for c in cells], np.int32).tobytes(), batch.column(2 + v).to_numpy().astype(np.int32).tobytes())]
+        yield pa.RecordBatch.from_arrays(out, ["n", "text", "text_n", "text_size", "meta", "meta_n", "meta_size"])
+
+
 def cotrain(text: list, meta: list, y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
     """Fit on labelled rows and the pool."""
     known = pool.known
     sizes = [np.array([len(x) for x in rows]) for rows in (text, meta)]
-    at = [[places(k, x) for x in rows] for k, rows in zip(known, (text, meta))]
+    at = [[places(k, Rows(x, np.array([len(x)])))[0] for x in rows] for k, rows in zip(known, (text, meta))]
     held_out = np.arange(len(y)) % 4 == 3
 
     def part(v: int, which: np.ndarray) -> Part:
@@ -321,7 +384,7 @@ def cotrain(text: list, meta: list, y: np.ndarray, pool: Pool, rounds: int = ROU
         more = pool.sums(before, by)
         weight = [min(GIVEN, len(mine) / max(1.0, more[v][0][-1])) for v in (0, 1)]
         keep = [kept(*(c + weight[v] * x for c, x in zip(counts[v], more[v]))) for v in (0, 1)]
-        w = descend(before, keep, STEPS_EACH, lambda t: 0.1 * (1 - (t - 1) / STEPS_EACH), weight, lambda new: pool.sums(before, by, new))
+        w = descend(before, keep, STEPS_EACH, lambda t: 0.1 * (1 - (t - 1) / STEPS_EACH), weight, lambda new: pool.sums(before, by, new, keep))
         calibration = calibrated(w)
     views = []
     for v in (0, 1):
@@ -332,16 +395,21 @@ def cotrain(text: list, meta: list, y: np.ndarray, pool: Pool, rounds: int = ROU
     return Model(*views, calibration, platt(z, theirs))
 
 
-def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the features of both views."""
+def _about() -> list[Column]:
+    return [F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")]
+
+
+def _features(docs: DataFrame, keep: list[str]) -> pa.Table:
+    """``keep`` columns (ids first) and the features of both views, of one row of each id."""
 
     def make():
         read = held("cotrain", Reader)
-        return lambda c: [*c[:-4], *zip(*[(np.array(read.text(t), np.int32), np.array(layout(t, a, b, n), np.int32)) for a, b, n, t in zip(*c[-4:])])] if c[-1] else [[] for _ in range(len(c) - 2)]
+        return lambda c: [*c[:-4], read.text(c[-1]).each(), read.meta(*c[-4:-1]).each()]
 
     kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keep)
-    rows = docs.select(*keep, F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"), text_of("text"))
-    return map_rows(rows, make, f"{kinds}, text_features array<int>, meta_features array<int>")
+    rows = map_rows(docs.select(*keep, *_about(), text_of("text")), make, f"{kinds}, text_features array<int>, meta_features array<int>")
+    one = rows.groupBy(*keep).agg(F.min(F.struct("text_features", "meta_features")).alias("f"))
+    return one.select(*keep, "f.*").toArrow().combine_chunks().sort_by(keep[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model | None:
@@ -352,18 +420,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     part = worst.where(place < int((1 << 20) * min(1.0, labelled / max(1, n))))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad")
     columns = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    mine = columns.join(F.broadcast(part.select("doc_id", bad)), "doc_id").select("doc_id", "bad", "text", "lang", "source", "n_chars")
-    got = _features(mine, ["doc_id", "bad"]).toArrow().sort_by("doc_id")
+    got = _features(columns.join(F.broadcast(part.select("doc_id", bad)), "doc_id"), ["doc_id", "bad"])
     y = got["bad"].to_numpy().astype(float)
     if min(y.sum(), (1 - y).sum()) < 10:
         return None
-    free = columns.join(worst.select("doc_id"), "doc_id", "left_anti")
-    n_docs = columns.count()
-    other = _features(free.where(place < int((1 << 20) * min(1.0, unlabelled / max(1, n_docs - n)))), ["doc_id"]).toArrow()
+    some = columns.where("doc_id is not null").where(place < int((1 << 20) * min(1.0, unlabelled / max(1, columns.count()))))
+    other = _features(some.join(worst.select("doc_id"), "doc_id", "left_anti"), ["doc_id"])
     text, meta = _rows(got, "text_features"), _rows(got, "meta_features")
     known = [frequent([*text, *_rows(other, "text_features")]), frequent([*meta, *_rows(other, "meta_features")])]
     del other
-    return cotrain(text, meta, y, Pool(free, known))
+    return cotrain(text, meta, y, Pool(docs, worst, known))
 
 
 def _rows(table: pa.Table, name: str) -> list[np.ndarray]:
@@ -386,26 +452,26 @@ def bad_probability(model: Model | None, text: Column, lang: Column, source: Col
         for columns in texts:
             done = []
             for i in range(0, len(columns[0]), 1000):
-                t, a, b, n = (c.slice(i, 1000).to_pylist() for c in columns)
-                rows = [(read.text(x), layout(x, *m)) for x, *m in zip(t, a, b, n)]
-                done.append(model.probability(Rows([r[0] for r in rows]), Rows([r[1] for r in rows])))
+                t, *about = (c.slice(i, 1000).to_pylist() for c in columns)
+                done.append(model.probability(read.text(t), read.meta(*about)))
             yield pa.array(np.concatenate(done) if done else [], pa.float64())
 
     return score(F.coalesce(text.cast("string"), F.lit("")), lang.cast("string"), source.cast("string"), n_chars.cast("long"))
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with ``__bad``, the combined probability of being bad."""
+def scored(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The documents with the combined probability of being bad in a column of that name."""
     model = fit(docs, labels)
-    return docs.withColumn("__bad", bad_probability(model, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")))
+    return docs.withColumn(name, bad_probability(model, F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, bad_probability, kept`` of every row."""
-    p = F.col("__bad")
-    return scored(docs, labels).select("doc_id", p.alias("bad_probability"), (p < threshold).alias("kept"))
+    name = free_name(docs, "bad")
+    return scored(docs, labels, name).select("doc_id", F.col(name).alias("bad_probability"), (F.col(name) < threshold).alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject."""
-    return scored(docs, labels).where(F.col("__bad") < threshold).drop("__bad")
+    name = free_name(docs, "bad")
+    return scored(docs, labels, name).where(F.col(name) < threshold).drop(name)
