@@ -2,6 +2,11 @@
 
 Each stage takes all rows that the one before kept. ``run`` writes every stage's result as Parquet in the shared
 folder and reads it again, so a stage's several passes don't repeat the stages before it.
+
+Defined results of every stage: null or empty texts are classified by their metadata, are near duplicates of each other, leak
+nothing, hold no secrets and encode to no tokens; of repeated rows one stays after near duplicates; rows with a null id stay
+only where their whole group of near duplicates has none; an empty table gives an empty table; extra columns pass through all
+stages but the last, whatever their names. The last returns ``doc_id, n_tokens, ids, decodes`` only: its text is its ids.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the text are masked; ``n_chars`` follows the text."""
-    masked = docs.withColumn("text", secrets.redacted(F.col("text")))
+    masked = docs.withColumn("text", secrets.redacted(F.col("text"), secrets.dictionary(docs)))
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long"))
 
 
