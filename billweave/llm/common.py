@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A session on one machine without that setting gets a folder of
+    its own; another one is an error."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if there:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, map_rows, text_of
+from .common import cut, held, map_rows, text_of
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -191,10 +191,20 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> tuple[str, ...]:
-    """The commonest words of ASCII letters in all texts, most common first, of equals the first in order."""
+    """The commonest words of ASCII letters in all texts, most common first, of equals the first in order: ``size`` at most, where
+    words that occur equally often are all in or all out. How many words occur how often settles the least number, so that no more
+    than the dictionary comes to the driver."""
     word = F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(f"[a-z]{{{SHORTEST},}}"), 0)).alias("word")
-    counts = docs.select(word).groupBy("word").agg(F.count("*").alias("n")).where(F.length("word") <= LONGEST)
-    return tuple(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect())
+    counts = cut(docs.select(word).where(F.length("word") <= LONGEST).groupBy("word").agg(F.count("*").alias("n")))
+    least, total = None, 0
+    for n, words in sorted(map(tuple, counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True):
+        total += words
+        if total > size:
+            break
+        least = n
+    if least is None:
+        return ()
+    return tuple(w for _, w in sorted((-r["n"], r["word"]) for r in counts.where(F.col("n") >= least).collect()))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_log10: float = MIN_LOG10, words: tuple[str, ...] | None = None) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,8 +210,8 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, k: int) -> DataFrame:
+    """``doc_id, fp, root, component_id`` of every row; the root is a fingerprint of the group."""
     fps = cut(fingerprints(docs, id_col, text_col, k))
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = links(nodes, radius)
@@ -218,7 +219,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = cut(named)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(names, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(named.join(names, "root").select("fp", "root", "component_id"), "fp", "left").select("doc_id", "fp", "root", "component_id")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row."""
+    return _grouped(docs, id_col, text_col, radius, k).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, k: int = SHINGLE) -> DataFrame:
@@ -226,15 +232,29 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with a null id stay only where their whole group has none: then one of them.
     """
-    g = cut(groups(docs, id_col, text_col, radius, k))
-    same = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    g = cut(_grouped(docs, id_col, text_col, radius, k))
+    same = g.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     keep_id = free_name(docs, "keep")
     keep = cut(same.withColumnRenamed("doc_id", keep_id))
 
     def kept(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, F.col(id_col).eqNullSafe(F.col(keep_id)), "left_semi")
-
-    repeated = keep.where("n > 1")
-    if repeated.isEmpty():
-        return kept(keep)
-    return kept(keep.where("n = 1")).unionByName(kept(repeated).dropDuplicates([id_col]))
+        return docs.join(ids, F.col(id_col) == F.col(keep_id), "left_semi")
+
+    out, repeated = kept(keep.where("n = 1")), keep.where("n > 1")
+    if not repeated.isEmpty():
+        out = out.unionByName(kept(repeated).dropDuplicates([id_col]))
+    nameless = g.where("component_id is null")
+    if not nameless.isEmpty():  # rows are found by their fingerprint again
+        fp = free_name(docs, "fp")
+        pick = nameless.groupBy("root").agg(F.min("fp").alias(keep_id)).select(keep_id)
+        rows = docs.where(F.col(id_col).isNull()).withColumn(fp, _fingerprint_column(k)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+        out = out.unionByName(rows.join(pick, F.col(fp) == F.col(keep_id), "left_semi").dropDuplicates([fp]).drop(fp))
+    return out
+
+
+def _fingerprint_column(k: int):
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t, k) for t in texts.to_pylist()], pa.int64())
+
+    return of

@@ -43,5 +43,31 @@ def test_stages(spark):
             assert set(after) == set(before) and all(r["decodes"] and r["ids"] == enc.encode_ordinary(before[i]["text"]) for i, r in after.items())
 
 
+def test_awkward_rows(spark):
+    """Nulls, empty texts, repeated rows and clashing names go through every stage; so do empty tables."""
+    small = "/root/testdata/sf0.001"
+    docs = table(spark, small, "documents")
+    rows = [(None, None, None, None, None), (9001, "", "en", "s", 0), (9002, None, None, "s", None), (9003, "password = 'xK9#mQ2$vL7p' and more", "en", "s", None), (9003, "password = 'xK9#mQ2$vL7p' and more", "en", "s", None), (None, "one row without an id", None, None, 3)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    for name in ("bad", "keep", "KEEP_", "fp", "row", "gone"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), small).count() == 0
+        after = stage(spark, docs, small).cache()
+        ids = [r["doc_id"] for r in after.select("doc_id").collect()]
+        if name == "byte-level BPE":
+            assert after.columns == ["doc_id", "n_tokens", "ids", "decodes"] and after.where("not decodes").count() == 0
+            continue
+        assert after.columns == docs.columns
+        if name == "quality classifier":
+            continue  # what it rejects is its own affair; the others get every row
+        if name == "near duplicates":
+            assert ids.count(9003) == 1 and len(set(ids) & {9001, 9002}) == 1 and ids.count(None) == 1  # the null text has a group with an id
+        if name == "secret scan":
+            (r,) = after.where("doc_id = 9003").collect()
+            assert r["text"] == "password = '[SECRET]' and more" and r["n_chars"] == len(r["text"])
+        docs = after
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
