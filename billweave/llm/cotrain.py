@@ -198,15 +198,30 @@ class View:
         return np.bincount(rows, self.w[cols] * value, x.n) + self.b
 
 
-def platt(z: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Coefficients (last: intercept) of a logistic regression of ``y`` on the few columns of ``z``, by Newton's method."""
-    x = np.column_stack([z, np.ones(len(y))])
-    c = np.zeros(x.shape[1])
+def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
+    """Coefficients (last: intercept) of a logistic regression of ``y`` on the few columns of ``z``, by Newton's method on columns of
+    one scale; a step is halved until the loss falls, so that large logits don't throw it off."""
+    scale = np.maximum(np.abs(z).mean(axis=0), 1e-9)
+    x = np.column_stack([z / scale, np.ones(len(y))])
     soft = (y * (y.sum() + 1) + (1 - y) * 1) / np.where(y > 0, y.sum() + 2, (1 - y).sum() + 2)  # smoothed targets
-    for _ in range(min(steps, 30)):
-        p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+
+    def loss(c: np.ndarray) -> float:
+        t = x @ c
+        return float(np.sum(np.logaddexp(0, t) - soft * t) + 5e-4 * (c @ c))
+
+    c = np.zeros(x.shape[1])
+    now = loss(c)
+    for _ in range(steps):
+        p = sigmoid(x @ c)
         h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(c))
-        c += np.clip(np.linalg.solve(h, x.T @ (soft - p) - 1e-3 * c), -5, 5)
+        step, size = np.linalg.solve(h, x.T @ (soft - p) - 1e-3 * c), 1.0
+        while size > 1e-6 and loss(c + size * step) > now:
+            size /= 2
+        new = loss(c + size * step)
+        if now - new < 1e-9 * (1 + now):
+            break
+        c, now = c + size * step, new
+    c[:-1] /= scale
     return c
 
 

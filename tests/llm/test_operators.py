@@ -427,6 +427,16 @@ def test_cotraining_uses_every_unlabelled_document(spark, monkeypatch):
     assert all(every[v][0][-1] == free for every, _ in seen for v in (0, 1))  # all rows get a label of a view that is always sure
 
 
+@pytest.mark.parametrize("size", [0.01, 1, 50, 5000])
+def test_calibration_of_large_and_small_logits(size):
+    rng = np.random.default_rng(4)
+    y = (rng.random(2000) < 0.25).astype(float)
+    z = size * np.column_stack([2 * y - 1 + rng.normal(0, 0.6, 2000), 2 * y - 1 + rng.normal(0, 2, 2000)])
+    c = cotrain.platt(z, y)
+    p = cotrain.sigmoid(np.column_stack([z, np.ones(2000)]) @ c)
+    assert c[0] > 0 and ((p > 0.5) == (y > 0)).mean() > 0.93 and abs(p.mean() - y.mean()) < 0.01
+
+
 def test_views_exchange_labels(spark):
     """A view's sums are over the rows that the other view is sure of, with the other view's labels: against plain loops."""
     rows, labels = labelled(spark, 240)
