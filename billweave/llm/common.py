@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +123,31 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """A batch in parts, so that the Python objects of one part at a time are alive."""
     for i in range(0, batch.num_rows, rows):
         yield batch.slice(i, rows)
+
+
+def by_bytes(batch: pa.RecordBatch, name: str, most: int = 8_000_000, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``most`` bytes of the text column ``name`` (or one row), and ``rows`` rows at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[name]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        so_far = int(ends[at - 1]) if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, so_far + most, "right"))), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+#: Rows of a table up to which it is broadcast, and parts in which the other side of a join is dealt beyond that.
+SMALL, SALTS = 100_000, 64
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """Join with a table of few rows for each key, broadcast if it has ``SMALL`` rows at most.
+
+    Otherwise it is repeated for ``SALTS`` parts of each key, by the integer column ``spread`` of ``rows``, so that no key meets in
+    one task.
+    """
+    if small.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(small), on, how)
+    salt = free_name(rows, "salt")
+    dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(dealt, [*on, salt], how).drop(salt)
