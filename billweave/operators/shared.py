@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once, now, in the shared folder, so that later passes neither repeat it nor depend on an executor.
-
-    The folder is ``spark.checkpoint.dir``; a session on one machine without that setting gets one of its own, another one is
-    an error.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not there and not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A session on one machine without that setting gets a folder
+    of its own; on a cluster it is an error."""
+    sc = spark.sparkContext
+    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not there:
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(there or tempfile.mkdtemp(prefix="spark-"))
+        there = tempfile.mkdtemp(prefix="spark-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(there)
+    return there
+
+
+def shared_path(spark: SparkSession, stem: str) -> str:
+    """A new path in that folder."""
+    return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, now, in the shared folder, so that later passes neither repeat it nor depend on an executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -1,7 +1,8 @@
 """Changes of the bill store, each as new versions of its tables: item edits, confirmation, scenario batches, runs, cascades.
 
 An operation takes tables and requests, and returns the tables as they are afterwards with one result row per request; what is
-refused changes nothing. Requests of one call are independent: at most one for an item, or one scenario request for a bill.
+refused changes nothing. Item edits and orders of a bill are made one after the other, by ``seq``; a scenario batch has at most one
+request for a bill. ``edit_stored``, ``append`` and ``storage.Stored`` write changes so that a repeated batch has no further effect.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from ..functions import money
 from ..schema import ROUNDING_MODES, WIDE
 from . import bills as bill_ops
 from . import scenarios as scenario_ops
+from .shared import cut
+from .storage import Stored, written_once
 
 # Messages that users read (fixed values).
 CONFIRMED = "Confirmed bills cannot be edited."
 NO_BILL, NO_ITEM = "Bill not found.", "Item not found."
 NOT_CONFIRMED = "Bill must be confirmed before generating scenarios."
+WRONG_ORDER = "item_ids_in_order must include every item exactly once."
 
 
 def _no(code: int, message: Column | str) -> Column:
@@ -30,54 +34,135 @@ def _judged(requests: DataFrame, *rules: tuple[Column, Column]) -> DataFrame:
     return requests.withColumn("no", found).withColumn("code", F.col("no.code")).withColumn("message", F.col("no.message")).drop("no")
 
 
-def edit_items(bills: DataFrame, items: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(bills, items, results) after ``edits(bill_id, seq, op, item_id, description, rate)`` with op add, update or delete.
+def new_item_id(bill_id: Column | str, seq: Column | str) -> Column:
+    """The id of the item that an edit adds, known before it is made, so that later edits can name it."""
+    return F.sha2(F.concat_ws("/", bill_id, seq, F.lit("added")), 256)
+
+
+def judged_edits(bills: DataFrame, items: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits(bill_id, seq, op, item_id, description, rate)`` with ``code`` and ``message``, each judged after those before it.
 
-    An added item is one piece without tax, numbered on from the bill's last; an updated one keeps what the edit leaves null. The
-    totals of every bill with an accepted edit are worked out again.
+    ``op`` is add, update or delete, and ``seq`` orders a bill's edits. An item is there from the edit that adds it, if that one is
+    accepted, to the first that deletes it, so each item's edits are judged by themselves; a later one of it is 404.
     """
     known = bills.select("bill_id", F.col("confirmed").alias("shut"))
-    have = items.select("bill_id", F.col("id").alias("item_id"), F.lit(True).alias("found"))
+    op, seq = F.col("op"), F.col("seq")
+    add = op == "add"
+    bad_rate = F.when(add, F.coalesce(F.col("rate") < 0, F.lit(True))).otherwise(F.coalesce((op == "update") & (F.col("rate") < 0), F.lit(False)))
+    asked = edits.join(known, "bill_id", "left").withColumn("bad_rate", bad_rate)
+    born = asked.where(add & ~F.col("shut") & ~F.col("bad_rate")).select("bill_id", new_item_id("bill_id", "seq").alias("item_id"), F.col("seq").alias("born"))
+    there = items.select("bill_id", F.col("id").alias("item_id"), F.lit(None).cast(born.schema["born"].dataType).alias("born")).unionByName(born).withColumn("found", F.lit(True))
+    d = asked.join(there, ["bill_id", "item_id"], "left")
+    alive = F.coalesce(F.col("found") & (F.col("born").isNull() | (F.col("born") < seq)), F.lit(False))
+    gone = F.min(F.when(alive & (op == "delete"), seq)).over(Window.partitionBy("bill_id", "item_id"))
+    d = d.withColumn("alive", alive).withColumn("gone", gone).withColumn("alive", F.col("alive") & F.coalesce(seq <= F.col("gone"), F.lit(True)))
+    rules = (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (~add & ~F.col("alive"), _no(404, NO_ITEM)), (F.col("bad_rate"), _no(400, bill_ops.RATE_INVALID))
+    return _judged(d, *rules).select(*edits.columns, "code", "message")
+
+
+def _new_serials(items: DataFrame, done: DataFrame) -> DataFrame:
+    """``bill_id, seq, serial_no`` of every added item: one more than the highest number its bill has at that moment.
+
+    Only this needs a bill's edits one after the other: a fold over its additions and deletions, with the numbers of its items.
+    """
+    steps = done.where("op <> 'update'").groupBy("bill_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", (F.col("op") == "add").alias("add"), F.coalesce("item_id", new_item_id("bill_id", "seq")).alias("id")))).alias("steps"), F.bool_or(F.col("op") == "add").alias("adds")
+    )
+    steps = steps.where("adds")
+    have = items.join(steps.select("bill_id"), "bill_id", "left_semi").groupBy("bill_id").agg(F.collect_list(F.struct("id", F.col("serial_no").cast("int").alias("no"))).alias("have"))
+    d = steps.join(have, "bill_id", "left")
+    kind = "array<struct<id:string,no:int>>"
+    start = F.struct(F.coalesce("have", F.array().cast(kind)).cast(kind).alias("have"), F.array().cast("array<struct<seq:bigint,no:int>>").alias("out"))
+
+    def step(state: Column, x: Column) -> Column:
+        no = F.coalesce(F.array_max(F.transform(state["have"], lambda i: i["no"])), F.lit(0)) + 1
+        more = F.struct(
+            F.concat(state["have"], F.array(F.struct(x["id"].alias("id"), no.alias("no")))).alias("have"), F.concat(state["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), no.alias("no")))).alias("out")
+        )
+        less = F.struct(F.filter(state["have"], lambda i: i["id"] != x["id"]).alias("have"), state["out"].alias("out"))
+        return F.when(x["add"], more).otherwise(less)
+
+    return d.select("bill_id", F.explode(F.aggregate("steps", start, step, lambda s: s["out"])).alias("o")).select("bill_id", "o.seq", F.col("o.no").alias("serial_no"))
+
+
+def items_after(items: DataFrame, done: DataFrame) -> DataFrame:
+    """The items after accepted edits.
+
+    An added item is one piece without tax; an updated one keeps what no edit of it changes, and its amounts are worked out again.
+    """
+    kind = {f.name: f.dataType for f in items.schema}
     add = F.col("op") == "add"
-    asked = edits.join(known, "bill_id", "left").join(have, ["bill_id", "item_id"], "left")
-    bad_rate = F.when(add, F.coalesce(F.col("rate") < 0, F.lit(True))).when(F.col("op") == "update", F.col("rate") < 0)
-    judged = _judged(
-        asked, (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (~add & F.col("found").isNull(), _no(404, NO_ITEM)), (bad_rate, _no(400, bill_ops.RATE_INVALID))
-    ).drop("shut", "found")
-    done = judged.where("code = 200")
+    rate = F.col("rate").cast(kind["source_rate"])
+    values = {
+        "id": new_item_id("bill_id", "seq"), "bill_id": F.col("bill_id"), "serial_no": F.col("serial_no"), "description": F.col("description"), "gst_rate": F.lit(0), "quantity": F.lit(1), "source_rate": rate, "taxable_rate": rate,
+        "line_amount": money.line_amount(F.lit(1), rate), "tax_amount": F.lit(0), "total_amount": money.line_amount(F.lit(1), rate), "confidence": F.lit(1), "user_verified": F.lit(True),
+    }
+    added = done.where(add).join(_new_serials(items, done), ["bill_id", "seq"])
+    d = items.unionByName(added.select(*[values.get(c, F.lit(None)).cast(kind[c]).alias(c) for c in items.columns]))
 
-    kind = {f.name: f.dataType for f in items.schema}
-    change = done.where(~add).select("bill_id", F.col("item_id").alias("id"), "op", F.col("description").alias("new_description"), F.col("rate").cast(kind["source_rate"]).alias("new_rate"))
-    d = items.join(change, ["bill_id", "id"], "left").where("op is null or op <> 'delete'").withColumn("edited", F.col("op").isNotNull())
+    last = lambda name: F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(f"new_{name}")
+    change = done.where(~add).groupBy("bill_id", F.col("item_id").alias("id")).agg(F.bool_or(F.col("op") == "delete").alias("gone"), last("description"), last("rate"))
+    d = d.join(change, ["bill_id", "id"], "left").where("gone is null or not gone").withColumn("edited", F.col("gone").isNotNull())
     d = d.withColumn("description", F.coalesce("new_description", "description"))
     for name in ("source_rate", "taxable_rate"):
-        d = d.withColumn(name, F.coalesce("new_rate", name))
+        d = d.withColumn(name, F.coalesce(F.col("new_rate").cast(kind[name]), name))
     quantity, gst = F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(1), F.coalesce("gst_rate", F.lit(0))
     line = money.line_amount(quantity, F.col("source_rate"))
     tax = money.tax_amount(line, gst)
     for name, value in (("line_amount", line), ("tax_amount", tax), ("total_amount", line + tax), ("user_verified", F.lit(True))):
         d = d.withColumn(name, F.when(F.col("edited"), value).otherwise(F.col(name)).cast(kind[name]))
-    kept = d.select(*items.columns)
+    return d.select(*items.columns)
 
-    added = done.where(add).join(bill_ops.next_serial(bills.select("bill_id"), items), "bill_id")
-    place = F.row_number().over(Window.partitionBy("bill_id").orderBy("seq"))
-    rate = F.col("rate").cast(kind["source_rate"])
-    amount = money.line_amount(F.lit(1), rate)
-    values = {
-        "id": F.sha2(F.concat_ws("/", "bill_id", "seq", F.lit("added")), 256), "bill_id": F.col("bill_id"), "serial_no": F.col("next_serial") + place - 1, "description": F.col("description"), "gst_rate": F.lit(0),
-        "quantity": F.lit(1), "source_rate": rate, "taxable_rate": rate, "line_amount": amount, "tax_amount": F.lit(0), "total_amount": amount, "confidence": F.lit(1), "user_verified": F.lit(True),
-    }
-    new = added.select(*[values.get(c, F.lit(None)).cast(kind[c]).alias(c) for c in items.columns])
-    after = kept.unionByName(new)
 
-    touched = done.select("bill_id").distinct()
-    priced = after.join(touched, "bill_id", "left_semi").select("bill_id", money.line_amount(F.col("quantity"), F.col("source_rate")).alias("line_amount"), F.coalesce("gst_rate", F.lit(0)).alias("g"))
+def repriced(bills: DataFrame, items: DataFrame, touched: DataFrame) -> DataFrame:
+    """Bills with the totals of those in ``touched(bill_id)`` worked out again."""
+    priced = items.join(touched, "bill_id", "left_semi").select("bill_id", money.line_amount(F.col("quantity"), F.col("source_rate")).alias("line_amount"), F.coalesce("gst_rate", F.lit(0)).alias("g"))
     totals = bill_ops.totals(touched, priced.withColumn("tax_amount", money.tax_amount(F.col("line_amount"), F.col("g"))))
     fresh = totals.select("bill_id", *[F.col(c).alias(f"new_{c}") for c in ("subtotal", "tax_total", "grand_total")])
     d = bills.join(fresh, "bill_id", "left")
     for name in ("subtotal", "tax_total", "grand_total"):
         d = d.withColumn(name, F.coalesce(f"new_{name}", name).cast(bills.schema[name].dataType))
-    return d.select(*bills.columns), after, judged
+    return d.select(*bills.columns)
+
+
+def edit_items(bills: DataFrame, items: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bills, items, results) after ``edits(bill_id, seq, op, item_id, description, rate)``, each bill's in order of ``seq``.
+
+    The results are computed once, in the shared folder. The totals of every bill with an accepted edit are worked out again.
+    """
+    judged = cut(judged_edits(bills, items, edits))
+    done = judged.where("code = 200")
+    after = items_after(items, done)
+    return repriced(bills, after, done.select("bill_id").distinct()), after, judged
+
+
+def edit_stored(bills: Stored, items: Stored, log: str, edits: DataFrame, batch: str) -> DataFrame:
+    """Make edits in the stored tables; their results. A batch that is made again, or again after it failed halfway, changes nothing twice.
+
+    The results are written first, as the folder ``log/batch=...``, and are what a repetition goes by. Each bucket of a table takes a
+    batch once, so buckets that already have it are left alone; then the totals are those of the stored items.
+    """
+    spark = edits.sparkSession
+    results = written_once(judged_edits(bills.read(spark), items.read(spark), edits), f"{log}/batch={batch}")
+    done = results.where("code = 200")
+    touched = done.select("bill_id").distinct()
+    items.replace(touched, items_after(items.read(spark), done).join(touched, "bill_id", "left_semi"), batch)
+    bills.replace(touched, repriced(bills.read(spark), items.read(spark), touched).join(touched, "bill_id", "left_semi"), batch)
+    return results
+
+
+def reorder(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, results) after ``requests(bill_id, seq, item_ids)``: a bill's items are numbered by the last accepted order.
+
+    Refused are orders of unknown bills (404), of confirmed ones (409), and those that don't name just the bill's items (400).
+    """
+    have = items.groupBy("bill_id").agg(F.collect_set("id").alias("have"))
+    asked = requests.join(bills.select("bill_id", F.col("confirmed").alias("shut")), "bill_id", "left").join(have, "bill_id", "left")
+    own, named = (F.coalesce(c, F.array().cast(items_of)) for c, items_of in ((F.col("have"), have.schema["have"].dataType), (F.col("item_ids"), have.schema["have"].dataType)))
+    other = (F.size(F.array_except(own, named)) > 0) | (F.size(F.array_except(named, own)) > 0)
+    judged = cut(_judged(asked, (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (other, _no(400, WRONG_ORDER))).select(*requests.columns, "code", "message"))
+    last = judged.where("code = 200").groupBy("bill_id").agg(F.max_by("item_ids", "seq").alias("item_ids"))
+    return bill_ops.reordered(items, last).drop("reordered"), judged
 
 
 def confirm(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,8 +201,8 @@ def scenario_batch(bills: DataFrame, items: DataFrame, requests: DataFrame, batc
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Add a batch to an append-only table: a folder of Parquet files, one subfolder a batch."""
-    rows.write.mode("append").partitionBy("batch").parquet(path)
+    """Add a batch to an append-only table: a folder of Parquet files, one subfolder a batch. Added again it replaces itself."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
 def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
@@ -145,8 +230,3 @@ def finish_runs(documents: DataFrame, runs: DataFrame, bills: DataFrame, outcome
     r = r.withColumn("error_message", F.coalesce("why", "error_message")).withColumn("attempts_used", F.coalesce("used", "attempts_used"))
     rolled_back = outcomes.where("error is not null").select("document_id")
     return d.select(*documents.columns), r.select(*runs.columns), bills.join(rolled_back, "document_id", "left_anti")
-
-
-def rows_of(table: DataFrame, key: str, *values) -> DataFrame:
-    """The rows with those keys; the filter reaches the scan, which skips files and row groups by their statistics."""
-    return table.where(F.col(key).isin(*values))

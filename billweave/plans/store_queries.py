@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bills as bill_ops
 from ..operators import store
+from ..operators.shared import shared_path
+from ..operators.storage import Stored
 from ..sources import uploads
 from .inputs import ITEMS_SQL, bills, items, table
 
@@ -111,12 +113,15 @@ priced AS (SELECT *, round(line_amount * gst_rate * CAST(0.01 AS DECIMAL(2,2)),
 sums AS (SELECT bill_id, kind, sum(line_amount) AS s, sum(tax_amount) AS t, count(*) AS n FROM priced GROUP BY ALL)"""
 
 
-def _batch(spark, sf_dir):
+def _asked(spark, sf_dir):
     o = F.col("bill_id")
-    asked = bills(spark, sf_dir).select(
+    return bills(spark, sf_dir).select(
         "bill_id", F.when(o % 11 == 0, -1).otherwise(10).alias("markup_b"), F.lit(25).alias("markup_c"), F.when(o % 7 == 0, "bogus").otherwise("nearest_10").alias("rounding_mode")
     )
-    return store.scenario_batch(_bills(spark, sf_dir), items(spark, sf_dir), asked, "first")
+
+
+def _batch(spark, sf_dir):
+    return store.scenario_batch(_bills(spark, sf_dir), items(spark, sf_dir), _asked(spark, sf_dir), "first")
 
 
 @query(
@@ -138,6 +143,147 @@ def scenario_refusals(spark, sf_dir):
     return _batch(spark, sf_dir)[2].groupBy("code", "message").agg(F.count("*").alias("n"))
 
 
+_SEQUENCE = """WITH RECURSIVE one AS (
+    SELECT l_orderkey AS bill_id, l_linenumber AS no, min(CAST(l_extendedprice AS DECIMAL(14,2))) AS rate, min(CAST(l_quantity AS DECIMAL(12,3))) AS quantity, min(CAST(l_tax * 100 AS DECIMAL(5,2))) AS gst FROM lineitem GROUP BY ALL),
+held AS (
+    SELECT o_orderkey AS bill_id, o_orderstatus = 'F' AS shut, CAST(o_totalprice AS DECIMAL(14,2)) AS p,
+           coalesce(list({'id': o_orderkey || '/' || no, 'no': no::INTEGER, 'what': 'Paper', 'rate': rate, 'quantity': quantity, 'gst': gst, 'edited': false}) FILTER (no IS NOT NULL), []) AS items
+    FROM orders LEFT JOIN one ON bill_id = o_orderkey GROUP BY ALL),
+named AS (SELECT *, bill_id AS o, sha256(bill_id || '/2/added') AS second, sha256(bill_id || '/6/added') AS sixth FROM held),
+edits AS (
+    SELECT o AS bill_id, 1 AS seq, 'update' AS op, o || '/1' AS item_id, CASE WHEN o % 3 = 0 THEN 'First' END AS what, CASE WHEN o % 3 <> 0 THEN p END AS rate FROM named
+    UNION ALL SELECT o, 2, 'add', NULL, 'Added', p FROM named
+    UNION ALL SELECT o, 3, 'update', second, NULL, 12.5 FROM named
+    UNION ALL SELECT o, 4, 'delete', o || '/2', NULL, NULL FROM named
+    UNION ALL SELECT o, 5, 'update', o || '/2', 'Gone', 1 FROM named
+    UNION ALL SELECT o, 6, 'add', NULL, 'Again', 3 FROM named
+    UNION ALL SELECT o, 7, 'delete', CASE o % 4 WHEN 0 THEN second WHEN 1 THEN sixth ELSE 'nothing' END, NULL, NULL FROM named
+    UNION ALL SELECT o, 8, 'add', NULL, 'Late', CASE WHEN o % 5 = 0 THEN -1 ELSE 7 END FROM named
+    UNION ALL SELECT o, 9, 'update', o || '/1', 'Bad', -2 FROM named),
+steps AS (
+    SELECT bill_id, 0 AS seq, shut, items, 200 AS code FROM held
+    UNION ALL
+    SELECT bill_id, seq, shut, CASE WHEN code <> 200 THEN items
+            WHEN op = 'add' THEN list_append(items, {'id': sha256(bill_id || '/' || seq || '/added'), 'no': coalesce(list_max(list_transform(items, lambda x: x.no)), 0) + 1, 'what': what, 'rate': rate::DECIMAL(14,2), 'quantity': 1::DECIMAL(12,3), 'gst': 0::DECIMAL(5,2), 'edited': true})
+            WHEN op = 'delete' THEN list_filter(items, lambda x: x.id <> item_id)
+            ELSE list_transform(items, lambda x: CASE WHEN x.id = item_id THEN {'id': x.id, 'no': x.no, 'what': coalesce(what, x.what), 'rate': coalesce(rate::DECIMAL(14,2), x.rate), 'quantity': x.quantity, 'gst': x.gst, 'edited': true} ELSE x END) END, code
+    FROM (SELECT s.bill_id, e.seq, s.shut, s.items, e.op, e.item_id, e.what, e.rate,
+                 CASE WHEN s.shut THEN 409 WHEN e.op <> 'add' AND NOT list_contains(list_transform(s.items, lambda x: x.id), e.item_id) THEN 404 WHEN e.rate < 0 THEN 400 ELSE 200 END AS code
+          FROM steps s JOIN edits e ON e.bill_id = s.bill_id AND e.seq = s.seq + 1)),
+final AS (SELECT bill_id, unnest(items) AS i FROM steps WHERE seq = 9)"""
+_LINES = """lines AS (SELECT bill_id, i.id AS id, i.no AS serial_no, i.what AS description, i.rate AS source_rate, i.edited AS user_verified, i.gst AS gst, round(i.quantity * i.rate, 2)::DECIMAL(18,2) AS line_amount FROM final),
+taxed AS (SELECT *, round(line_amount * gst * CAST(0.01 AS DECIMAL(2,2)), 2)::DECIMAL(18,2) AS tax_amount FROM lines)"""
+
+
+def _sequence(spark, sf_dir):
+    """Nine edits of every bill in order: items that are added, changed, deleted and asked for again, with refusals between."""
+    o, p = F.col("bill_id"), F.col("printed_total")
+    old, new = (lambda n: F.concat_ws("/", o, F.lit(n))), (lambda n: store.new_item_id(o, F.lit(n)))
+    one = lambda seq, op, item=None, what=None, rate=None: F.struct(F.lit(seq).alias("seq"), F.lit(op).alias("op"), (F.lit(None) if item is None else item).cast("string").alias("item_id"),
+        (F.lit(what) if not hasattr(what, "cast") else what).cast("string").alias("description"), (F.lit(rate) if not hasattr(rate, "cast") else rate).cast("decimal(14,2)").alias("rate"))
+    edits = F.array(
+        one(1, "update", old(1), F.when(o % 3 == 0, "First"), F.when(o % 3 != 0, p)), one(2, "add", None, "Added", p), one(3, "update", new(2), None, 12.5), one(4, "delete", old(2)), one(5, "update", old(2), "Gone", 1),
+        one(6, "add", None, "Again", 3), one(7, "delete", F.when(o % 4 == 0, new(2)).when(o % 4 == 1, new(6)).otherwise("nothing")), one(8, "add", None, "Late", F.when(o % 5 == 0, -1).otherwise(7)), one(9, "update", old(1), "Bad", -2),
+    )
+    return bills(spark, sf_dir).select("bill_id", F.explode(edits).alias("e")).select("bill_id", "e.*")
+
+
+@query(
+    f"""{_SEQUENCE} SELECT bill_id, seq, code, CASE code WHEN 409 THEN 'Confirmed bills cannot be edited.' WHEN 404 THEN 'Item not found.' WHEN 400 THEN 'Rate must be a valid non-negative monetary value.' END AS message FROM steps WHERE seq > 0"""
+)
+def edit_sequence_results(spark, sf_dir):
+    """What becomes of several edits of a bill, each after those before it."""
+    return store.judged_edits(_bills(spark, sf_dir), _items(spark, sf_dir), _sequence(spark, sf_dir)).select("bill_id", "seq", "code", "message")
+
+
+@query(f"{_SEQUENCE}, {_LINES} SELECT bill_id, id, serial_no, description, source_rate, (line_amount + tax_amount)::DECIMAL(18,2) AS total_amount, user_verified FROM taxed")
+def edit_sequences(spark, sf_dir):
+    """The items after several edits of every bill, made one after the other."""
+    return store.edit_items(_bills(spark, sf_dir), _items(spark, sf_dir), _sequence(spark, sf_dir))[1].select("bill_id", "id", "serial_no", "description", "source_rate", "total_amount", "user_verified")
+
+
+def _stored(spark, sf_dir, base):
+    held = Stored(f"{base}/bills", "bill_id", 16), Stored(f"{base}/items", "bill_id", 16)
+    for one, rows in zip(held, (_bills(spark, sf_dir), _items(spark, sf_dir))):
+        one.write(rows)
+    return held
+
+
+@query(
+    f"""{_SEQUENCE}, {_LINES}, sums AS (SELECT bill_id, sum(line_amount) AS s, sum(tax_amount) AS t, count(*) AS n FROM taxed GROUP BY bill_id)
+        SELECT h.bill_id, CASE WHEN shut THEN 0 ELSE coalesce(s, 0) END::DECIMAL(18,2) AS subtotal, CASE WHEN shut THEN 0 ELSE coalesce(s + t, 0) END::DECIMAL(18,2) AS grand_total, coalesce(n, 0)::BIGINT AS n_items FROM held h LEFT JOIN sums USING (bill_id)"""
+)
+def edits_replayed(spark, sf_dir):
+    """Stored bills and items after the same batch of edits was made two times: as after once."""
+    base = shared_path(spark, "edits")
+    held_bills, held_items = _stored(spark, sf_dir, base)
+    for _ in range(2):
+        store.edit_stored(held_bills, held_items, f"{base}/log", _sequence(spark, sf_dir), "monday")
+    counts = held_items.read(spark).groupBy("bill_id").agg(F.count("*").alias("n_items"))
+    return held_bills.read(spark).join(counts, "bill_id", "left").na.fill(0, ["n_items"]).select("bill_id", "subtotal", "grand_total", "n_items")
+
+
+@query(
+    """WITH one AS (SELECT l_orderkey AS bill_id, l_linenumber AS no, min(CAST(l_extendedprice AS DECIMAL(14,2))) AS source_rate FROM lineitem GROUP BY ALL)
+        SELECT bill_id, no::INTEGER AS serial_no, source_rate FROM one WHERE bill_id IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderpriority)"""
+)
+def bill_look_up(spark, sf_dir):
+    """The items of five bills, looked up by key in the stored table."""
+    asked = [r["k"] for r in table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.max("o_orderkey").alias("k")).collect()]
+    return _stored(spark, sf_dir, shared_path(spark, "looked-up"))[1].rows_of(spark, *asked).select("bill_id", F.col("serial_no").cast("int").alias("serial_no"), "source_rate")
+
+
+@query(
+    f"""{_BATCH}, kept AS (SELECT bill_id, any_value(n) AS n FROM wanted LEFT JOIN sums USING (bill_id, kind) GROUP BY bill_id)
+        SELECT batch, count(*) * 3 AS n_scenarios, (sum(coalesce(n, 0)) * 3)::BIGINT AS n_items FROM kept, (VALUES ('first'), ('second')) AS batches(batch) WHERE batch = 'first' OR bill_id % 2 = 0 GROUP BY batch"""
+)
+def batch_replay(spark, sf_dir):
+    """Scenario batches in the append-only tables; the first was written two times, with another between."""
+    base = shared_path(spark, "batches")
+    for batch in ("first", "second", "first"):
+        asked = _asked(spark, sf_dir).where("bill_id % 2 = 0") if batch == "second" else _asked(spark, sf_dir)
+        made = store.scenario_batch(_bills(spark, sf_dir), items(spark, sf_dir), asked, batch)
+        for name, rows in zip(("scenarios", "items"), made):
+            store.append(rows, f"{base}/{name}")
+    n, m = (spark.read.parquet(f"{base}/{name}").groupBy("batch").agg(F.count("*").alias(f"n_{name}")) for name in ("scenarios", "items"))
+    return n.join(m, "batch")
+
+
+_ORDERS_SQL = """WITH one AS (SELECT l_orderkey AS bill_id, l_linenumber AS no FROM lineitem GROUP BY ALL), sizes AS (SELECT o_orderkey AS bill_id, o_orderstatus = 'F' AS shut, count(no) AS n FROM orders LEFT JOIN one ON bill_id = o_orderkey GROUP BY ALL)"""
+
+
+def _orders(spark, sf_dir):
+    """Three orders of every bill: its items turned round, one item too many in every third, and the first item alone; one of an unknown bill."""
+    turned = _items(spark, sf_dir).groupBy("bill_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("serial_no", "id")), False), lambda x: x["id"]).alias("item_ids"))
+    d = _bills(spark, sf_dir).select("bill_id").join(turned, "bill_id", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    more = F.when(F.col("bill_id") % 3 == 0, F.concat("item_ids", F.array(F.lit("none such")))).otherwise(F.concat("item_ids", F.slice("item_ids", 1, 1)))
+    three = F.array(*[F.struct(F.lit(i).alias("seq"), ids.alias("item_ids")) for i, ids in ((1, F.col("item_ids")), (2, more), (3, F.slice("item_ids", 1, 1)))])
+    known = d.select("bill_id", F.explode(three).alias("r")).select("bill_id", "r.*")
+    return known.union(d.where("bill_id > 0").select(-F.col("bill_id"), F.lit(1), "item_ids"))
+
+
+@query(
+    f"""{_ORDERS_SQL}, asked AS (SELECT bill_id, seq, CASE WHEN shut THEN 409 WHEN seq = 2 AND bill_id % 3 = 0 OR seq = 3 AND n > 1 THEN 400 ELSE 200 END AS code FROM sizes, (VALUES (1), (2), (3)) AS three(seq)
+            UNION ALL SELECT -bill_id, 1, 404 FROM sizes WHERE bill_id > 0)
+        SELECT bill_id, seq, code, CASE code WHEN 404 THEN 'Bill not found.' WHEN 409 THEN 'Confirmed bills cannot be edited.' WHEN 400 THEN 'item_ids_in_order must include every item exactly once.' END AS message FROM asked"""
+)
+def reorder_results(spark, sf_dir):
+    """What becomes of each order."""
+    return store.reorder(_bills(spark, sf_dir), _items(spark, sf_dir), _orders(spark, sf_dir))[1].select("bill_id", "seq", "code", "message")
+
+
+@query(
+    f"""{_ORDERS_SQL} SELECT bill_id, bill_id || '/' || no AS id, CASE WHEN shut THEN no
+            WHEN bill_id % 3 = 0 OR n = 1 AND bill_id % 3 = 0 THEN row_number() OVER (PARTITION BY bill_id ORDER BY no DESC)
+            WHEN n = 1 THEN 1
+            WHEN no = max(no) OVER (PARTITION BY bill_id) THEN n + 1 ELSE row_number() OVER (PARTITION BY bill_id ORDER BY no DESC) END::INTEGER AS serial_no
+        FROM one JOIN sizes USING (bill_id)"""
+)
+def reordered_items(spark, sf_dir):
+    """Items after the last accepted order of their bill; an id named twice has its last place."""
+    return store.reorder(_bills(spark, sf_dir), _items(spark, sf_dir), _orders(spark, sf_dir))[0].select("bill_id", "id", F.col("serial_no").cast("int").alias("serial_no"))
+
+
 _GONE = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 
 
