@@ -1,19 +1,38 @@
-"""The relational store as DataFrames: history, files, latest states, cascading deletes."""
+"""The relational store as DataFrames: history, files, latest states, ordered children."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
 
-def history(documents: DataFrame, bills: DataFrame, scenarios: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """The latest documents with their bill's total and number of scenarios."""
-    counts = scenarios.groupBy("bill_id").agg(F.count("*").alias("scenario_count"))
+
+def history(documents: DataFrame, bills: DataFrame, scenarios: DataFrame, limit: int = 50, offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """The latest documents with their bill's total and number of scenarios.
+
+    The page is found first, and only its bills' scenarios are counted. ``after`` is the (uploaded_at, document_id) of the last row of
+    the page before: the rows that follow it are then found without passing over those before, as ``offset`` has to.
+    """
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        documents = documents.where((F.col("uploaded_at") < at) | ((F.col("uploaded_at") == at) & (F.col("document_id") > last)))
     recent = documents.orderBy(F.desc("uploaded_at"), "document_id").offset(offset).limit(limit)
-    d = recent.join(bills.select("document_id", "bill_id", "grand_total"), "document_id", "left").join(counts, "bill_id", "left")
+    page = cut(recent.join(bills.select("document_id", "bill_id", "grand_total"), "document_id", "left"))
+    counts = scenarios.join(page.select("bill_id"), "bill_id", "left_semi").groupBy("bill_id").agg(F.count("*").alias("scenario_count"))
+    d = page.join(counts, "bill_id", "left")
     return d.select("document_id", "uploaded_at", "grand_total", F.coalesce("scenario_count", F.lit(0)).alias("scenario_count"))
 
 
+def first_seen(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """``key, seen``: the different values of each key, in the order of their first appearance.
+
+    A value is reduced to its first place before a key's values meet.
+    """
+    firsts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("at"))
+    return firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", value))).alias("s")).select(key, F.col("s")[value].alias("seen"))
+
+
 def document_files(files: DataFrame, scenarios: DataFrame, bills: DataFrame) -> DataFrame:
     """Generated files with the document they belong to."""
     return files.join(scenarios.select("scenario_id", "bill_id"), "scenario_id").join(bills.select("bill_id", "document_id"), "bill_id")
@@ -26,14 +45,6 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(last).select(key, *[F.col("r")[c].alias(c) for c in rest])
 
 
-def delete_cascade(gone: DataFrame, documents: DataFrame, bills: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, bills and items without the documents of ``gone(document_id)`` and all that hangs on them."""
-    kept = documents.join(gone, "document_id", "left_anti")
-    kept_bills = bills.join(gone, "document_id", "left_anti")
-    dropped = bills.join(gone, "document_id", "left_semi").select("bill_id")
-    return kept, kept_bills, items.join(dropped, "bill_id", "left_anti")
-
-
 def children(parents: DataFrame, rows: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """Parents with their child rows as an ordered array, empty where there are none."""
     grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("children"))

@@ -55,12 +55,42 @@ def output_name(scenario_type, label):
     )
 
 
-def render_rows(scenario_items: DataFrame, scenario_totals: DataFrame, rows_per_page: int = 20, key: str = "bill_id") -> DataFrame:
-    """What a renderer draws: numbered rows with their page, display texts, totals and the scenario's notice on each."""
-    place = F.row_number().over(Window.partitionBy(key, "scenario_type").orderBy("serial_no", "total_amount", "adjusted_rate", "description"))
-    d = scenario_items.join(scenario_totals.select(key, "scenario_type", "grand_total"), [key, "scenario_type"])
-    return d.withColumn("row_no", place).select(
-        key, "scenario_type", "row_no", (F.floor((F.col("row_no") - 1) / rows_per_page) + 1).cast("int").alias("page_no"), "description",
-        text.money_text(F.col("adjusted_rate")).alias("rate_text"), text.money_text(F.col("total_amount")).alias("total_text"), text.money_text(F.col("grand_total")).alias("grand_total_text"),
-        output_name(F.col("scenario_type"), F.col("label")).alias("filename"), "disclaimer",
+def text_height(text_column, width: int = 40, line_height: int = 12, padding: int = 8):
+    """The height of a table row whose text is broken to lines of ``width`` characters; one line at least."""
+    lines = F.greatest(F.lit(1), F.ceil(F.coalesce(F.char_length(text_column), F.lit(0)) / width).cast("int"))
+    return (lines * line_height + padding).cast("int")
+
+
+def paged(rows: DataFrame, by: list[str], place: str, height: str, capacity: int) -> DataFrame:
+    """Rows with ``page_no``: each group's rows in order of ``place``, each page filled before the next is begun.
+
+    A row that doesn't fit in what is left of a page begins the next one, and a row higher than a page has one of its own. The fold
+    carries the height used and the places where pages begin.
+    """
+    rest = [c for c in rows.columns if c not in by]
+    whole = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place, height, F.struct(*rest).alias("row")))).alias("rows"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("begins"))
+
+    def step(state, x):
+        used = state["used"] + x[height]
+        new = (F.size(state["begins"]) == 0) | (used > capacity)
+        return F.struct(F.when(new, x[height].cast("long")).otherwise(used).alias("used"), F.when(new, F.concat(state["begins"], F.array(x[place].cast("long")))).otherwise(state["begins"]).alias("begins"))
+
+    d = whole.withColumn("begins", F.aggregate("rows", start, step, lambda s: s["begins"])).select(*by, "begins", F.explode("rows").alias("x"))
+    page = F.size(F.filter("begins", lambda b: b <= F.col(f"x.{place}")))
+    return d.withColumn("page_no", page).select(*by, *[F.col("x.row")[c].alias(c) for c in rest], "page_no")
+
+
+def render_rows(scenario_items: DataFrame, height=None, capacity: int = 20, key: str = "bill_id") -> DataFrame:
+    """What a renderer draws: numbered rows with their page, display texts, totals and the scenario's notice on each.
+
+    Pages hold rows of ``height`` up to ``capacity`` together; by default 20 rows. The totals are sums over the rows' own partition.
+    """
+    whole = Window.partitionBy(key, "scenario_type")
+    place = F.row_number().over(whole.orderBy("serial_no", "total_amount", "adjusted_rate", "description"))
+    total = money.round_to_nearest(F.sum("line_amount").over(whole).cast(WIDE) + F.sum("tax_amount").over(whole).cast(WIDE), F.col("rounding_mode"))
+    d = scenario_items.withColumn("row_no", place).withColumn("grand_total", total).withColumn("height", F.lit(1) if height is None else height).select(
+        key, "scenario_type", "row_no", "height", "description", text.money_text(F.col("adjusted_rate")).alias("rate_text"), text.money_text(F.col("total_amount")).alias("total_text"),
+        text.money_text(F.col("grand_total")).alias("grand_total_text"), output_name(F.col("scenario_type"), F.col("label")).alias("filename"), "disclaimer",
     )
+    return paged(d, [key, "scenario_type"], "row_no", "height", capacity).drop("height")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..operators import bills as bill_ops
-from ..operators import catalog, scenarios
-from ..sources import uploads
+from ..operators import catalog, scenarios, store
+from ..operators.shared import shared_path
+from ..operators.storage import Stored
+from ..sources import uploads, versions
+from ..streaming import ingest
 from .inputs import BILLS_SQL, ITEMS_SQL, PRICED_SQL, bills, items, table
 
 QUERIES, SQL = {}, {}
@@ -119,10 +123,33 @@ def scenario_compare(spark, sf_dir):
 def render_rows(spark, sf_dir):
     """Rows a renderer would draw, three a page, summed up by page."""
     d = _scenario_items(spark, sf_dir).withColumn("description", F.col("part_id").cast("string"))
-    rows = scenarios.render_rows(d, scenario_totals(spark, sf_dir), 3)
+    rows = scenarios.render_rows(d, capacity=3)
     return rows.groupBy("scenario_type", "disclaimer", "filename", "page_no").agg(F.count("*").alias("n_rows"), F.max("total_text").alias("last_text"))
 
 
+_HEIGHT, _PAGE = (30, 12, 8), 60
+
+
+@query(
+    f"""WITH RECURSIVE named AS (
+        SELECT l_orderkey AS bill_id, l_linenumber AS serial_no, p_name || repeat(' x', (l_partkey % 140)::INTEGER) AS description, CAST(l_extendedprice AS DECIMAL(14,2)) AS rate, l_quantity, l_tax FROM lineitem JOIN part ON p_partkey = l_partkey),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY serial_no, rate, l_quantity, l_tax, description) AS row_no, greatest(1, (length(description) + 29) // 30) * 12 + 8 AS height FROM named),
+    pages AS (
+        SELECT bill_id, row_no, height AS used, 1 AS page_no FROM numbered WHERE row_no = 1
+        UNION ALL SELECT n.bill_id, n.row_no, CASE WHEN used + height > {_PAGE} THEN height ELSE used + height END, CASE WHEN used + height > {_PAGE} THEN page_no + 1 ELSE page_no END
+        FROM pages p JOIN numbered n ON n.bill_id = p.bill_id AND n.row_no = p.row_no + 1)
+    SELECT bill_id, page_no::INTEGER AS page_no, count(*) AS n_rows, sum(length(description))::BIGINT AS n_chars, min(row_no)::BIGINT AS first_row FROM pages JOIN numbered USING (bill_id, row_no) GROUP BY ALL"""
+)
+def paged_rows(spark, sf_dir):
+    """Items with descriptions of one line to ten, on pages that hold three lines of single ones; some are higher than a page."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name")
+    name = F.concat("p_name", F.expr("repeat(' x', cast(part_id % 140 as int))"))
+    order = F.row_number().over(Window.partitionBy("bill_id").orderBy("serial_no", "rate", "quantity", "gst_rate", "description"))
+    d = items(spark, sf_dir).join(parts, "part_id").withColumn("description", name).withColumn("row_no", order).select("bill_id", "row_no", "description", scenarios.text_height(F.col("description"), *_HEIGHT).alias("height"))
+    rows = scenarios.paged(d, ["bill_id"], "row_no", "height", _PAGE)
+    return rows.groupBy("bill_id", "page_no").agg(F.count("*").alias("n_rows"), F.sum(F.char_length("description")).alias("n_chars"), F.min("row_no").cast("long").alias("first_row"))
+
+
 _EDITED = f"WITH {ITEMS_SQL}, edited AS (SELECT bill_id, serial_no, CASE WHEN serial_no = 7 THEN NULL ELSE quantity - 3 END AS quantity, rate - 2000 AS rate, gst_rate * 15 AS gst_rate FROM items)"
 
 
@@ -199,10 +226,29 @@ def confidence_tiers(spark, sf_dir):
 )
 def document_history(spark, sf_dir):
     """A page of the history: the limit is the feature."""
+    return catalog.history(*_history(spark, sf_dir), 50, 10)
+
+
+def _history(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     documents = orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").alias("uploaded_at"))
     bill_rows = orders.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderkey").alias("bill_id"), F.col("o_totalprice").alias("grand_total"))
-    return catalog.history(documents, bill_rows, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bill_id")), 50, 10)
+    return documents, bill_rows, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bill_id"))
+
+
+@query(
+    """WITH counts AS (SELECT l_orderkey AS bill_id, count(*) AS n FROM lineitem GROUP BY 1)
+        SELECT o_orderkey AS document_id, o_orderdate AS uploaded_at, o_totalprice AS grand_total, coalesce(n, 0) AS scenario_count
+        FROM orders LEFT JOIN counts ON bill_id = o_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 40 OFFSET 80"""
+)
+def history_pages(spark, sf_dir):
+    """The third page of forty, each found from the last row of the one before."""
+    parts, after = _history(spark, sf_dir), None
+    for _ in range(3):
+        page = catalog.history(*parts, 40, after=after)
+        last = page.orderBy("uploaded_at", F.desc("document_id")).first()
+        after = (last["uploaded_at"], last["document_id"])
+    return page
 
 
 @query(
@@ -236,8 +282,8 @@ _KEPT = "SELECT c_custkey FROM customer WHERE c_acctbal < 0"
 )
 def delete_cascade(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "document_id")
-    left = catalog.delete_cascade(customers.where("c_acctbal < 0").select("document_id"), customers, bills(spark, sf_dir), items(spark, sf_dir))
-    counts = [d.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, d in zip(("documents", "bills", "items"), left)]
+    left = store.delete_documents({"documents": customers, "bills": bills(spark, sf_dir), "items": items(spark, sf_dir)}, customers.where("c_acctbal < 0").select("document_id"))
+    counts = [d.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, d in left.items()]
     return counts[0].union(counts[1]).union(counts[2])
 
 
@@ -326,12 +372,82 @@ def upload_checks(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'utm')")
 def filename_search(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.contains(F.lower("url"), F.lower(F.trim(F.lit(" UTM "))))).select("page_id", "url")
+    return uploads.named_like(table(spark, sf_dir, "pages"), "url", " UTM ").select("page_id", "url")
 
 
 @query("SELECT l_partkey AS part_id, min(l_orderkey) AS first_bill, count(DISTINCT l_orderkey) AS n_bills FROM lineitem GROUP BY 1")
 def first_seen(spark, sf_dir):
-    return items(spark, sf_dir).groupBy("part_id").agg(F.min("bill_id").alias("first_bill"), F.count_distinct("bill_id").alias("n_bills"))
+    seen = catalog.first_seen(items(spark, sf_dir), "part_id", "bill_id", "bill_id")
+    return seen.select("part_id", F.element_at("seen", 1).alias("first_bill"), F.size("seen").cast("long").alias("n_bills"))
+
+
+@query(
+    """WITH firsts AS (SELECT user_id, event_type, min((ts, event_id)) AS came FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
+        SELECT user_id, string_agg(event_type, ' > ' ORDER BY came, event_type) AS seen, count(*)::INTEGER AS n FROM firsts GROUP BY user_id"""
+)
+def first_seen_kinds(spark, sf_dir):
+    """The kinds of event of every user, as they first came."""
+    seen = catalog.first_seen(table(spark, sf_dir, "events"), "user_id", "event_type", "ts", "event_id")
+    return seen.select("user_id", F.array_join("seen", " > ").alias("seen"), F.size("seen").alias("n"))
+
+
+@query(
+    """WITH files AS (
+        SELECT doc_id, lpad(doc_id::VARCHAR, 12, '0') AS id, sha256(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS size, doc_id % 3 = 0 AS there, (doc_id * 7919) % 1009 AS came FROM documents),
+    checked AS (SELECT *, CASE WHEN size = 0 THEN 'Uploaded file is empty.' WHEN doc_id % 50 = 1 THEN 'Unsupported file type ''.exe''. Allowed: .pdf, .jpg, .jpeg, .png' END AS error FROM files WHERE NOT there),
+    known AS (SELECT h, min(id) AS known_id FROM files WHERE there GROUP BY h),
+    judged AS (
+        SELECT c.*, known_id, first_value(id) OVER (PARTITION BY h, error IS NULL ORDER BY came, id) AS first_id FROM checked c LEFT JOIN known USING (h))
+    SELECT doc_id, error, CASE WHEN error IS NOT NULL THEN 'failed' WHEN known_id IS NOT NULL OR first_id <> id THEN 'duplicate' ELSE 'stored' END AS outcome,
+        CASE WHEN error IS NULL THEN coalesce(known_id, CASE WHEN first_id <> id THEN first_id END) END AS duplicate_of,
+        CASE WHEN error IS NULL AND known_id IS NULL AND first_id = id THEN id || '.pdf' END AS stored_filename FROM judged"""
+)
+def upload_ingest(spark, sf_dir):
+    """Texts as files, a third of them stored before: what is stored, what has the bytes of another, and what is refused."""
+    k = F.col("doc_id")
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    name = F.concat(F.lit("scan "), k.cast("string"), F.when(k % 50 == 1, ".exe").otherwise(".pdf"))
+    files = table(spark, sf_dir, "documents").select(
+        k, F.lpad(k.cast("string"), 12, "0").alias("id"), name.alias("original_filename"), F.lit("application/pdf").alias("mime_type"), uploads.content_hash(content).alias("file_hash"), F.octet_length(content).alias("file_size"),
+        (k * 7919 % 1009).alias("uploaded_at"),
+    )
+    files = files.withColumn("error", uploads.upload_error(F.col("original_filename"), F.col("mime_type"), F.col("file_size")))
+    there = k % 3 == 0
+    return uploads.ingested(files.where(~there), files.where(there)).select("doc_id", "error", "outcome", "duplicate_of", "stored_filename")
+
+
+@query(
+    """SELECT o_orderkey AS bill_id, CAST(o_totalprice AS DECIMAL(14,2)) AS grand_total, CASE WHEN o_orderkey % 3 = 0 THEN 'INR' WHEN o_orderkey % 3 = 1 THEN CASE WHEN o_orderstatus = 'O' THEN NULL ELSE 'INR' END ELSE o_orderstatus END AS currency,
+        CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END AS priority, (1 + o_orderkey % 3)::INTEGER AS version FROM orders"""
+)
+def mixed_versions(spark, sf_dir):
+    """Bills in files of three versions: the second has a currency, the third also a priority and decimal totals."""
+    base, d = shared_path(spark, "versions"), table(spark, sf_dir, "orders")
+    own = {
+        1: [F.col("o_orderkey").cast("int").alias("bill_id"), F.col("o_totalprice").alias("grand_total")],
+        2: [F.col("o_orderkey").cast("int").alias("bill_id"), F.col("o_totalprice").alias("grand_total"), F.when(F.col("o_orderstatus") != "O", "INR").alias("currency")],
+        3: [F.col("o_orderkey").alias("bill_id"), F.col("o_totalprice").cast("decimal(14,2)").alias("grand_total"), F.col("o_orderstatus").alias("currency"), F.col("o_orderpriority").alias("priority"), F.lit(1).alias("unread")],
+    }
+    for version, columns in own.items():
+        d.where(F.col("o_orderkey") % 3 == version - 1).select(*columns).write.parquet(f"{base}/version={version}")
+    return versions.read_versions(spark, base, [versions.Column("bill_id", "long"), versions.Column("grand_total", "decimal(14,2)"), versions.Column("currency", "string", "INR"), versions.Column("priority", "string")])
+
+
+@query(
+    """WITH last AS (SELECT user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+        SELECT e.user_id AS document_id, count(*) AS n_events, max((e.event_id % 4)::INTEGER) AS attempts_used, any_value(last.event_type) AS status FROM events e JOIN last USING (user_id) GROUP BY e.user_id"""
+)
+def live_runs(spark, sf_dir):
+    """The stored run states after a stream of all events, which come in three pieces, out of order."""
+    base, e = shared_path(spark, "runs"), table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), F.col("ts").alias("at"), "event_id", (F.col("event_id") % 4).cast("int").alias("attempts"))
+    held = Stored(f"{base}/states", "document_id", 8)
+    held.write(catalog.run_states(rows.limit(0)))
+    for piece in range(3):
+        rows.where(F.col("event_id") % 3 == piece).write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/log")
+        ingest.keep_states(ingest.live_states(stream), held, f"{base}/checkpoint").awaitTermination()
+    return held.read(spark).select("document_id", "n_events", "attempts_used", "status")
 
 
 @query(f"WITH {BILLS_SQL} SELECT bill_id, CASE WHEN o_orderstatus = 'F' THEN '409' END AS code FROM bills UNION ALL SELECT -bill_id, '404' FROM bills WHERE bill_id <> 0")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.uploads import described
+from ..operators import catalog
+from ..operators.shared import cut
+from ..operators.storage import Stored
+from ..sources.uploads import described, stored_name
 
 _BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
@@ -18,6 +21,15 @@ def upload_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Data
     return described(files)
 
 
+def new_uploads(files: DataFrame, late: str = "1 day") -> DataFrame:
+    """Of a stream of document rows the first accepted one of each content, with the name it is stored under.
+
+    The hashes of the files of the last ``late`` are the state; batches of files older than that go by ``uploads.ingested``.
+    """
+    fine = files.where("error is null").withWatermark("uploaded_at", late).dropDuplicatesWithinWatermark(["file_hash"])
+    return fine.withColumn("stored_filename", stored_name(fine["id"], fine["original_filename"]))
+
+
 def write_uploads(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append document rows as Parquet; exactly once through the sink's own log."""
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
@@ -26,3 +38,18 @@ def write_uploads(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def run_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Runs by status and time window, from a stream of run events; later than ``late`` no longer counts."""
     return events.withWatermark("at", late).groupBy(F.window("at", window), "status").agg(F.count("*").alias("n")).select("window.start", "status", "n")
+
+
+def live_states(events: DataFrame) -> DataFrame:
+    """Each document's latest run state from a stream of run events, as update rows: late events count, but don't undo later ones."""
+    return catalog.run_states(events)
+
+
+def keep_states(states: DataFrame, held: Stored, checkpoint: str) -> StreamingQuery:
+    """Keep the stored table at the latest state of each document. A repeated micro-batch is a repeated batch of the table: no effect."""
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows = cut(rows)
+        held.replace(rows, rows, f"states-{number}")
+
+    return states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
