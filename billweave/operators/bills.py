@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..sources.uploads import digital_words
+from ..sources.uploads import best_words, digital_words
 from ..schema import WIDE
 from . import fields, layout, tables
 from .shared import cut
@@ -114,13 +114,15 @@ def extract(documents: DataFrame, digital: DataFrame, recognised: DataFrame) ->
     """(bills, bill items) of documents (``doc_id``) from words of digital pages, or else from recognised ones.
 
     Digital pages of a document count if they have eight words or more together. Recognised words count only for documents whose
-    digital pages yield no item; a total found on digital pages stays. Lines and digital items are computed once, in the shared
-    folder.
+    digital pages yield no item, and of several recognitions of a page (``attempt``) the surest; a total found on digital pages stays.
+    Pages count in order, items through all of them. Words, lines and digital items are computed once, in the shared folder.
     """
-    digital = digital_words(digital)
+    digital = cut(digital_words(digital))
     digital_lines = cut(layout.lines(digital))
     digital_items = cut(tables.candidate_items(digital_lines))
-    scanned = recognised.join(digital_items.select("doc_id").distinct(), "doc_id", "left_anti")
+    if "attempt" in recognised.columns:
+        recognised = best_words(recognised)
+    scanned = cut(recognised.join(digital_items.select("doc_id").distinct(), "doc_id", "left_anti"))
     scanned_lines = cut(layout.lines(scanned))
     candidates = numbered(digital_items.unionByName(tables.candidate_items(scanned_lines)))
 

@@ -24,8 +24,9 @@ def mean_confidence(confidence: Column) -> Column:
     return F.coalesce(F.avg(F.when(confidence >= 0, confidence)), F.lit(0.0))
 
 
-def page_confidence(words: DataFrame) -> DataFrame:
-    return words.groupBy(*PAGE).agg((mean_confidence(F.col("confidence")) / 100).alias("confidence"))
+def page_confidence(words: DataFrame, *more: str) -> DataFrame:
+    """Each page's share of confidence; with ``more`` columns, that of each of a page's recognitions."""
+    return words.groupBy(*PAGE, *more).agg((mean_confidence(F.col("confidence")) / 100).alias("confidence"))
 
 
 def full_text(words: DataFrame) -> DataFrame:

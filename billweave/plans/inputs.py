@@ -41,8 +41,8 @@ PRICED_SQL = f"""priced AS (
         SELECT *, round(line_amount * gst_rate * CAST(0.01 AS DECIMAL(2,2)), 2)::DECIMAL(18,2) AS tax_amount FROM (
             SELECT *, {LINE_SQL} AS line_amount FROM items)))"""
 
-#: Pixels of the fixed pitch on which document tokens become words.
-CHAR, GAP, LINE, HEIGHT = 12, 15, 30, 25
+#: Pixels of the fixed pitch on which document tokens become words: a character, the space between words, a line and its letters.
+CHAR, GAP, LINE, HEIGHT = 11, 9, 37, 22
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:

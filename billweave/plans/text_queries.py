@@ -9,7 +9,7 @@ from ..functions import money, text
 from ..operators import fields, layout, tables
 from ..operators import bills as bill_ops
 from ..operators.shared import cut
-from .inputs import WORDS_SQL, table, words
+from .inputs import CHAR, WORDS_SQL, table, words
 
 QUERIES, SQL = {}, {}
 
@@ -264,7 +264,7 @@ def noise_words(spark, sf_dir):
 
 
 _ISLANDS = f"""{WORDS_SQL}, gaps AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, line ORDER BY x) AS gap FROM words),
-    islands AS (SELECT *, sum(CASE WHEN gap > 1.8 * 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x ROWS UNBOUNDED PRECEDING) AS cell FROM gaps)"""
+    islands AS (SELECT *, sum(CASE WHEN gap > 1.8 * {CHAR} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x ROWS UNBOUNDED PRECEDING) AS cell FROM gaps)"""
 
 
 @query(f"WITH {_ISLANDS} SELECT doc_id, line::INTEGER AS line, cell::INTEGER AS cell, string_agg(text, ' ' ORDER BY x) AS text, min(x)::INTEGER AS \"left\", max(x + width)::INTEGER AS \"right\" FROM islands GROUP BY ALL")
