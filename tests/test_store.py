@@ -2,9 +2,12 @@
 
 from decimal import Decimal
 
-from billweave.operators import bills, catalog, layout, scenarios, store
+import pytest
+from pyspark.sql import functions as F
+
+from billweave.operators import bills, catalog, layout, scenarios, storage, store
 from billweave.schema import WORDS
-from billweave.sources import uploads
+from billweave.sources import uploads, versions
 from billweave.streaming import ingest
 from test_tables import header_words, table_words
 
@@ -63,7 +66,7 @@ def test_guards_and_reorder(spark):
 def test_cascade_and_upgrade(spark):
     documents, bill_rows = spark.createDataFrame([(1,), (2,)], "document_id int"), spark.createDataFrame([(10, 1), (20, 2)], "bill_id int, document_id int")
     items = spark.createDataFrame([(10, "x"), (20, "y")], "bill_id int, id string")
-    kept = catalog.delete_cascade(spark.createDataFrame([(1,)], "document_id int"), documents, bill_rows, items)
+    kept = [*store.delete_documents({"documents": documents, "bills": bill_rows, "items": items}, spark.createDataFrame([(1,)], "document_id int")).values()]
     assert [[tuple(r) for r in d.collect()] for d in kept] == [[(2,)], [(2, 20)] if kept[1].columns[0] == "document_id" else [(20, 2)], [(20, "y")]]
     assert catalog.upgraded(items, {"unit": "string", "id": "int"}).dtypes == [("bill_id", "int"), ("id", "string"), ("unit", "string")]
 
@@ -96,19 +99,152 @@ def test_plans_stay_in_the_jvm(spark):
     assert "PushedFilters: [IsNotNull(l_orderkey)" in plan(entry.queries()["bill_totals"](spark, SF))
 
 
-def test_point_reads_reach_the_scan(spark):
-    orders = spark.read.parquet(f"{SF}/orders.parquet")
-    got = store.rows_of(orders, "o_orderkey", 1, 5)
-    assert "In(o_orderkey, [1,5])" in plan(got) and {r["o_orderkey"] for r in got.collect()} <= {1, 5}
-
-
 def test_nothing_stays_cached(spark):
     """Lines are cut in the shared folder; no query leaves a cached table behind, and clustering folds within stretches only."""
-    d = entry.queries()["invoice_items"](spark, SF)
-    assert "InMemoryRelation" not in plan(d) and not spark.sparkContext._jsc.getPersistentRDDs()
+    before = set(spark.sparkContext._jsc.getPersistentRDDs())
+    entry.queries()["invoice_items"](spark, SF).count()
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= before
     assert "stretch" in plan(layout.line_clusters(spark.createDataFrame(invoice("a"), WORDS)))
 
 
+def priced_items(spark, rows):
+    kind = "bill_id long, id string, serial_no int, description string, gst_rate string, quantity string, source_rate string"
+    d = spark.createDataFrame(rows, kind).selectExpr("bill_id", "id", "serial_no", "description", "cast(gst_rate as decimal(5,2)) gst_rate", "cast(quantity as decimal(12,3)) quantity", "cast(source_rate as decimal(14,2)) source_rate")
+    zero = [f"cast(0 as decimal(14,2)) {c}" for c in ("line_amount", "tax_amount", "total_amount")]
+    return d.selectExpr("*", "source_rate taxable_rate", *zero, "false user_verified")
+
+
+def some_bills(spark, n):
+    return spark.createDataFrame([(i, i % 5 == 4) for i in range(n)], "bill_id long, confirmed boolean").selectExpr("*", *[f"cast(0 as decimal(14,2)) {c}" for c in ("subtotal", "tax_total", "grand_total")])
+
+
+EDITS = "bill_id long, seq int, op string, item_id string, description string, rate int"
+
+
+def test_edits_of_one_bill_follow_each_other(spark):
+    """An item added by one edit can be changed and deleted by later ones; a number is free again when the last item goes."""
+    items = priced_items(spark, [(1, "a", 1, "Pen", "18", "2", "10.00"), (1, "b", 7, "Ink", "0", None, "5.00")])
+    added = {s: spark.range(1).select(store.new_item_id(F.lit(1), F.lit(s))).first()[0] for s in (2, 5, 9)}
+    edits = [
+        (1, 1, "delete", "b", None, None), (1, 2, "add", None, "Nib", 3), (1, 3, "update", added[2], "Nibs", None), (1, 4, "delete", added[2], None, None), (1, 5, "add", None, "Cap", 4),
+        (1, 6, "update", added[9], "early", 1), (1, 7, "update", "a", None, 20), (1, 8, "update", "a", "Pens", -1), (1, 9, "add", None, "Clip", 6), (1, 10, "delete", "b", None, None), (2, 1, "add", None, "x", 1),
+    ]
+    bills_, after, results = store.edit_items(some_bills(spark, 2), items, spark.createDataFrame(edits, EDITS).repartition(3))
+    assert {(r["bill_id"], r["seq"]): r["code"] for r in results.collect()} == {(1, 1): 200, (1, 2): 200, (1, 3): 200, (1, 4): 200, (1, 5): 200, (1, 6): 404, (1, 7): 200, (1, 8): 400, (1, 9): 200, (1, 10): 404, (2, 1): 404}
+    assert sorted((r["serial_no"], r["id"], r["description"], r["total_amount"], r["user_verified"]) for r in after.collect()) == [
+        (1, "a", "Pen", Decimal("47.20"), True), (2, added[5], "Cap", Decimal("4.00"), True), (3, added[9], "Clip", Decimal("6.00"), True)
+    ]
+    assert {r["bill_id"]: r["grand_total"] for r in bills_.collect()} == {0: Decimal("0.00"), 1: Decimal("57.20")}
+
+
+def test_stored_edits_can_be_repeated(spark, tmp_path, monkeypatch):
+    """After a failure between the two tables, and after a success, the same batch leaves what one success leaves."""
+    held = [storage.Stored(f"{tmp_path}/{name}", "bill_id", 4) for name in ("bills", "items")]
+    held[0].write(some_bills(spark, 40))
+    held[1].write(priced_items(spark, [(i, f"{i}/a", 1, "Pen", "18", "2", "10.00") for i in range(40)]))
+    asked = [(i, 1, "add", None, "Nib", 3) for i in range(40)] + [(i, 2, "delete", f"{i}/a", None, None) for i in range(0, 40, 2)]
+    edits = spark.createDataFrame(asked, EDITS)
+    monkeypatch.setattr(store, "repriced", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.edit_stored(*held, f"{tmp_path}/log", edits, "monday")
+    monkeypatch.undo()
+    want = {i: Decimal("0.00") if i % 5 == 4 else Decimal("3.00") if i % 2 == 0 else Decimal("26.60") for i in range(40)}
+    for _ in range(2):
+        results = store.edit_stored(*held, f"{tmp_path}/log", edits, "monday")
+        assert {(r["seq"], r["code"]) for r in results.where("bill_id % 5 < 4").collect()} == {(1, 200), (2, 200)}
+        assert {r["bill_id"]: r["grand_total"] for r in held[0].read(spark).collect()} == want
+        assert held[1].read(spark).count() == sum(1 if i % 5 == 4 or i % 2 == 0 else 2 for i in range(40))
+    store.edit_stored(*held, f"{tmp_path}/log", edits.where("op = 'add'").withColumn("seq", F.lit(3)), "tuesday")
+    assert held[1].read(spark).count() == sum(1 if i % 5 == 4 else 2 if i % 2 == 0 else 3 for i in range(40))
+
+
+def test_stored_tables_empty_and_fill(spark, tmp_path):
+    held = storage.Stored(f"{tmp_path}/t", "k", 3)
+    rows = spark.range(10).selectExpr("id as k", "cast(id as string) as v")
+    held.write(rows.limit(0))
+    assert held.read(spark).count() == held.rows_of(spark, 1).count() == held.rows_of(spark).count() == 0
+    held.replace(rows, rows, "fill")
+    assert {r["k"] for r in held.read(spark).collect()} == set(range(10)) and [tuple(r) for r in held.rows_of(spark, 7, 99).collect()] == [(7, "7")]
+    held.replace(rows, rows.limit(0), "drop")
+    assert held.read(spark).count() == 0
+    held.replace(rows, rows, "drop")  # taken before: no effect
+    assert held.read(spark).count() == 0
+
+
+def test_look_ups_read_one_bucket(spark, tmp_path):
+    """A look-up by key lists one folder of the table, pushes its key to the scan, and reads the row groups that may hold it only."""
+    spark.conf.set("parquet.block.size", 20_000)
+    try:
+        held = storage.Stored(f"{tmp_path}/t", "k", 8)
+        held.write(spark.range(40_000).selectExpr("id as k", "sha2(cast(id as string), 256) as v").withColumn("k", F.col("k") * 3))
+    finally:
+        spark.conf.unset("parquet.block.size")
+    got = held.rows_of(spark, 30_000)
+    text_of = plan(got)
+    assert "PartitionFilters" in text_of and "In(k, [30000])" in text_of or "EqualTo(k,30000)" in text_of
+    (scan,) = scan_metrics(got)
+    assert got.count() == scan["numPartitions"] == 1 and scan["numOutputRows"] < 40_000 / 8 / 2  # of the bucket's rows not even half are read
+
+
+def scan_metrics(df):
+    """What the scans of a query read."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if "Scan" in node.nodeName():
+            found.append({name: node.metrics().apply(name).value() for name in ("numPartitions", "numOutputRows")})
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_history_counts_only_its_page(spark):
+    documents = spark.createDataFrame([(i, i // 3) for i in range(60)], "document_id int, uploaded_at int")
+    bill_rows = spark.createDataFrame([(i, 100 + i, 1.0) for i in range(60)], "document_id int, bill_id int, grand_total double")
+    made = spark.createDataFrame([(100 + i,) for i in range(60) for _ in range(i % 4)], "bill_id int")
+    seen, after = [], None
+    while page := sorted(catalog.history(documents, bill_rows, made, 7, after=after).collect(), key=lambda r: (-r["uploaded_at"], r["document_id"])):
+        seen += [(r["document_id"], r["scenario_count"]) for r in page]
+        after = (page[-1]["uploaded_at"], page[-1]["document_id"])
+    assert seen == [(i, i % 4) for i in sorted(range(60), key=lambda i: (-(i // 3), i))]
+    text_of = plan(catalog.history(documents, bill_rows, made, 7)).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert text_of.index("Aggregate") < text_of.index("LeftSemi")  # the aggregation stands above, after the reduction
+
+
+def test_pages_are_filled(spark):
+    rows = spark.createDataFrame([("a", i, h) for i, h in enumerate((3, 4, 3, 1, 20, 1, 9, 1))] + [("b", 0, 50)], "k string, i int, h int")
+    got = {(r["k"], r["i"]): r["page_no"] for r in scenarios.paged(rows, ["k"], "i", "h", 10).collect()}
+    assert got == {**{("a", i): p for i, p in enumerate((1, 1, 1, 2, 3, 4, 4, 5))}, ("b", 0): 1}
+    assert scenarios.paged(rows.limit(0), ["k"], "i", "h", 10).count() == 0
+
+
+def test_the_same_bytes_are_stored_once(spark, tmp_path):
+    """As a stream over two micro-batches, and as a batch beside what is stored."""
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.pdf").write_bytes(b"%PDF one")
+    out, log = f"{tmp_path}/out", f"{tmp_path}/log"
+    for name in ("b.pdf", "c.pdf"):
+        ingest.write_uploads(ingest.new_uploads(ingest.upload_stream(spark, f"file://{src}")), out, log).awaitTermination()
+        (src / name).write_bytes(b"%PDF one")
+    (src / "d.pdf").write_bytes(b"%PDF two")
+    ingest.write_uploads(ingest.new_uploads(ingest.upload_stream(spark, f"file://{src}")), out, log).awaitTermination()
+    got = spark.read.parquet(out)
+    assert sorted(r["original_filename"] for r in got.collect()) == ["a.pdf", "d.pdf"] and all(r["stored_filename"] == r["id"] + ".pdf" for r in got.collect())
+    again = uploads.ingested(uploads.read_uploads(spark, f"file://{src}"), got.where("original_filename = 'a.pdf'"))
+    first = got.where("original_filename = 'a.pdf'").first()["id"]
+    assert {r["original_filename"]: (r["outcome"], r["duplicate_of"]) for r in again.collect()} == {"a.pdf": ("duplicate", first), "b.pdf": ("duplicate", first), "c.pdf": ("duplicate", first), "d.pdf": ("stored", None)}
+
+
+def test_versions_without_files(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert versions.read_versions(spark, f"{tmp_path}/none", [versions.Column("a", "int")]).count() == 0
+
+
 def test_batches_are_appended(spark, tmp_path):
     b = spark.createDataFrame([(1, True), (2, False)], "bill_id int, confirmed boolean")
     items = spark.createDataFrame([(1, "10.00", "2", "5"), (2, "1.00", "1", "0")], "bill_id int, rate string, quantity string, gst_rate string").selectExpr("bill_id", "cast(rate as decimal(14,2)) rate", "cast(quantity as decimal(12,3)) quantity", "cast(gst_rate as decimal(5,2)) gst_rate")
@@ -116,7 +252,8 @@ def test_batches_are_appended(spark, tmp_path):
     for batch in ("one", "two"):
         scenarios_, rows, results = store.scenario_batch(b, items, asked, batch)
         assert {r["bill_id"]: r["code"] for r in results.collect()} == {1: 200, 2: 409, 3: 404}
-        store.append(scenarios_, f"{tmp_path}/scenarios")
+        for _ in range(2):  # added again, a batch replaces itself
+            store.append(scenarios_, f"{tmp_path}/scenarios")
     got = spark.read.parquet(f"{tmp_path}/scenarios").collect()
     assert len(got) == 6 and len({r["scenario_id"] for r in got}) == 6 and all(r["disclaimer"] for r in got)
     assert sorted(r["grand_total"] for r in got if r["batch"] == "one") == [Decimal("21.00"), Decimal("23.10"), Decimal("25.20")]
