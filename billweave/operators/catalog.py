@@ -52,6 +52,11 @@ def children(parents: DataFrame, rows: DataFrame, key: str, order: str, *columns
     return d.withColumn("children", F.coalesce("children", F.filter(F.array(F.struct(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (order, *columns)])), lambda x: F.lit(False))))
 
 
+def listed(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows with ``place``, 1 for the first of their key, by ``order``; the last columns of it are to tell rows of one time apart."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
 def run_states(events: DataFrame, key: str = "document_id") -> DataFrame:
     """A document's latest run status and the highest number of attempts, from its log of run events."""
     return events.groupBy(key).agg(F.max_by("status", F.struct("at", "event_id")).alias("status"), F.max("attempts").alias("attempts_used"), F.count("*").alias("n_events"))

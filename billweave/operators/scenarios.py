@@ -61,20 +61,21 @@ def text_height(text_column, width: int = 40, line_height: int = 12, padding: in
     return (lines * line_height + padding).cast("int")
 
 
-def paged(rows: DataFrame, by: list[str], place: str, height: str, capacity: int) -> DataFrame:
+def paged(rows: DataFrame, by: list[str], place: str, height: str, capacity: int, pitch: str | None = None) -> DataFrame:
     """Rows with ``page_no``: each group's rows in order of ``place``, each page filled before the next is begun.
 
-    A row that doesn't fit in what is left of a page begins the next one, and a row higher than a page has one of its own. The fold
+    A row that doesn't fit in what is left of a page begins the next one, and a row higher than a page has one of its own. Rows stand
+    below each other by their height, or by ``pitch``, where a row needs its height but the next begins at a fixed distance. The fold
     carries the height used and the places where pages begin.
     """
-    rest = [c for c in rows.columns if c not in by]
-    whole = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place, height, F.struct(*rest).alias("row")))).alias("rows"))
+    rest, down = [c for c in rows.columns if c not in by], pitch or height
+    whole = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(place, F.col(height).cast("long").alias("need"), F.col(down).cast("long").alias("down"), F.struct(*rest).alias("row")))).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("begins"))
 
     def step(state, x):
-        used = state["used"] + x[height]
-        new = (F.size(state["begins"]) == 0) | (used > capacity)
-        return F.struct(F.when(new, x[height].cast("long")).otherwise(used).alias("used"), F.when(new, F.concat(state["begins"], F.array(x[place].cast("long")))).otherwise(state["begins"]).alias("begins"))
+        new = (F.size(state["begins"]) == 0) | (state["used"] + x["need"] > capacity)
+        used = F.when(new, F.lit(0)).otherwise(state["used"]) + x["down"]
+        return F.struct(used.cast("long").alias("used"), F.when(new, F.concat(state["begins"], F.array(x[place].cast("long")))).otherwise(state["begins"]).alias("begins"))
 
     d = whole.withColumn("begins", F.aggregate("rows", start, step, lambda s: s["begins"])).select(*by, "begins", F.explode("rows").alias("x"))
     page = F.size(F.filter("begins", lambda b: b <= F.col(f"x.{place}")))

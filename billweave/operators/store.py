@@ -165,6 +165,29 @@ def reorder(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[Da
     return bill_ops.reordered(items, last).drop("reordered"), judged
 
 
+def move_items(bills: DataFrame, items: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, results) after ``moves(bill_id, seq, item_id, direction)``: each exchanges an item with the next (1) or the one before (-1).
+
+    A bill's moves follow each other, by a fold over the list of its items; at either end of it a move is accepted and changes
+    nothing. The items of bills with an accepted move are numbered from 1.
+    """
+    here = items.select("bill_id", F.col("id").alias("item_id"), F.lit(True).alias("found"))
+    asked = moves.join(bills.select("bill_id", F.col("confirmed").alias("shut")), "bill_id", "left").join(here, ["bill_id", "item_id"], "left")
+    rules = (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (F.col("found").isNull(), _no(404, NO_ITEM))
+    judged = cut(_judged(asked, *rules).select(*moves.columns, "code", "message"))
+    steps = judged.where("code = 200").groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id", "direction"))).alias("steps"))
+    lists = items.join(steps.select("bill_id"), "bill_id", "left_semi").groupBy("bill_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("serial_no", "id"))), lambda x: x["id"]).alias("ids"))
+
+    def step(ids: Column, x: Column) -> Column:
+        at = F.array_position(ids, x["item_id"])
+        to = at + x["direction"]
+        swapped = F.transform(ids, lambda v, k: F.when(k == at - 1, F.get(ids, (to - 1).cast("int"))).when(k == to - 1, F.get(ids, (at - 1).cast("int"))).otherwise(v))
+        return F.when((to >= 1) & (to <= F.size(ids)), swapped).otherwise(ids)
+
+    order = steps.join(lists, "bill_id").select("bill_id", F.aggregate("steps", F.col("ids"), step).alias("item_ids"))
+    return bill_ops.reordered(items, order).drop("reordered"), judged
+
+
 def confirm(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bills, results) after ``requests(bill_id)``: a bill whose items all have a quantity and a rate is confirmed and completed."""
     asked = requests.select("bill_id").distinct()

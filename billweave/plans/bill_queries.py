@@ -127,29 +127,48 @@ def render_rows(spark, sf_dir):
     return rows.groupBy("scenario_type", "disclaimer", "filename", "page_no").agg(F.count("*").alias("n_rows"), F.max("total_text").alias("last_text"))
 
 
-_HEIGHT, _PAGE = (30, 12, 8), 60
-
-
-@query(
-    f"""WITH RECURSIVE named AS (
+_HEIGHT, _PAGE, _PITCH = (30, 12, 8), 60, 26
+_PAGED = """WITH RECURSIVE named AS (
         SELECT l_orderkey AS bill_id, l_linenumber AS serial_no, p_name || repeat(' x', (l_partkey % 140)::INTEGER) AS description, CAST(l_extendedprice AS DECIMAL(14,2)) AS rate, l_quantity, l_tax FROM lineitem JOIN part ON p_partkey = l_partkey),
     numbered AS (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY serial_no, rate, l_quantity, l_tax, description) AS row_no, greatest(1, (length(description) + 29) // 30) * 12 + 8 AS height FROM named),
     pages AS (
-        SELECT bill_id, row_no, height AS used, 1 AS page_no FROM numbered WHERE row_no = 1
-        UNION ALL SELECT n.bill_id, n.row_no, CASE WHEN used + height > {_PAGE} THEN height ELSE used + height END, CASE WHEN used + height > {_PAGE} THEN page_no + 1 ELSE page_no END
+        SELECT bill_id, row_no, {down} AS used, 1 AS page_no FROM numbered WHERE row_no = 1
+        UNION ALL SELECT n.bill_id, n.row_no, CASE WHEN used + height > 60 THEN 0 ELSE used END + {down}, CASE WHEN used + height > 60 THEN page_no + 1 ELSE page_no END
         FROM pages p JOIN numbered n ON n.bill_id = p.bill_id AND n.row_no = p.row_no + 1)
     SELECT bill_id, page_no::INTEGER AS page_no, count(*) AS n_rows, sum(length(description))::BIGINT AS n_chars, min(row_no)::BIGINT AS first_row FROM pages JOIN numbered USING (bill_id, row_no) GROUP BY ALL"""
-)
-def paged_rows(spark, sf_dir):
-    """Items with descriptions of one line to ten, on pages that hold three lines of single ones; some are higher than a page."""
+
+
+def _paged(spark, sf_dir, pitch=None):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_id"), "p_name")
     name = F.concat("p_name", F.expr("repeat(' x', cast(part_id % 140 as int))"))
     order = F.row_number().over(Window.partitionBy("bill_id").orderBy("serial_no", "rate", "quantity", "gst_rate", "description"))
-    d = items(spark, sf_dir).join(parts, "part_id").withColumn("description", name).withColumn("row_no", order).select("bill_id", "row_no", "description", scenarios.text_height(F.col("description"), *_HEIGHT).alias("height"))
-    rows = scenarios.paged(d, ["bill_id"], "row_no", "height", _PAGE)
+    d = items(spark, sf_dir).join(parts, "part_id").withColumn("description", name).withColumn("row_no", order).withColumn("pitch", F.lit(_PITCH))
+    d = d.select("bill_id", "row_no", "description", "pitch", scenarios.text_height(F.col("description"), *_HEIGHT).alias("height"))
+    rows = scenarios.paged(d, ["bill_id"], "row_no", "height", _PAGE, pitch)
     return rows.groupBy("bill_id", "page_no").agg(F.count("*").alias("n_rows"), F.sum(F.char_length("description")).alias("n_chars"), F.min("row_no").cast("long").alias("first_row"))
 
 
+@query(_PAGED.format(down="height"))
+def paged_rows(spark, sf_dir):
+    """Items with descriptions of one line to ten, on pages that hold three lines of single ones; some are higher than a page."""
+    return _paged(spark, sf_dir)
+
+
+@query(_PAGED.format(down="26"))
+def pitched_rows(spark, sf_dir):
+    """The same at a fixed distance: a description that doesn't fit above the foot begins a page, but takes one row of it."""
+    return _paged(spark, sf_dir, "pitch")
+
+
+@query(
+    """SELECT l_orderkey AS bill_id, l_linenumber AS id, l_shipdate AS created_at, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey)::INTEGER AS place, l_partkey AS part_id FROM lineitem"""
+)
+def scenario_lists(spark, sf_dir):
+    """Each bill's scenarios in the order in which they were made."""
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bill_id"), F.col("l_linenumber").alias("id"), F.col("l_shipdate").alias("created_at"), F.col("l_partkey").alias("part_id"), "l_suppkey")
+    return catalog.listed(d, "bill_id", "created_at", "id", "part_id", "l_suppkey").drop("l_suppkey")
+
+
 _EDITED = f"WITH {ITEMS_SQL}, edited AS (SELECT bill_id, serial_no, CASE WHEN serial_no = 7 THEN NULL ELSE quantity - 3 END AS quantity, rate - 2000 AS rate, gst_rate * 15 AS gst_rate FROM items)"
 
 

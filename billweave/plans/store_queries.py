@@ -284,6 +284,44 @@ def reordered_items(spark, sf_dir):
     return store.reorder(_bills(spark, sf_dir), _items(spark, sf_dir), _orders(spark, sf_dir))[0].select("bill_id", "id", F.col("serial_no").cast("int").alias("serial_no"))
 
 
+_MOVES = f"""WITH RECURSIVE one AS (SELECT l_orderkey AS bill_id, l_linenumber AS no FROM lineitem GROUP BY ALL),
+lists AS (SELECT o_orderkey AS bill_id, o_orderstatus = 'F' AS shut, coalesce(list(o_orderkey || '/' || no ORDER BY no) FILTER (no IS NOT NULL), []) AS ids FROM orders LEFT JOIN one ON bill_id = o_orderkey GROUP BY ALL),
+asked AS (
+    SELECT bill_id, 1 AS seq, bill_id || '/1' AS item_id, 1 AS d FROM lists UNION ALL SELECT bill_id, 2, bill_id || '/1', 1 FROM lists UNION ALL SELECT bill_id, 3, bill_id || '/' || greatest(len(ids), 1), -1 FROM lists
+    UNION ALL SELECT bill_id, 4, 'nothing', 1 FROM lists UNION ALL SELECT bill_id, 5, bill_id || '/2', -1 FROM lists),
+judged AS (SELECT a.*, CASE WHEN shut THEN 409 WHEN NOT list_contains(ids, item_id) THEN 404 ELSE 200 END AS code FROM asked a JOIN lists USING (bill_id)),
+steps AS (
+    SELECT bill_id, 0 AS seq, ids FROM lists
+    UNION ALL SELECT s.bill_id, j.seq, CASE WHEN code = 200 AND list_position(ids, item_id) + d BETWEEN 1 AND len(ids)
+            THEN list_transform(ids, lambda x, i: CASE WHEN i = list_position(ids, item_id) THEN ids[list_position(ids, item_id) + d] WHEN i = list_position(ids, item_id) + d THEN item_id ELSE x END) ELSE ids END
+        FROM steps s JOIN judged j ON j.bill_id = s.bill_id AND j.seq = s.seq + 1)"""
+
+
+def _moves(spark, sf_dir):
+    """Five moves of every bill: its first item down two times, the last one up, an unknown one, and the second one up."""
+    o = F.col("bill_id")
+    last = _items(spark, sf_dir).groupBy("bill_id").agg(F.count("*").alias("n"))
+    one = lambda seq, no, to: F.struct(F.lit(seq).alias("seq"), no.alias("item_id"), F.lit(to).alias("direction"))
+    item = lambda no: F.concat_ws("/", o, no)
+    five = F.array(one(1, item(F.lit(1)), 1), one(2, item(F.lit(1)), 1), one(3, item(F.coalesce("n", F.lit(1))), -1), one(4, F.lit("nothing"), 1), one(5, item(F.lit(2)), -1))
+    return _bills(spark, sf_dir).select("bill_id").join(last, "bill_id", "left").select("bill_id", F.explode(five).alias("m")).select("bill_id", "m.*")
+
+
+@query(f"{_MOVES} SELECT bill_id, seq, code FROM judged")
+def move_results(spark, sf_dir):
+    """What becomes of each move."""
+    return store.move_items(_bills(spark, sf_dir), _items(spark, sf_dir), _moves(spark, sf_dir))[1].select("bill_id", "seq", "code")
+
+
+@query(
+    f"""{_MOVES} SELECT bill_id, id, CASE WHEN bill_id IN (SELECT bill_id FROM judged WHERE code = 200) THEN place ELSE split_part(id, '/', 2)::BIGINT END::INTEGER AS serial_no
+        FROM (SELECT bill_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM steps WHERE seq = 5)"""
+)
+def moved_items(spark, sf_dir):
+    """The items' numbers after several moves of a bill's items; bills without an accepted move keep theirs, gaps and all."""
+    return store.move_items(_bills(spark, sf_dir), _items(spark, sf_dir), _moves(spark, sf_dir))[0].select("bill_id", "id", F.col("serial_no").cast("int").alias("serial_no"))
+
+
 _GONE = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 
 
