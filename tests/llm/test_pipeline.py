@@ -1,6 +1,7 @@
 """The pipeline on small tables, stage by stage against plain versions of each decision."""
 
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -11,6 +12,13 @@ from billweave.llm.common import table
 SF = "/root/testdata/sf0.01"
 
 
+@pytest.fixture(autouse=True)
+def nothing_stays_cached(spark):
+    """Stages are cached here to be looked at in turn."""
+    yield
+    spark.catalog.clearCache()
+
+
 def test_stages(spark):
     docs = table(spark, SF, "documents").withColumn("row", F.lit("x"))
     bench = [(r["item_id"], decontaminate.word_hash, r["text"]) for r in table(spark, SF, "benchmark").collect()]
