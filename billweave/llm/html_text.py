@@ -1,20 +1,22 @@
 """Main text of HTML pages by site template removal.
 
-Each page is parsed once per pass into blocks of text. A block inside an element that is never content (menus,
-headers outside the article, forms, scripts and so on) is left out: by tag or role anywhere; by a class or id outside the
-article if a part of it names such a thing, and inside it if all of it does, but never for prose elements. A header inside an
-article holds its title and stays. The other elements around a block are hashed as subtrees; Spark counts on how many
-different pages of a host each hash stands, and subtrees that recur on many pages of their host are deleted. Counting combines
-in the map tasks and is keyed by host and hash, so a large host is spread over many keys, and the join of pages with their
-templates is one that Spark can broadcast, or split where a hash is hot. Parsing is linear in the page, however deep it nests.
-
-Different pages means pages with different text, so copies of one article do not make its paragraphs a template. A
-subtree that holds more than half of a page's text is never a template.
-
-Inside an article the prose elements, and text that stands directly in a container, are counted in the same way, but it
-takes a greater share of the host's pages to make them a template; size does not protect them. Rows and cells of a table,
-and terms and definitions, count as part of their table or list only. Where an article's templates would leave less than
-``LEAST_LEFT`` of its text, the page is one of many near copies of an article, and they stay.
+Each page is parsed into blocks of text, over the whole page. Left out are blocks inside an element that is never content by its tag
+or role (menus, asides, forms, scripts, headers outside an article and so on), or by a class or id that names such a thing and says
+nothing else (``ad-slot-top``, ``user-comments``, but not ``header-image-story``). What else stands around the article is for the
+templates: elements are hashed as subtrees, Spark counts on how many different pages of a host each hash stands, and subtrees that
+recur are deleted, whatever they are called. Counting combines in the map tasks and is keyed by host and hash, so a large host is
+spread over many keys. Parsing is linear in the page, however deep it nests.
+
+* Outside an article a container that recurs on ``MIN_SHARE`` of its host's pages is a template. Prose elements there, and text
+  that stands directly in a container, may be the text of a page without an article: they are templates on half of the pages only.
+* Inside ``article`` or ``main`` prose is never a template, however often it recurs: a passage that many articles share is text of
+  each. A container is one if it recurs on half of the pages.
+* A subtree that holds more than half of a page's text is none. Where templates by the share of half leave less than ``LEAST_LEFT``
+  of the text, the pages are near copies, and they stay.
+* Of what is left, a page whose articles hold a quarter or more is its articles; otherwise they are teasers, and all is kept.
+
+Different pages means pages with different main text, so copies of one article do not make it a template. A host of fewer than
+``MIN_PAGES`` different pages has no templates: there tags, roles and names decide alone.
 
 Defined results: null or empty html gives an empty text; repeated rows are extracted each on its own; an empty table
 gives no rows; a null url makes a host of its own; extra columns are ignored; unclosed and stray tags are accepted.
@@ -33,12 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import SMALL, cut, map_rows
 
 #: A subtree is a template if it stands on this many different pages of its host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.02
-#: The share for an article's own prose, and the share of a page's text that taking it out must leave.
-PROSE_SHARE, LEAST_LEFT = 0.05, 0.1
+#: The share for what may be text, the share of a page's text that taking it out must leave, and the share that makes articles the page.
+TEXT_SHARE, LEAST_LEFT, MAIN_SHARE = 0.5, 0.1, 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
@@ -53,44 +55,60 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd table tb
 PARTS = frozenset("dt dd tbody thead tr td th".split())
 #: Start tags that end an open element of the same group.
 _CLOSES = {t: frozenset(g) for g in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in g}
-#: Parts of class names and ids of such things.
-NAMES = frozenset(
-    "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent notice gdpr popup modal overlay nav navbar navigation "
-    "menu breadcrumb breadcrumbs sidebar footer header masthead comment comments commentlist disqus replies reply respond share sharing social related recommended "
-    "newsletter subscribe signup login search widget toolbar pagination pager skip".split()
+#: Words in class names and ids of adverts, notices and readers' comments, and of other things around a text.
+ASIDES = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo banner cookie cookies consent notice gdpr popup modal overlay "
+    "comment comments commentlist disqus replies reply respond share sharing social related recommended newsletter subscribe signup".split()
+)
+AROUND = ASIDES | frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead login search widget toolbar pagination pager skip".split())
+#: Words that say where and how such a thing stands, and nothing about what it is.
+WHERE = frozenset(
+    "top bottom left right middle main side site page global primary secondary upper lower inner outer sticky fixed mobile desktop user users reader readers slot box bar list "
+    "links link wrap wrapper container section area block unit row col column panel group item items inline text buttons button form thread content holder zone space label title".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
+_WORDS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
+
 
+def says_only(name: str, words: frozenset[str]) -> bool:
+    """Whether a class name or id has one of the words, and else only words of places."""
+    parts = {p.lower() for p in _WORDS.split(name) if p}
+    return not words.isdisjoint(parts) and parts <= AROUND | WHERE
 
-def never_content(tag: str, attributes: str, in_article: bool) -> bool:
+
+def never_content(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never content (by its tag or role, by a class or id)."""
     if tag in NEVER or tag == "header" and not in_article:
-        return True
-    if not attributes or tag in ("html", "body", "main"):
-        return False
+        return True, False
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return False, False
     at = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)}
     if "hidden" in at or at.get("aria-hidden") == "true" or at.get("role") in _ROLES:
-        return True
-    if in_article and tag in PROSE:
-        return False
-    named = (NAMES.issuperset if in_article else lambda parts: not NAMES.isdisjoint(parts))
-    return any(named(_PARTS.split(name)) for k in ("class", "id") for name in at.get(k, "").lower().split())
-
-
-_PARTS = re.compile("[_-]+")
+        return True, False
+    names = [*at.get("class", "").split()] if in_article and tag in PROSE else [*at.get("class", "").split(), *at.get("id", "").split()]
+    return False, any(says_only(name, ASIDES if in_article else AROUND) for name in names)
 
 
 class _Element:
-    __slots__ = ("article", "drop", "hash", "node", "parent", "size", "tag")
+    """``drop``: never content by its tag or role; ``named``: the innermost element around it, or itself, that a name makes so;
+    ``main``: whether an article begins in it."""
+
+    __slots__ = ("article", "drop", "gone", "hash", "main", "named", "node", "parent", "size", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, drop: bool, article: bool):
+    def __init__(self, tag: str, parent: _Element | None, drop: bool, named: bool, article: bool):
         self.tag, self.parent, self.drop, self.article, self.hash, self.size, self.node = tag, parent, drop, article, xxhash.xxh64(tag), 0, -1
+        self.named, self.main, self.gone = self if named else parent.named if parent is not None else None, False, False
 
 
 def parse(html: str) -> list[tuple[str, _Element | None]]:
-    """(text, innermost element) of each block of a page in order; the elements' hashes and sizes are final."""
+    """(text, innermost element) of each block of a page in order; the elements' hashes and sizes are final.
+
+    An element with such a name goes if no article begins in it: ``sidebar-right`` may say how a whole page is laid out.
+    """
     stack: list[_Element] = []
+    named: list[_Element] = []
     blocks: list[tuple[str, _Element | None]] = []
     held: list[str] = []
     opened: Counter = Counter()
@@ -107,7 +125,7 @@ def parse(html: str) -> list[tuple[str, _Element | None]]:
 
     def close(k: int) -> None:
         """Pop all elements from place ``k``."""
-        if any(e.tag in BLOCK or e.drop for e in stack[k:]):
+        if any(e.tag in BLOCK or e.drop or e.named is e for e in stack[k:]):
             flush()
         while len(stack) > k:
             e = stack.pop()
@@ -166,37 +184,47 @@ def parse(html: str) -> list[tuple[str, _Element | None]]:
                     break
         above = stack[-1] if stack else None
         inside = above is not None and above.article
-        drop = above is not None and above.drop or never_content(tag, m[3], inside)
-        if drop:
+        by_tag, by_name = never_content(tag, m[3], inside)
+        drop = above is not None and above.drop or by_tag
+        if drop or by_name:
             flush()
-        stack.append(_Element(tag, above, drop, inside or tag in ("article", "main")))
+        begins = tag in ("article", "main")
+        stack.append(_Element(tag, above, drop, by_name, inside or begins))
         opened[tag] += 1
+        if by_name:
+            named.append(stack[-1])
+        around = stack[-1].named if begins else None
+        while around is not None and not around.main:
+            around.main = True
+            around = around.parent.named if around.parent is not None else None
     flush()
     close(0)
-    return blocks
+    for e in named:  # outer ones first
+        e.gone = not e.main or e.parent is not None and e.parent.named is not None and e.parent.named.gone
+    return [b for b in blocks if b[1] is None or b[1].named is None or not b[1].named.gone]
 
 
 class Page(NamedTuple):
-    """A page's main part. ``nodes``: (place of the node around it or -1, mark or 0), outer ones first; ``blocks``: (text, place of
-    its node or -1, own mark or 0). A mark is the hash of what may be a template; those of an article's prose are odd, others even."""
+    """A page's text. ``nodes``: (place of the node around it or -1, mark or 0), outer ones first; ``blocks``: (text, place of its
+    node or -1, own mark or 0, whether in an article). A mark is the hash of what may be a template; those of what may be text are
+    odd, others even."""
 
     nodes: list[tuple[int, int]]
-    blocks: list[tuple[str, int, int]]
+    blocks: list[tuple[str, int, int, bool]]
 
     def marks(self) -> set[int]:
-        return {m for _, m in self.nodes if m} | {m for _, _, m in self.blocks if m}
+        return {m for _, m in self.nodes if m} | {b[2] for b in self.blocks if b[2]}
 
 
-def main_blocks(html: str) -> Page:
+def page_blocks(html: str) -> Page:
     blocks = parse(html)
-    inner = [b for b in blocks if b[1] is not None and b[1].article]
-    blocks = inner or blocks
     whole = sum(len(t) for t, _ in blocks)
 
     def mark(e: _Element) -> int:
-        prose = e.article and e.tag in PROSE
-        never = e.tag in ("html", "body", "article", "main") or prose and e.tag in PARTS or 2 * e.size > whole and not prose or e.tag not in BLOCK
-        return 0 if never else e.hash.intdigest() - (1 << 63) & -2 | prose
+        prose = e.tag in PROSE
+        if e.tag in ("html", "body", "article", "main") or e.tag not in BLOCK or prose and (e.article or e.tag in PARTS) or 2 * e.size > whole and not prose:
+            return 0
+        return e.hash.intdigest() - (1 << 63) & -2 | (prose or e.article)
 
     nodes: list[tuple[int, int]] = []
     out = []
@@ -208,13 +236,20 @@ def main_blocks(html: str) -> Page:
         for x in reversed(fresh):
             x.node = len(nodes)
             nodes.append((x.parent.node if x.parent is not None else -1, mark(x)))
+        inside = e is not None and e.article
         while e is not None and e.tag not in BLOCK and e.parent is not None:
             e = e.parent
-        direct = e is not None and e.tag in BLOCK and e.article and e.tag not in PROSE  # text directly in a container
-        out.append((text, blocks_node(fresh, holder), xxhash.xxh64_intdigest(f"{e.tag} {text}") - (1 << 63) | 1 if direct else 0))
+        direct = e is not None and not inside and e.tag not in PROSE  # text directly in a container
+        out.append((text, blocks_node(fresh, holder), xxhash.xxh64_intdigest(f"{e.tag} {text}") - (1 << 63) | 1 if direct else 0, inside))
     return Page(nodes, out)
 
 
+def main_part(blocks: list[tuple[str, bool]]) -> list[str]:
+    """The articles' texts of (text, whether in an article), or all of them where articles are a small part only."""
+    inner = [t for t, inside in blocks if inside]
+    return inner if inner and sum(map(len, inner)) >= MAIN_SHARE * sum(len(t) for t, _ in blocks) else [t for t, _ in blocks]
+
+
 def blocks_node(fresh: list[_Element], known: _Element | None) -> int:
     """The node of the innermost element of a block."""
     return fresh[0].node if fresh else known.node if known is not None else -1
@@ -233,11 +268,11 @@ def _host():
 
 
 def host_blocks(html: str, host: int) -> Page:
-    """``main_blocks`` with marks that differ from those of other hosts."""
+    """``page_blocks`` with marks that differ from those of other hosts."""
     seed = host & 0xFFFFFFFFFFFFFFFF
-    page = main_blocks(html)
+    page = page_blocks(html)
     own = {m: xxhash.xxh64_intdigest(m.to_bytes(8, signed=True), seed) - (1 << 63) & -2 | m & 1 for m in page.marks()}
-    return Page([(up, own.get(m, 0)) for up, m in page.nodes], [(text, node, own.get(m, 0)) for text, node, m in page.blocks])
+    return Page([(up, own.get(m, 0)) for up, m in page.nodes], [(text, node, own.get(m, 0), inside) for text, node, m, inside in page.blocks])
 
 
 def marked(pages: DataFrame) -> DataFrame:
@@ -246,7 +281,7 @@ def marked(pages: DataFrame) -> DataFrame:
     def make():
         def work(columns):
             found = list(map(host_blocks, columns[-1], columns[-2]))
-            texts = [xxhash.xxh64_intdigest(" ".join(t for t, _, _ in p.blocks)) - (1 << 63) for p in found]
+            texts = [xxhash.xxh64_intdigest(" ".join(main_part([(b[0], b[3]) for b in p.blocks]))) - (1 << 63) for p in found]
             return [*columns[:-1], texts, [sorted(p.marks()) for p in found]]
 
         return work
@@ -255,34 +290,42 @@ def marked(pages: DataFrame) -> DataFrame:
     return map_rows(rows, make, "row long, again long, host long, page long, marks array<long>")
 
 
-def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, text_share: float = TEXT_SHARE) -> DataFrame:
     """``mark``: subtree hashes of ``marked`` pages that recur on many different pages of their host."""
     each = found.groupBy("host", "page").agg(F.array_distinct(F.flatten(F.collect_set("marks"))).alias("marks"))
     sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     often = each.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    share = F.when(F.col("mark").bitwiseAND(1) == 1, prose_share).otherwise(min_share)
+    share = F.when(F.col("mark").bitwiseAND(1) == 1, text_share).otherwise(min_share)
     return often.join(sizes, "host").where(F.col("n") >= share * F.col("n_host")).select("mark")
 
 
 def left_of(page: Page, gone: set[int]) -> list[str]:
-    """The texts of blocks without templates."""
-    state = [(False, False)]  # (in a template, in one or a template of prose) of each node; last, of no node
+    """The texts of the main part's blocks without templates."""
+    state = [(False, False)]  # (in a template, in one or a template of what may be text) of each node; last, of no node
     for up, m in page.nodes:
         above, hit = state[up + 1], m in gone
         state.append((above[0] or hit and not m & 1, above[1] or hit))
-    own = [(text, state[node + 1][1] or m in gone) for text, node, m in page.blocks if not state[node + 1][0]]
-    rest = [text for text, hit in own if not hit]
-    return rest if sum(map(len, rest)) >= LEAST_LEFT * sum(len(t) for t, _ in own) else [t for t, _ in own]
+    own = [(text, inside, state[node + 1][1] or m in gone) for text, node, m, inside in page.blocks if not state[node + 1][0]]
+    rest = [(text, inside) for text, inside, hit in own if not hit]
+    return main_part(rest if sum(len(t) for t, _ in rest) >= LEAST_LEFT * sum(len(t) for t, _, _ in own) else [(t, inside) for t, inside, _ in own])
+
 
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, text_share: float = TEXT_SHARE) -> DataFrame:
+    """``page_id, url, text`` of every row.
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, prose_share: float = PROSE_SHARE) -> DataFrame:
-    """``page_id, url, text`` of every row. Pages are parsed once for the hashes, which are small and kept, and once for the text,
-    whose blocks go compressed to where their page's templates are known."""
+    Pages are parsed once for the hashes, which are small and kept, and once for the text. Where all pages' templates together are
+    ``SMALL`` they go to the pages; otherwise the pages' blocks go, compressed, to where their templates are known.
+    """
     key = pages.schema["page_id"].dataType.simpleString()
     found = cut(marked(pages))
     # copies of a row share its hash, and have the same marks
-    hit = found.select("row", "again", F.explode("marks").alias("mark")).join(templates(found, min_pages, min_share, prose_share), "mark")
-    gone = hit.groupBy("row", "again").agg(F.collect_set("mark").alias("gone"))
+    hit = found.select("row", "again", F.explode("marks").alias("mark")).join(templates(found, min_pages, min_share, text_share), "mark")
+    gone = cut(hit.groupBy("row", "again").agg(F.collect_set("mark").alias("gone")))
+    rows = pages.select(*_row(), "page_id", "url", _host(), F.coalesce("html", F.lit("")).alias("text"))
+    out = f"page_id {key}, url string, text string"
+
+    def text_left():
+        return lambda c: [*c[:2], [" ".join(left_of(host_blocks(html, host), set(g or ()))) for g, host, html in zip(*c[2:])]]
 
     def pack():
         return lambda c: [*c[:-2], [zlib.compress(json.dumps(host_blocks(html, host), ensure_ascii=False).encode("utf-8", "surrogatepass"), 3) for host, html in zip(*c[-2:])]]
@@ -290,6 +333,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     def unpack():
         return lambda c: [*c[:-2], [" ".join(left_of(Page(*json.loads(zlib.decompress(b).decode("utf-8", "surrogatepass"))), set(g or ()))) for g, b in zip(*c[-2:])]]
 
-    rows = pages.select(*_row(), "page_id", "url", _host(), F.coalesce("html", F.lit("")).alias("text"))
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= SMALL:
+        return map_rows(rows.join(F.broadcast(gone), ["row", "again"], "left").select("page_id", "url", "gone", "host", "text"), text_left, out)
     parsed = map_rows(rows, pack, f"row long, again long, page_id {key}, url string, blocks binary")
-    return map_rows(parsed.join(gone, ["row", "again"], "left").select("page_id", "url", "gone", "blocks"), unpack, f"page_id {key}, url string, text string")
+    return map_rows(parsed.join(gone, ["row", "again"], "left").select("page_id", "url", "gone", "blocks"), unpack, out)

@@ -520,46 +520,69 @@ def test_main_text(spark):
     assert all(got[200 + k] == [f"{prose(20, 900)} {prose(9, 901)}"] for k in range(25))
 
 
-def test_templates_inside_articles(spark):
-    again = "<p>Get our letter every week</p>", "<ul><li>More of it</li><li>Most read</li></ul>", "<h3>About the author</h3>", "<table><tr><td>Call</td><td>555</td></tr></table>"
+def test_prose_of_articles_stays(spark):
+    """What recurs in articles stays, tables and lists too; a container that stands in half of them goes, and so does what recurs around them."""
+    again = "<p>A passage that all of them share</p>", "<ul><li>More of it</li><li>Most read</li></ul>", "<h3>About the author</h3>", "<table><tr><td>Call</td><td>555</td></tr></table>"
 
     def page(k, host, own, rest="".join(again)):
-        return k, f"http://{host}/{k}", f"<html><body><main><article>Filed under news<h1>{prose(3, k)}</h1>{own}{rest}</article></main></body></html>"
+        return k, f"http://{host}/{k}", f"<html><body><div class=x1><p>Welcome back</p></div><article>Filed under news<h1>{prose(3, k)}</h1>{own}{rest}</article><div>Terms of use</div></body></html>"
 
-    site = [page(k, "a.example", f"<p>{prose(20, k)}</p><table><tr><td>Yes</td><td>{k}</td></tr></table>") for k in range(25)]
-    near = [page(100 + k, "b.example", f"<p>{prose(60, 900)}</p><p>{prose(60, 901)}</p><p>Copy {k}</p>", "") for k in range(25)]
-    rare = [page(200 + k, "c.example", f"<p>{prose(20, k)}</p>", again[0] if k < 9 else "") for k in range(25)]
-    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(site + near + rare, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == f"{prose(3, k)} {prose(20, k)} Yes {k}" for k in range(25))  # a cell that recurs stays in its table
-    assert all(got[100 + k].endswith(f"{prose(60, 900)} {prose(60, 901)} Copy {k}") for k in range(25))
-    assert sum("Get our letter" in got[200 + k] for k in range(25)) == 9 and not any("Filed" in got[200 + k] for k in range(25))
+    site = [page(k, "a.example", f"<p>{prose(20, k)}</p>", "".join(again) + "<div class=q7><b>Buy our pans</b></div>") for k in range(25)]
+    rare = [page(200 + k, "c.example", f"<p>{prose(20, k)}</p>", "<div><p>Part two</p></div>" if k < 11 else "") for k in range(25)]
+    few = [page(300 + k, "d.example", f"<p>{prose(20, k)}</p>", "") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(site + rare + few, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Filed under news {prose(3, k)} {prose(20, k)} A passage that all of them share More of it Most read About the author Call 555" for k in range(25))
+    assert all(got[200 + k] == f"Filed under news {prose(3, 200 + k)} {prose(20, k)}" + " Part two" * (k < 11) for k in range(25))
+    assert all(got[300 + k] == f"Filed under news {prose(3, 300 + k)} {prose(20, k)}" for k in range(8))
 
 
-def test_names_do_not_decide_on_prose():
-    page = "<body><div class='side sidebar'>s</div><article><h1>T</h1><h2 id='related-work'>R</h2><p class='notice'>N</p><p id='search'>S</p>"
-    page += "<section id='related-work'>W</section><div class='cookie-notice'>c</div><div id='comments'><p>x</p></div></article></body>"
-    assert [t for t, _, _ in html_text.main_blocks(page).blocks] == ["T", "R", "N", "S", "W"]
+def test_pages_without_articles(spark):
+    """Unnamed containers that recur go, shared paragraphs stay below half of the pages, and near copies keep their text."""
+    chrome = "<div class=zq><ul><li>Home</li><li>Shop</li></ul></div>", "<section><p>Never miss a thing</p></section>", "<p>All rights reserved</p>"
+    site = [(k, f"http://a.example/{k}", f"<body>{chrome[0]}<div><p>{prose(20, k)}</p>{'<p>A passage of ten</p>' if k < 10 else ''}</div>{chrome[1]}{chrome[2]}</body>") for k in range(30)]
+    near = [(100 + k, f"http://b.example/{k}", f"<body><p>{prose(60, 900)}</p><p>{prose(60, 901)}</p><p>Copy {k}</p></body>") for k in range(25)]
+    teasers = [(200 + k, f"http://c.example/{k}", f"<body><article><p>In short {k}</p></article><div class=story><p>{prose(60, k)}</p></div></body>") for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(site + near + teasers, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == prose(20, k) + " A passage of ten" * (k < 10) for k in range(30))
+    assert all(got[100 + k] == f"{prose(60, 900)} {prose(60, 901)} Copy {k}" for k in range(25))
+    assert all(got[200 + k] == f"In short {k} {prose(60, k)}" for k in range(3))
+
+
+def test_many_templates_go_to_their_pages_by_a_join(spark, monkeypatch):
+    rows = [(k, f"http://a.example/{k}", f"<body><div>Home</div><article><p>{prose(20, k)}</p></article></body>") for k in range(15)]
+    rows += [(3, *rows[3][1:])]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_text.extract(d).collect()))
+    monkeypatch.setattr(html_text, "SMALL", 0)
+    assert sorted(map(tuple, html_text.extract(d).collect())) == want and {t for _, _, t in want} == {prose(20, k) for k in range(15)}
+
+
+def test_names():
+    page = "<body><div class='side sidebar'>s</div><div id='header-image-story'><p>I</p></div><div id=cookieBanner>b</div><div class='content sidebar-right'><article><h1>T</h1><h2 id='related-work'>R</h2><p id='notice'>N</p><p id='search'>S</p>"
+    page += "<section id='related-work'>W</section><div class='ad-hoc-analysis'>A</div><div class='cookie-notice'>c</div><div id='comments'><p>x</p></div><section class='user-comments'>u</section><div class='ad-slot-top'><p>a</p></div>"
+    page += "<p class='advert'>a</p><div class=header>H</div></article></div><div class='page-footer-2'>f</div></body>"
+    assert [b[0] for b in html_text.page_blocks(page).blocks] == ["I", "T", "R", "N", "S", "W", "A", "H"]
 
 
 def test_deep_pages_take_linear_time():
     start = time.monotonic()
-    page = html_text.main_blocks("<body>" + "<div>x" * 20_000 + "</i></b>" * 20_000)
+    page = html_text.page_blocks("<body>" + "<div>x" * 20_000 + "</i></b>" * 20_000)
     assert len(page.blocks) == 20_000 and time.monotonic() - start < 20
     assert html_text.left_of(page, {m for _, m in page.nodes[-1:]}) == ["x"] * (20_000 - bool(page.nodes[-1][1]))
 
 
 def test_templates_against_plain_counting(spark):
     shared = [f"<p>{prose(6, 700 + j)}</p>" for j in range(4)]
-    rows = [(k, f"http://h{k % 2}.example/{k}", f"<article><p>{prose(9, k // 2 * 2)}</p>{''.join(s for j, s in enumerate(shared) if k % (j + 2) == 0)}</article>") for k in range(80)]
+    rows = [(k, f"http://h{k % 2}.example/{k}", f"<div><p>{prose(9, k // 2 * 2)}</p>{''.join(s for j, s in enumerate(shared) if k % (j + 2) == 0)}</div><div>{prose(2, k // 9)}</div>") for k in range(80)]
     seen, pages = defaultdict(set), defaultdict(set)
     hosts = {r["url"]: r["host"] for r in spark.createDataFrame(rows, "page_id long, url string, html string").select("url", html_text._host()).collect()}
     for _, url, html in rows:
         page = html_text.host_blocks(html, hosts[url])
-        whole = " ".join(t for t, _, _ in page.blocks)
+        whole = " ".join(b[0] for b in page.blocks)
         pages[hosts[url]].add(whole)
         for m in page.marks():
             seen[hosts[url], m].add(whole)
-    want = {m for (host, m), texts in seen.items() if len(texts) >= 10 and len(texts) >= (0.05 if m & 1 else 0.02) * len(pages[host])}
+    want = {m for (host, m), texts in seen.items() if len(texts) >= 10 and len(texts) >= (0.5 if m & 1 else 0.02) * len(pages[host])}
     got = html_text.templates(html_text.marked(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
     assert want and sorted(r["mark"] for r in got) == sorted(want)
 
