@@ -136,6 +136,13 @@ def edit_items(bills: DataFrame, items: DataFrame, edits: DataFrame) -> tuple[Da
     return repriced(bills, after, done.select("bill_id").distinct()), after, judged
 
 
+def _stored_results(results: DataFrame, log: str, batch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, accepted ones, their bills) of a batch of requests: what was written when it was first judged."""
+    kept = written_once(results, f"{log}/batch={batch}")
+    done = kept.where("code = 200")
+    return kept, done, done.select("bill_id").distinct()
+
+
 def edit_stored(bills: Stored, items: Stored, log: str, edits: DataFrame, batch: str) -> DataFrame:
     """Make edits in the stored tables; their results. A batch that is made again, or again after it failed halfway, changes nothing twice.
 
@@ -143,39 +150,71 @@ def edit_stored(bills: Stored, items: Stored, log: str, edits: DataFrame, batch:
     batch once, so buckets that already have it are left alone; then the totals are those of the stored items.
     """
     spark = edits.sparkSession
-    results = written_once(judged_edits(bills.read(spark), items.read(spark), edits), f"{log}/batch={batch}")
-    done = results.where("code = 200")
-    touched = done.select("bill_id").distinct()
+    results, done, touched = _stored_results(judged_edits(bills.read(spark), items.read(spark), edits), log, batch)
     items.replace(touched, items_after(items.read(spark), done).join(touched, "bill_id", "left_semi"), batch)
     bills.replace(touched, repriced(bills.read(spark), items.read(spark), touched).join(touched, "bill_id", "left_semi"), batch)
     return results
 
 
-def reorder(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, results) after ``requests(bill_id, seq, item_ids)``: a bill's items are numbered by the last accepted order.
+def reorder_stored(bills: Stored, items: Stored, log: str, requests: DataFrame, batch: str) -> DataFrame:
+    """``reorder`` in the stored tables, as ``edit_stored``."""
+    spark = requests.sparkSession
+    results, done, touched = _stored_results(judged_orders(bills.read(spark), items.read(spark), requests), log, batch)
+    items.replace(touched, items_in_order(items.read(spark), done).join(touched, "bill_id", "left_semi"), batch)
+    return results
+
+
+def move_stored(bills: Stored, items: Stored, log: str, moves: DataFrame, batch: str) -> DataFrame:
+    """``move_items`` in the stored tables, as ``edit_stored``."""
+    spark = moves.sparkSession
+    results, done, touched = _stored_results(judged_moves(bills.read(spark), items.read(spark), moves), log, batch)
+    items.replace(touched, items_moved(items.read(spark), done).join(touched, "bill_id", "left_semi"), batch)
+    return results
+
+
+def confirm_stored(bills: Stored, items: Stored, log: str, requests: DataFrame, batch: str) -> DataFrame:
+    """``confirm`` in the stored tables, as ``edit_stored``."""
+    spark = requests.sparkSession
+    results, done, touched = _stored_results(judged_confirmations(bills.read(spark), items.read(spark), requests), log, batch)
+    bills.replace(touched, bills_confirmed(bills.read(spark), done).join(touched, "bill_id", "left_semi"), batch)
+    return results
+
+
+def judged_orders(bills: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests(bill_id, seq, item_ids)`` with ``code`` and ``message``.
 
     Refused are orders of unknown bills (404), of confirmed ones (409), and those that don't name just the bill's items (400).
     """
     have = items.groupBy("bill_id").agg(F.collect_set("id").alias("have"))
     asked = requests.join(bills.select("bill_id", F.col("confirmed").alias("shut")), "bill_id", "left").join(have, "bill_id", "left")
-    own, named = (F.coalesce(c, F.array().cast(items_of)) for c, items_of in ((F.col("have"), have.schema["have"].dataType), (F.col("item_ids"), have.schema["have"].dataType)))
+    own, named = (F.coalesce(F.col(c), F.array().cast(have.schema["have"].dataType)) for c in ("have", "item_ids"))
     other = (F.size(F.array_except(own, named)) > 0) | (F.size(F.array_except(named, own)) > 0)
-    judged = cut(_judged(asked, (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (other, _no(400, WRONG_ORDER))).select(*requests.columns, "code", "message"))
-    last = judged.where("code = 200").groupBy("bill_id").agg(F.max_by("item_ids", "seq").alias("item_ids"))
-    return bill_ops.reordered(items, last).drop("reordered"), judged
+    return _judged(asked, (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (other, _no(400, WRONG_ORDER))).select(*requests.columns, "code", "message")
 
 
-def move_items(bills: DataFrame, items: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, results) after ``moves(bill_id, seq, item_id, direction)``: each exchanges an item with the next (1) or the one before (-1).
+def items_in_order(items: DataFrame, done: DataFrame) -> DataFrame:
+    """The items as the last accepted order of their bill numbers them."""
+    last = done.groupBy("bill_id").agg(F.max_by("item_ids", "seq").alias("item_ids"))
+    return bill_ops.reordered(items, last).drop("reordered").select(*items.columns)
 
-    A bill's moves follow each other, by a fold over the list of its items; at either end of it a move is accepted and changes
-    nothing. The items of bills with an accepted move are numbered from 1.
-    """
+
+def reorder(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, results) after ``requests(bill_id, seq, item_ids)``."""
+    judged = cut(judged_orders(bills, items, requests))
+    return items_in_order(items, judged.where("code = 200")), judged
+
+
+def judged_moves(bills: DataFrame, items: DataFrame, moves: DataFrame) -> DataFrame:
+    """``moves(bill_id, seq, item_id, direction)`` with ``code`` and ``message``."""
     here = items.select("bill_id", F.col("id").alias("item_id"), F.lit(True).alias("found"))
     asked = moves.join(bills.select("bill_id", F.col("confirmed").alias("shut")), "bill_id", "left").join(here, ["bill_id", "item_id"], "left")
     rules = (F.col("shut").isNull(), _no(404, NO_BILL)), (F.col("shut"), _no(409, CONFIRMED)), (F.col("found").isNull(), _no(404, NO_ITEM))
-    judged = cut(_judged(asked, *rules).select(*moves.columns, "code", "message"))
-    steps = judged.where("code = 200").groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id", "direction"))).alias("steps"))
+    return _judged(asked, *rules).select(*moves.columns, "code", "message")
+
+
+def items_moved(items: DataFrame, done: DataFrame) -> DataFrame:
+    """The items after accepted moves: a fold over the list of a bill's items, which are then numbered from 1."""
+    steps = done.groupBy("bill_id").agg(F.array_sort(F.collect_list(F.struct("seq", "item_id", "direction"))).alias("steps"))
     lists = items.join(steps.select("bill_id"), "bill_id", "left_semi").groupBy("bill_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("serial_no", "id"))), lambda x: x["id"]).alias("ids"))
 
     def step(ids: Column, x: Column) -> Column:
@@ -185,17 +224,35 @@ def move_items(bills: DataFrame, items: DataFrame, moves: DataFrame) -> tuple[Da
         return F.when((to >= 1) & (to <= F.size(ids)), swapped).otherwise(ids)
 
     order = steps.join(lists, "bill_id").select("bill_id", F.aggregate("steps", F.col("ids"), step).alias("item_ids"))
-    return bill_ops.reordered(items, order).drop("reordered"), judged
+    return bill_ops.reordered(items, order).drop("reordered").select(*items.columns)
 
 
-def confirm(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bills, results) after ``requests(bill_id)``: a bill whose items all have a quantity and a rate is confirmed and completed."""
+def move_items(bills: DataFrame, items: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, results) after ``moves(bill_id, seq, item_id, direction)``: each exchanges an item with the next (1) or the one before (-1).
+
+    A bill's moves follow each other; at either end of the list a move is accepted and changes nothing.
+    """
+    judged = cut(judged_moves(bills, items, moves))
+    return items_moved(items, judged.where("code = 200")), judged
+
+
+def judged_confirmations(bills: DataFrame, items: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests(bill_id)``, one for each bill, with ``code`` and ``message``."""
     asked = requests.select("bill_id").distinct()
     state = bill_ops.confirmable(bills.join(asked, "bill_id", "left_semi"), items.withColumnRenamed("source_rate", "rate") if "rate" not in items.columns else items)
-    results = asked.join(state.select("bill_id", "code", "message"), "bill_id", "left").select("bill_id", F.coalesce("code", F.lit(404)).alias("code"), F.when(F.col("code").isNull(), NO_BILL).otherwise(F.col("message")).alias("message"))
-    d = bills.join(results.where("code = 200").select("bill_id", F.lit(True).alias("now")), "bill_id", "left")
+    return asked.join(state.select("bill_id", "code", "message"), "bill_id", "left").select("bill_id", F.coalesce("code", F.lit(404)).alias("code"), F.when(F.col("code").isNull(), NO_BILL).otherwise(F.col("message")).alias("message"))
+
+
+def bills_confirmed(bills: DataFrame, done: DataFrame) -> DataFrame:
+    d = bills.join(done.select("bill_id", F.lit(True).alias("now")), "bill_id", "left")
     d = d.withColumn("confirmed", F.coalesce("now", "confirmed")).withColumn("extraction_status", F.when(F.col("now"), "completed").otherwise(F.col("extraction_status")))
-    return d.select(*bills.columns), results
+    return d.select(*bills.columns)
+
+
+def confirm(bills: DataFrame, items: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bills, results) after ``requests(bill_id)``: a bill whose items all have a quantity and a rate is confirmed and completed."""
+    results = judged_confirmations(bills, items, requests)
+    return bills_confirmed(bills, results.where("code = 200")), results
 
 
 def scenario_batch(bills: DataFrame, items: DataFrame, requests: DataFrame, batch: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -228,21 +285,48 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
+#: Where the rows of each table hang: on which table's rows, and by which column. Parents come first.
+PARENTS = {
+    "documents": (None, "document_id"), "bills": ("documents", "document_id"), "runs": ("documents", "document_id"), "items": ("bills", "bill_id"), "scenarios": ("bills", "bill_id"),
+    "scenario_items": ("scenarios", "scenario_id"), "files": ("scenarios", "scenario_id"),
+}
+_OWN = {"bills": "bill_id", "scenarios": "scenario_id"}
+
+
 def delete_documents(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """The store's tables without the documents of ``gone(document_id)`` and all that hangs on them: bills and their items,
-    scenarios with their items and files, and runs."""
-    of = {"bills": ("documents", "document_id"), "runs": ("documents", "document_id"), "items": ("bills", "bill_id"), "scenarios": ("bills", "bill_id"), "scenario_items": ("scenarios", "scenario_id"), "files": ("scenarios", "scenario_id")}
-    dropped, left = {"documents": gone.select("document_id").distinct()}, {}
-    left["documents"] = tables["documents"].join(dropped["documents"], "document_id", "left_anti")
-    for name, (parent, key) in of.items():
-        if name in tables:
+    scenarios with their items and files, and runs. Tables that aren't given, and what hangs on them, are left out."""
+    dropped, left = {None: gone.select("document_id").distinct()}, {}
+    dropped["documents"] = dropped[None]
+    for name, (parent, key) in PARENTS.items():
+        if name in tables and parent in dropped:
             left[name] = tables[name].join(dropped[parent], key, "left_anti")
-            own = {"bills": "bill_id", "scenarios": "scenario_id"}.get(name)
-            if own:
-                dropped[name] = tables[name].join(dropped[parent], key, "left_semi").select(own)
+            if name in _OWN:
+                dropped[name] = tables[name].join(dropped[parent], key, "left_semi").select(_OWN[name])
     return left
 
 
+def delete_stored(tables: dict[str, Stored], log: str, gone: DataFrame, batch: str) -> None:
+    """``delete_documents`` in stored tables, each with a key of its own.
+
+    Which rows go is written for every table before the first one changes, as a bill's items can't be told any more when the bill is
+    gone; a repetition goes by what was written.
+    """
+    spark = gone.sparkSession
+    dropped = {None: written_once(gone.select("document_id").distinct(), f"{log}/batch={batch}/documents")}
+    dropped["documents"] = dropped[None]
+    keys = {}
+    for name, (parent, key) in PARENTS.items():
+        if name in tables and parent in dropped:
+            own = sorted({tables[name].key, *([_OWN[name]] if name in _OWN else [])})
+            mine = tables[name].read(spark).join(dropped[parent], key, "left_semi").select(*own).distinct()
+            keys[name] = written_once(mine, f"{log}/batch={batch}/{name}-rows")
+            if name in _OWN:
+                dropped[name] = keys[name].select(_OWN[name]).distinct()
+    for name, rows in keys.items():
+        tables[name].replace(rows.select(tables[name].key), tables[name].read(spark).limit(0), batch)
+
+
 def finish_runs(documents: DataFrame, runs: DataFrame, bills: DataFrame, outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, runs, bills) after ``outcomes(document_id, error, attempts_used)``: a failed run keeps its message, its document
     is failed and its bill is rolled back; others are processed and completed. Documents without an outcome go on as they are."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import bills as bill_ops
 from ..operators import store
-from ..operators.shared import shared_path
+from ..operators.shared import cut, shared_path
 from ..operators.storage import Stored
 from ..sources import uploads
 from .inputs import ITEMS_SQL, bills, items, table
@@ -322,6 +322,24 @@ def moved_items(spark, sf_dir):
     return store.move_items(_bills(spark, sf_dir), _items(spark, sf_dir), _moves(spark, sf_dir))[0].select("bill_id", "id", F.col("serial_no").cast("int").alias("serial_no"))
 
 
+@query(
+    f"""{_MOVES} SELECT bill_id, id, CASE WHEN bill_id IN (SELECT bill_id FROM judged WHERE code = 200) THEN place ELSE split_part(id, '/', 2)::BIGINT END::INTEGER AS serial_no, NOT shut AND len(ids) > 0 AS confirmed
+        FROM (SELECT s.bill_id, unnest(s.ids) AS id, generate_subscripts(s.ids, 1) AS place, l.ids, shut FROM steps s JOIN lists l ON l.bill_id = s.bill_id WHERE seq = 5)"""
+)
+def moves_replayed(spark, sf_dir):
+    """Stored items after a batch of moves and then one of confirmations, each made two times; ``confirmed`` tells of the latter."""
+    base = shared_path(spark, "moves")
+    held_bills, held_items = _stored(spark, sf_dir, base)
+    asked = held_bills.read(spark).where("not confirmed")
+    for _ in range(2):
+        store.move_stored(held_bills, held_items, f"{base}/moves", _moves(spark, sf_dir), "monday")
+    asked = cut(asked.select("bill_id"))
+    for _ in range(2):
+        store.confirm_stored(held_bills, held_items, f"{base}/confirmations", asked, "tuesday")
+    now = held_bills.read(spark).select("bill_id", (F.col("extraction_status") == "completed").alias("confirmed"))
+    return held_items.read(spark).select("bill_id", "id", F.col("serial_no").cast("int").alias("serial_no")).join(now, "bill_id")
+
+
 _GONE = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 
 
@@ -347,6 +365,27 @@ def delete_documents(spark, sf_dir):
     return out
 
 
+@query(
+    f"""WITH left_bills AS (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN {_GONE}), one AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+        SELECT 'documents' AS kind, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'bills', count(*), sum(o_orderkey)::BIGINT FROM left_bills
+        UNION ALL SELECT 'items', count(*), sum(l_orderkey)::BIGINT FROM one WHERE l_orderkey IN (FROM left_bills) UNION ALL SELECT 'runs', count(*), sum(user_id)::BIGINT FROM events WHERE user_id NOT IN {_GONE}"""
+)
+def cascade_replayed(spark, sf_dir):
+    """Stored tables after documents went, with all that hangs on them, two times."""
+    base, customers = shared_path(spark, "cascade"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), "c_acctbal")
+    held_bills, held_items = _stored(spark, sf_dir, base)
+    held = {"documents": Stored(f"{base}/documents", "document_id", 8), "bills": held_bills, "items": held_items, "runs": Stored(f"{base}/runs", "document_id", 8)}
+    held["documents"].write(customers)
+    held["runs"].write(table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id"))
+    for _ in range(2):
+        store.delete_stored(held, f"{base}/log", customers.where("c_acctbal < 0"), "monday")
+    out = None
+    for kind, one in held.items():
+        n = one.read(spark).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(one.key).cast("long").alias("keys"))
+        out = n if out is None else out.union(n)
+    return out
+
+
 @query(
     """SELECT c_custkey AS document_id, CASE WHEN c_acctbal < 0 THEN 'failed' WHEN c_acctbal < 5000 THEN 'processed' ELSE 'processing' END AS status,
         CASE WHEN c_acctbal < 0 THEN 'failed' WHEN c_acctbal < 5000 THEN 'completed' ELSE 'running' END AS run_status, CASE WHEN c_acctbal < 0 THEN 'no text on any page' END AS error_message,
