@@ -263,3 +263,33 @@ def test_entry(spark):
     assert entry.entry(spark).where("disclaimer is null").count() == 0 and entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert scenarios.LABELS.keys() == {"baseline", "simulation_b", "simulation_c"}
+
+
+def test_moves_follow_each_other(spark):
+    items = priced_items(spark, [(1, c, n, "x", "0", "1", "1.00") for c, n in (("a", 2), ("b", 5), ("c", 9))])
+    moves = spark.createDataFrame([(1, 1, "a", 1), (1, 2, "a", 1), (1, 3, "a", 1), (1, 4, "b", -1), (1, 5, "z", 1), (4, 1, "a", 1), (9, 1, "a", 1)], "bill_id long, seq int, item_id string, direction int")
+    after, results = store.move_items(some_bills(spark, 5), items, moves.repartition(3))
+    assert {(r["bill_id"], r["seq"]): r["code"] for r in results.collect()} == {(1, 1): 200, (1, 2): 200, (1, 3): 200, (1, 4): 200, (1, 5): 404, (4, 1): 409, (9, 1): 404}
+    assert {r["id"]: r["serial_no"] for r in after.collect()} == {"b": 1, "c": 2, "a": 3}
+
+
+def test_a_cascade_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
+    """Bills are gone and the items still there: the repetition knows whose they were."""
+    held = {"documents": storage.Stored(f"{tmp_path}/d", "document_id", 3), "bills": storage.Stored(f"{tmp_path}/b", "bill_id", 3), "items": storage.Stored(f"{tmp_path}/i", "bill_id", 3)}
+    held["documents"].write(spark.range(6).selectExpr("id document_id"))
+    held["bills"].write(spark.range(12).selectExpr("id bill_id", "id % 6 document_id"))
+    held["items"].write(spark.range(24).selectExpr("id", "id % 12 bill_id"))
+    gone, replace = spark.range(2).selectExpr("id document_id"), storage.Stored.replace
+    monkeypatch.setattr(storage.Stored, "replace", lambda self, *a: replace(self, *a) if self.path[-1] != "i" else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.delete_stored(held, f"{tmp_path}/log", gone, "monday")
+    monkeypatch.undo()
+    for _ in range(2):
+        store.delete_stored(held, f"{tmp_path}/log", gone, "monday")
+        assert [held[k].read(spark).count() for k in ("documents", "bills", "items")] == [4, 8, 16]
+
+
+def test_sure_pages_are_not_tried_again(spark):
+    rows = [("a", 0, 1, 0.8), ("a", 0, 2, 0.9), ("b", 0, 1, 0.4), ("b", 0, 2, 0.3), ("c", 0, 1, 0.4), ("c", 0, 2, 0.76), ("c", 0, 3, 0.99)]
+    got = uploads.best_attempt(spark.createDataFrame(rows, "doc_id string, page int, attempt int, confidence double")).collect()
+    assert {r["doc_id"]: (r["attempt"], r["attempts_used"]) for r in got} == {"a": (1, 1), "b": (1, 2), "c": (2, 2)}
