@@ -469,6 +469,18 @@ def live_runs(spark, sf_dir):
     return held.read(spark).select("document_id", "n_events", "attempts_used", "status")
 
 
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS status, count(*) AS n FROM events GROUP BY ALL")
+def run_windows(spark, sf_dir):
+    """Events by hour and kind, kept by a stream over two pieces."""
+    base, e = shared_path(spark, "windows"), table(spark, sf_dir, "events")
+    rows = e.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("status"), "event_id")
+    for piece in range(2):
+        rows.where(F.col("event_id") % 2 == piece).write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/log")
+        ingest.keep_counts(ingest.run_counts(stream), f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "status", "n")
+
+
 @query(f"WITH {BILLS_SQL} SELECT bill_id, CASE WHEN o_orderstatus = 'F' THEN '409' END AS code FROM bills UNION ALL SELECT -bill_id, '404' FROM bills WHERE bill_id <> 0")
 def edit_guards(spark, sf_dir):
     """Edits of every bill and of as many unknown ones; finished orders count as confirmed."""

@@ -10,15 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import catalog
 from ..operators.shared import cut
 from ..operators.storage import Stored
-from ..sources.uploads import described, stored_name
+from ..sources.uploads import MAX_BYTES, described, stored_name, without_content
 
 _BINARY = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
 def upload_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Each new file of a folder once, as a document row."""
+    """Each new file of a folder once, as a document row; the bytes of too large ones are not read."""
     files = spark.readStream.format("binaryFile").schema(_BINARY).option("maxFilesPerTrigger", max_files).load(path)
-    return described(files)
+    return described(files.where(F.col("length") <= MAX_BYTES)).unionByName(described(without_content(files)))
 
 
 def new_uploads(files: DataFrame, late: str = "1 day") -> DataFrame:
@@ -53,3 +53,8 @@ def keep_states(states: DataFrame, held: Stored, checkpoint: str) -> StreamingQu
         held.replace(rows, rows, f"states-{number}")
 
     return states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the table at ``path`` at the counts of all windows so far; there are few, so each micro-batch writes them anew."""
+    return counts.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -240,6 +240,18 @@ def test_the_same_bytes_are_stored_once(spark, tmp_path):
     assert {r["original_filename"]: (r["outcome"], r["duplicate_of"]) for r in again.collect()} == {"a.pdf": ("duplicate", first), "b.pdf": ("duplicate", first), "c.pdf": ("duplicate", first), "d.pdf": ("stored", None)}
 
 
+def test_too_large_files_are_rows_without_bytes(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF" * 10)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF" * 1000)
+    monkeypatch.setattr(uploads, "MAX_BYTES", 1000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")  # reading a longer one would be an error
+    try:
+        got = {r["original_filename"]: r for r in uploads.read_uploads(spark, f"file://{tmp_path}").collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got["a.pdf"]["status"] == "uploaded" and got["b.pdf"]["status"] == "failed" and got["b.pdf"]["file_hash"] is None and "maximum size" in got["b.pdf"]["error"]
+
+
 def test_versions_without_files(spark, tmp_path):
     (tmp_path / "none").mkdir()
     assert versions.read_versions(spark, f"{tmp_path}/none", [versions.Column("a", "int")]).count() == 0
