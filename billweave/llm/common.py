@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,27 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import cut, shared_dir  # noqa: F401  cut is for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. A session on one machine without that setting gets a folder of
-    its own; another one is an error."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if there:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(there)
-        return there
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
 def shared_uri(spark: SparkSession) -> str:
     """The shared folder as a URI; a path without a scheme is of Spark's default file system, as Spark takes it."""
     sc = spark.sparkContext
@@ -39,12 +24,6 @@ def shared_uri(spark: SparkSession) -> str:
     return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that later passes neither recompute it nor depend on an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}

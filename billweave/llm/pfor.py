@@ -43,6 +43,8 @@ _INDEX = np.dtype([("offset", "<u8"), ("n", "<u4"), ("minimum", "<u4"), ("width"
 _DOC = np.dtype([("doc_id", "<i8"), ("is_null", "<u1"), ("n", "<u8")])
 #: Bytes of UTF-8 text per shard aimed at, rows sampled for the bounds of each, and shards whose sizes are summed up together.
 SHARD_BYTES, SAMPLE, TOGETHER = 16_000_000, 40, 1024
+#: Shards at most (of larger corpora, shards are larger): with them the sample that goes to the driver is bounded.
+MOST_SHARDS = 16_384
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -173,13 +175,13 @@ def bounds(rows: DataFrame, shards: int, n: int) -> list[tuple[bool, int, int]]:
 def write(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Encode and write all documents; ``shard, uri, n_tokens`` of each file, in ascending order of documents.
 
-    ``shards`` defaults to one per ``SHARD_BYTES`` of text. The ids must be integers.
+    ``shards`` defaults to one per ``SHARD_BYTES`` of text, and ``MOST_SHARDS`` at most. The ids must be integers.
     """
     spark = docs.sparkSession
     base = f"{shared_uri(spark)}/pfor-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col)).withColumn("h", F.xxhash64("text"))
     size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    shards = shards or 1 + int((size or 0) // SHARD_BYTES)
+    shards = shards or min(1 + int((size or 0) // SHARD_BYTES), MOST_SHARDS)
     least = bounds(rows, shards, n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
