@@ -300,10 +300,55 @@ def candidate_items(spark, sf_dir):
     return tables.candidate_items(cut(layout.lines(words(spark, sf_dir))))
 
 
-@query()
+_MARGIN = "'^[ :.\\-]+|[ :.\\-]+$', '', 'g'"
+
+
+def _phone_sql(x: str) -> str:
+    return f"(regexp_matches({x}, {_quoted(text.PHONE)}) AND length(regexp_replace(replace({x}, regexp_extract({x}, {_quoted(text.PHONE)}), ''), {_MARGIN})) < 10)"
+
+
+def _is_sql(x: str, *patterns: str) -> str:
+    return "(" + " OR ".join(f"coalesce(regexp_matches({x}, {_quoted(p)}), false)" for p in patterns) + f" OR coalesce(regexp_matches(upper({x}), {_quoted(text.GSTIN)}), false) OR coalesce({_phone_sql(x)}, false))"
+
+
+def _name_sql(x: str) -> str:
+    return f"CASE WHEN length({x}) >= 3 AND NOT {_is_sql(x, text.NOT_ADDRESS, text.DATE)} THEN {x} END"
+
+
+def _part_sql(pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract(t, {_quoted(pattern)}, {group}), '')"
+
+
+def _day_sql(year: str, month: str, day: str) -> str:
+    return f"TRY_CAST(lpad((CASE WHEN {year} < 100 THEN {year} + 2000 ELSE {year} END)::VARCHAR, 4, '0') || '-' || lpad({month}::VARCHAR, 2, '0') || '-' || lpad({day}::VARCHAR, 2, '0') AS DATE)"
+
+
+@query(
+    f"""WITH {WORDS_SQL}, kept AS (SELECT * FROM words WHERE NOT regexp_matches(text, {_quoted(text.NOISE)})),
+    gaps AS (SELECT *, x - lag(x + width) OVER (PARTITION BY doc_id, line ORDER BY x) AS gap FROM kept),
+    islands AS (SELECT *, sum(CASE WHEN gap > 1.8 * {CHAR} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, line ORDER BY x ROWS UNBOUNDED PRECEDING) AS cell_no FROM gaps),
+    printed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS line, string_agg(text, ' ' ORDER BY x) AS t, string_agg(text, ' ' ORDER BY x) FILTER (cell_no = 0) AS cell FROM islands GROUP BY doc_id, line),
+    named AS (SELECT *, min(CASE WHEN line < 8 AND length(cell) >= 3 AND NOT {_is_sql("cell", text.BOILERPLATE, text.DATE, text.EMAIL)} THEN line END) OVER (PARTITION BY doc_id) AS name_line FROM printed),
+    vendors AS (SELECT *, max(CASE WHEN line = name_line THEN cell END) OVER (PARTITION BY doc_id) AS vendor FROM named),
+    begun AS (SELECT *, min(CASE WHEN cell = vendor THEN line END) OVER (PARTITION BY doc_id) + 1 AS begins FROM vendors),
+    ended AS (SELECT *, line BETWEEN begins AND begins + 2 AS inside, min(CASE WHEN line BETWEEN begins AND begins + 2 AND (cell = '' OR {_is_sql("cell", text.NOT_ADDRESS, text.EMAIL)}) THEN line END) OVER (PARTITION BY doc_id) AS ends FROM begun),
+    labelled AS (
+        SELECT *, regexp_matches(t, {_quoted(text.BUYER_LABEL)}) AS for_buyer, regexp_replace(regexp_replace(t, {_quoted("(?s)^.*?" + text.BUYER_LABEL)}, ''), {_MARGIN}) AS own, lead(cell) OVER w AS ahead, lead(cell, 2) OVER w AS ahead2,
+            {_part_sql(text.DATE, 1)}::INTEGER AS a, {_part_sql(text.DATE, 2)}::INTEGER AS b, {_part_sql(text.DATE, 3)}::INTEGER AS y, {_part_sql(text.DATE_MONTH, 1)}::INTEGER AS d,
+            nullif(list_position({list(text.MONTHS)}, lower(left({_part_sql(text.DATE_MONTH, 2)}, 3))), 0) AS m, {_part_sql(text.DATE_MONTH, 3)}::INTEGER AS y2
+        FROM ended WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    dated AS (SELECT *, coalesce({_day_sql("y", "b", "a")}, {_day_sql("y", "a", "b")}, {_day_sql("y2", "m", "d")}) AS day, coalesce({_name_sql("own")}, {_name_sql("ahead")}, {_name_sql("ahead2")}) AS buyer FROM labelled),
+    whole AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS t FROM printed GROUP BY doc_id),
+    found AS (
+        SELECT doc_id, any_value(vendor) AS vendor_name, nullif(string_agg(cell, ', ' ORDER BY line) FILTER (inside AND (ends IS NULL OR line < ends)), '') AS vendor_address,
+            coalesce(arg_min(day, line) FILTER (regexp_matches(t, {_quoted(text.DATE_LABEL)})), arg_min(day, line))::VARCHAR AS invoice_date, (list(buyer ORDER BY line) FILTER (for_buyer))[1] AS buyer_name FROM dated GROUP BY doc_id)
+    SELECT found.*, nullif(regexp_extract(upper(t), {_quoted(text.GSTIN)}), '') AS vendor_gstin, {_part_sql(text.PHONE, 2)} AS vendor_phone, {_part_sql(text.EMAIL, 0)} AS vendor_email,
+        regexp_replace({_part_sql(text.INVOICE_NUMBER, 1)}, '^[ :\\-]+|[ :\\-]+$', '', 'g') AS invoice_number FROM found JOIN whole USING (doc_id)"""
+)
 def header_fields(spark, sf_dir):
+    """What the rules of a bill's head find on every document, taken as a printed page."""
     w = words(spark, sf_dir)
-    return fields.header_fields(layout.lines(w), layout.without_noise(w))
+    return fields.header_fields(cut(layout.lines(w)), layout.without_noise(w)).withColumn("invoice_date", F.col("invoice_date").cast("string"))
 
 
 @query()
