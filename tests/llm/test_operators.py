@@ -607,52 +607,69 @@ def test_token_files(docs):
     assert pfor.read(pfor.write(docs.limit(0), JSON, 2)).count() == 0
 
 
-def plain_scores(train, texts):
-    """Interpolated modified Kneser-Ney bigrams, by the formulas."""
+def plain_scores(train, texts, order):
+    """Interpolated modified Kneser-Ney n-grams, by the formulas."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
-    unigram, pair = Counter(), Counter()
+
+    def grams(w, k):
+        w = ["<s>", *w]
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+
+    unigram, counts = Counter(), {k: Counter() for k in range(1, order + 1)}
     for t in train:
-        w = tokens(t)
-        unigram.update(w)
-        pair.update(zip(["<s>", *w], w))
+        unigram.update(tokens(t))
+        counts[order].update(grams(tokens(t), order))
+        for k in range(2, order):
+            counts[k].update(grams(tokens(t), k)[:1])  # nothing stands before the start
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
     v, n = len(unigram), sum(unigram.values())
-    follows = Counter(w for _, w in pair)
-    context, kinds = Counter(), defaultdict(Counter)
-    for (a, _), c in pair.items():
-        context[a] += c
-        kinds[a][min(c, 3)] += 1
-    d2, d1 = (kneser_ney.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (pair, follows))
-    spare = sum(d1[min(c, 3)] for c in follows.values()) / len(pair) / (v + 1) if pair else 1 / (v + 1)
-
-    def p(a, b):
-        low = (max(follows[b] - d1[min(follows[b], 3)], 0) / len(pair) if pair else 0) + spare
-        if not context[a]:
-            return low
-        c = pair[a, b]
-        return max(c - d2[min(c, 3)], 0) / context[a] + sum(d2[k] * m for k, m in kinds[a].items()) / context[a] * low
+    off = {k: kneser_ney.discounts([sum(c == m for c in x.values()) for m in (1, 2, 3, 4)]) for k, x in counts.items()}
+    total, kinds = Counter(), defaultdict(Counter)
+    for k in counts:
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3)] += 1
+
+    def p(*g):
+        if not g:
+            return 1 / (v + 1)
+        lower, context, c = p(*g[1:]), g[:-1], counts[len(g)][g]
+        if not total[context]:
+            return lower
+        return max(c - off[len(g)][min(c, 3)], 0) / total[context] + sum(off[len(g)][m] * x for m, x in kinds[context].items()) / total[context] * lower
 
     out = []
     for i, t in texts:
         w = tokens(t)
-        out.append((i, len(w), sum(unigram[x] > 0 for x in w), sum(math.log10((unigram[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w], w))))
+        all_ = ["<s>", *w]
+        score = sum(math.log10(p(*all_[max(0, j - order + 1) : j + 1])) for j in range(1, len(all_)))
+        out.append((i, len(w), sum(unigram[x] > 0 for x in w), sum(math.log10((unigram[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), score))
     return out, p, unigram
 
 
-@pytest.mark.parametrize("file_bytes", [8_000_000, 2_000])
-def test_kneser_ney(spark, docs, monkeypatch, file_bytes):
+@pytest.mark.parametrize("file_bytes, order", [(8_000_000, 2), (2_000, 2), (2_000, 3), (4_000, 4), (8_000_000, 3)])
+def test_kneser_ney(spark, docs, monkeypatch, file_bytes, order):
     monkeypatch.setattr(kneser_ney, "FILE_BYTES", file_bytes)
     train = [t for k, (_, t) in enumerate(ROWS) if k % 3]
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    want, p, unigram = plain_scores(train, ROWS)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in train], "text string"), order=order)
+    want, p, unigram = plain_scores(train, ROWS, order)
     got = kneser_ney.score(docs, model).collect()
-    for g, w in zip(sorted_rows((r[0], r[1], r[2], round(r[3], 6), round(r[4], 6)) for r in got), sorted_rows((*w[:3], round(w[3], 6), round(w[4], 6)) for w in want)):
+    for g, w in zip(sorted_rows((r[0], r[1], r[2], round(r[3], 6), round(r[4], 6)) for r in got), sorted_rows((*w[:3], round(w[3], 6), round(w[4], 6)) for w in want), strict=True):
         assert g[:3] == w[:3] and g[3:] == pytest.approx(w[3:], rel=1e-6)
-    for a in ("<s>", b"the", b"nowhere"):  # all words and one unknown have probability one together
-        assert sum(p(a, w) for w in [*unigram, b"unknown"]) == pytest.approx(1)
+    seen = [tuple(x) for t in train for x in [["<s>", *(t or "").encode().lower().split()][: order - 1]]]
+    for a in [*seen[:3], ("<s>",), (b"the",), (b"nowhere",), (b"nowhere", b"the")[: order - 1]]:  # all words and one unknown have probability one together
+        assert sum(p(*a, w) for w in [*unigram, b"unknown"]) == pytest.approx(1)
+
+
+def test_shorter_models_than_pairs_are_refused(docs):
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs, order=1)
 
 
-def test_nothing_to_learn_from(spark, docs):
-    model = kneser_ney.train(docs.limit(0))
+@pytest.mark.parametrize("order", [2, 3])
+def test_nothing_to_learn_from(spark, docs, order):
+    model = kneser_ney.train(docs.limit(0), order=order)
     assert {(r["n_known"], round(r["score"], 9), round(r["base_score"], 9)) for r in kneser_ney.score(docs, model).collect()} == {(0, 0.0, 0.0)}
 
 
