@@ -184,8 +184,9 @@ def classify_headers(spark, sf_dir):
 )
 def header_score(spark, sf_dir):
     """Each document's line with the most column types, the first of equals."""
-    typed = words(spark, sf_dir).select("doc_id", "line_num", text.header_type(text.phrase(F.col("text"))).alias("t"))
-    scores = typed.groupBy("doc_id", "line_num").agg(F.count_distinct("t").alias("score")).where("score > 0")
+    typed = words(spark, sf_dir).withColumn("type", text.header_type(text.phrase(F.col("text")))).where("type is not null")
+    lines = typed.groupBy("doc_id", "line_num").agg(F.array_sort(F.collect_list(F.struct(F.col("left").alias("x"), "type"))).alias("info"))
+    scores = lines.select("doc_id", "line_num", F.size(tables.named_columns(F.col("info"))).cast("long").alias("score"))
     best = scores.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("line_num")).alias("up"))).alias("b"))
     return best.select("doc_id", F.col("b.score").alias("score"), (-F.col("b.up")).alias("header_line"))
 
@@ -221,13 +222,17 @@ def stop_rows(spark, sf_dir):
 )
 def continuation_merge(spark, sf_dir):
     """Rows without a number join the item before them; the first row of a bill always starts one."""
-    w = Window.partitionBy("bill_id")
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bill_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", (F.col("l_returnflag") == "R").alias("numeric"))
-    d = d.withColumn("row", F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
-    starts = F.when(F.col("numeric") | (F.col("row") == 1), 1).otherwise(0)
-    d = d.withColumn("item", F.sum(starts).over(w.orderBy("row").rowsBetween(Window.unboundedPreceding, 0)))
-    parts = F.array_sort(F.collect_list(F.struct("row", F.col("l_partkey").cast("string").alias("t"))))
-    return d.groupBy("bill_id", "item").agg(F.array_join(parts["t"], " ").alias("description"))
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    d = table(spark, sf_dir, "lineitem").withColumn("line", F.row_number().over(w))
+    # a line of each bill: a name in the first column, and in some a quantity in the second
+    page, name = [F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page")], F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
+    cell = lambda t, x: F.struct(t.alias("text"), F.lit(90.0).alias("confidence"), F.lit(x).alias("center_x"))
+    more = F.when(F.col("l_returnflag") == "R", F.array(cell(F.lit("1"), 900.0))).otherwise(F.array().cast("array<struct<text:string,confidence:double,center_x:double>>"))
+    lines = d.select(*page, "line", name.alias("text"), F.concat(F.array(cell(name, 100.0)), more).alias("cells"))
+    column = lambda t, x: F.struct(F.lit(t).alias("type"), F.lit(x).alias("x"))
+    header = d.select(*page).distinct().select("doc_id", "page", F.lit(0).alias("header_line"), F.array(column("description", 100.0), column("qty", 900.0)).alias("columns"))
+    rows = tables.headed_rows(lines, header)
+    return rows.select(F.col("doc_id").alias("bill_id"), "item", F.replace("description", F.lit("P"), F.lit("")).alias("description"))
 
 
 _RATE_INPUT = """printed AS (SELECT l_orderkey AS bill_id, l_linenumber AS serial_no, l_quantity::INTEGER AS q, (l_extendedprice * 100)::BIGINT AS cents, (l_tax * 100)::INTEGER AS g, l_orderkey % 5 AS k FROM lineitem)"""
