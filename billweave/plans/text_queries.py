@@ -183,9 +183,9 @@ def classify_headers(spark, sf_dir):
         SELECT doc_id, score, line AS header_line FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) = 1"""
 )
 def header_score(spark, sf_dir):
-    """Each document's line with the most column types, the first of equals."""
+    """Each document's line with the most column types, the first of equals; where the words stand doesn't matter to the number."""
     typed = words(spark, sf_dir).withColumn("type", text.header_type(text.phrase(F.col("text")))).where("type is not null")
-    lines = typed.groupBy("doc_id", "line_num").agg(F.array_sort(F.collect_list(F.struct(F.col("left").alias("x"), "type"))).alias("info"))
+    lines = typed.groupBy("doc_id", "line_num").agg(F.collect_list(F.struct(F.lit(0.0).alias("x"), "type")).alias("info"))
     scores = lines.select("doc_id", "line_num", F.size(tables.named_columns(F.col("info"))).cast("long").alias("score"))
     best = scores.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("line_num")).alias("up"))).alias("b"))
     return best.select("doc_id", F.col("b.score").alias("score"), (-F.col("b.up")).alias("header_line"))
