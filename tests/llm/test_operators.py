@@ -607,7 +607,7 @@ def test_token_files(docs):
     assert pfor.read(pfor.write(docs.limit(0), JSON, 2)).count() == 0
 
 
-def plain_scores(train, texts, order):
+def plain_scores(train, texts, order=2):
     """Interpolated modified Kneser-Ney n-grams, by the formulas."""
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
 
