@@ -51,7 +51,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = text.select("doc_id", "line", F.posexplode(F.regexp_extract_all("line_text", F.lit(r"[^ \t\r]+"), 0)).alias("i", "text"))
     before = F.coalesce(F.sum(F.length("text") * CHAR + F.when(F.col("i") % 4 == 3, GAP + 100).otherwise(GAP)).over(Window.partitionBy("doc_id", "line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return token.select(
-        "doc_id", F.lit(0).alias("page"), (F.col("line") * 100_000 + F.col("i")).alias("word_ord"), "text", F.lit(92.0).alias("confidence"), before.cast("int").alias("left"),
+        "doc_id", F.lit(0).alias("page"), (F.col("line").cast("long") * 100_000 + F.col("i")).alias("word_ord"), "text", F.lit(92.0).alias("confidence"), before.cast("int").alias("left"),
         (F.col("line") * LINE).alias("top"), (F.length("text") * CHAR).alias("width"), F.lit(HEIGHT).alias("height"), F.col("line").alias("line_num"), F.lit(1).alias("block_num"), F.lit(1).alias("par_num"),
     )
 
