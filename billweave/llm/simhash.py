@@ -160,7 +160,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_links(fps: np.ndarray, own: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, fingerprint) that connect all of a shard's linked nodes as its links do."""
+    """Edges (fingerprint, fingerprint) that connect all of a shard's linked nodes as its links do.
+
+    They depend on the nodes alone, not on their order, which differs between runs of a task.
+    """
+    order = np.argsort(fps)
+    fps, own = fps[order], own[order]
     out = Linked(len(fps))
     _search(np.flatnonzero(own), np.flatnonzero(~own), fps, radius, out, 0)
     label = out.fold()
@@ -196,9 +201,11 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node with an edge: the smallest node of its component.
 
     Min-label propagation over both directions with pointer jumping; rounds grow with the logarithm of the
-    longest path. Both aggregations combine before their shuffle; the joins can be split where a node is hot.
+    longest path. Both aggregations combine before their shuffle; the joins can be split where a node is hot. The two
+    directions come from one run over the edges: a second one may find other edges for the same components.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("way")
+    both = cut(edges.where("u <> v").select(ways).select("way.u", "way.v").distinct())
     label = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         heard = both.join(label, both.v == label.node).groupBy(F.col("u").alias("node")).agg(F.min("root").alias("heard"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -11,6 +12,7 @@ from functools import cache
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -376,6 +378,24 @@ def test_blocks_of_shards_lose_no_pair(spark, block):
     assert (got == want).all()
 
 
+def test_links_of_a_shard_do_not_hang_on_its_order():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    fps, own = np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(6)]), np.arange(180) % 5 > 0
+    some, other = (sorted(zip(*(x.tolist() for x in simhash.shard_links(fps[at], own[at])))) for at in (np.arange(180), rng.permutation(180)))
+    assert some == other and len(some) > 60
+
+
+def test_components_of_edges_that_differ_between_runs(spark):
+    def star(batches):  # the same nodes about another middle each time
+        for pdf in batches:
+            middle = int.from_bytes(os.urandom(2), "little") % 1000
+            yield pd.DataFrame({"u": pdf["id"], "v": middle})
+
+    got = simhash.components(spark.range(0, 1000, 1, 1).mapInPandas(star, "u long, v long")).collect()
+    assert sorted(tuple(r) for r in got) == [(i, 0) for i in range(1000)]
+
+
 def test_components_of_a_chain(spark):
     order = list(range(40))
     _RNG.shuffle(order)
