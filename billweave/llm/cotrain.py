@@ -49,11 +49,12 @@ STEPS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 PLAIN, SHAPE_VALUE = 1 << 30, 2.0
 REMEMBER = 300_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_digest, _LOW = xxhash.xxh32_intdigest, 0x3FFFFFFF
 _SYMBOLS, _UPPER = b"#*$%&|<>~^{}\\", bytes(range(0x41, 0x5B))
 
 
 def feature(name: str | bytes) -> int:
-    return xxhash.xxh32_intdigest(name) & 0x3FFFFFFF
+    return _digest(name) & _LOW
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -64,9 +65,10 @@ def word_features(word: bytes) -> tuple[int, ...]:
     else:
         text = w.decode("utf-8", "replace")
         four, five, n = text[:4].encode(), text[:5].encode(), len(text)
+    own = _digest(b"w " + w) & _LOW  # as ``feature`` does
     if n > 5:
-        return feature(b"w " + w), feature(b"p4 " + four), feature(b"p5 " + five)
-    return (feature(b"w " + w), feature(b"p4 " + four)) if n > 4 else (feature(b"w " + w),)
+        return own, _digest(b"p4 " + four) & _LOW, _digest(b"p5 " + five) & _LOW
+    return (own, _digest(b"p4 " + four) & _LOW) if n > 4 else (own,)
 
 
 def level(x: float) -> int:
@@ -114,16 +116,55 @@ class Rows:
         self.f, self.sizes, self.n = f.astype(np.int32, copy=False), sizes, len(sizes)
         self.row = np.repeat(np.arange(self.n), sizes)
 
-    def values(self) -> np.ndarray:
-        """A row's features count less in long rows, so that many faint words don't outweigh a few plain ones."""
-        usual = np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, self.sizes)))
-        return np.where(self.f >= PLAIN, SHAPE_VALUE, usual[self.row])
+    def places(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the rows' features stand among the known ones, and how many known ones each row has."""
+        at, hit = looked_up(known, self.f)
+        return at[hit], np.bincount(self.row[hit], minlength=self.n)
+
+    def logits(self, view: View) -> np.ndarray:
+        return np.bincount(self.row, view.weights(self.f), self.n) * usual(self.sizes) + view.b  # metadata has no shape
 
     def each(self) -> list[np.ndarray]:
         ends = np.cumsum(self.sizes).tolist()
         return [self.f[a:b] for a, b in zip([0, *ends], ends)]
 
 
+class Texts:
+    """Texts as they are read: each different word's features once (``f``, ``sizes`` of them a word), which words stand in each of
+    ``n`` texts (``doc``, ``word``, by text), and the features of the texts' shapes. What is asked of a feature is asked once a word."""
+
+    def __init__(self, n: int, f: np.ndarray, sizes: np.ndarray, doc: np.ndarray, word: np.ndarray, shapes: np.ndarray, more: np.ndarray):
+        self.n, self.f, self.word_sizes, self.doc, self.word, self.shapes, self.more = n, f, sizes, doc, word, shapes, more
+        self.sizes = np.bincount(doc, sizes[word], n).astype(np.int64) + more
+
+    def _by_text(self, f: np.ndarray, sizes: np.ndarray, shapes: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values a text and how many it has: those of its words, then those of its shape."""
+        n = sizes[self.word]
+        ends = np.cumsum(n)
+        first = np.cumsum(sizes) - sizes
+        words = f[np.repeat(first[self.word] - (ends - n), n) + np.arange(ends[-1])] if len(n) else f[:0]
+        have = np.bincount(self.doc, n, self.n).astype(np.int64)
+        out = np.empty(len(words) + len(shapes), f.dtype)
+        out[np.arange(len(words)) + np.repeat(np.cumsum(more) - more, have)] = words
+        out[np.arange(len(shapes)) + np.repeat(np.cumsum(have), more)] = shapes
+        return out, have + more
+
+    def rows(self) -> Rows:
+        return Rows(*self._by_text(self.f, self.word_sizes, self.shapes, self.more))
+
+    def places(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``rows().places(known)``."""
+        (at, hit), (shape_at, shape_hit) = looked_up(known, self.f), looked_up(known, self.shapes)
+        word, doc = np.repeat(np.arange(len(self.word_sizes)), self.word_sizes), np.repeat(np.arange(self.n), self.more)
+        sizes, more = np.bincount(word[hit], minlength=len(self.word_sizes)), np.bincount(doc[shape_hit], minlength=self.n)
+        return self._by_text(at[hit], sizes, shape_at[shape_hit], more)
+
+    def logits(self, view: View) -> np.ndarray:
+        of_word = np.bincount(np.repeat(np.arange(len(self.word_sizes)), self.word_sizes), view.weights(self.f), len(self.word_sizes))
+        of_shape = np.bincount(np.repeat(np.arange(self.n), self.more), view.weights(self.shapes), self.n)
+        return np.bincount(self.doc, of_word[self.word], self.n) * usual(self.sizes) + SHAPE_VALUE * of_shape + view.b
+
+
 class Reader:
     """Rows to features; remembers the words it has met, up to a bound."""
 
@@ -132,6 +173,9 @@ class Reader:
         self.about: dict[tuple, tuple[int, ...]] = {}
 
     def text(self, texts: list[str]) -> Rows:
+        return self.read(texts).rows()
+
+    def read(self, texts: list[str]) -> Texts:
         """Of each text its different words, in lower case, with their beginnings, and its shape."""
         content, seen, number = [t.encode("utf-8", "replace") for t in texts], self.memo, {}
         which, written, n_words = split_words(content)
@@ -141,7 +185,7 @@ class Reader:
         seen.update((w, word_features(w)) for w in number if w not in seen)
         own = [seen[w] for w in number]
         sizes = np.array([len(x) for x in own], np.int64)
-        flat, first = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum()))
         doc, word = np.repeat(np.arange(len(texts)), n_words), lower[which] if len(which) else which
         pairs = np.sort(doc * max(1, len(number)) + word)
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
@@ -149,14 +193,8 @@ class Reader:
         distinct = np.bincount(in_doc, minlength=len(texts))
         same = np.bincount(doc[1:][(word[1:] == word[:-1]) & (doc[1:] == doc[:-1])], minlength=len(texts))
         shapes = list(map(shape, texts, content, n_words.tolist(), distinct.tolist(), same.tolist()))
-        n = sizes[of_word]
-        words = flat[np.repeat(first[of_word] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(n) else flat[:0]
-        in_row, more = np.repeat(in_doc, n), np.array([len(x) for x in shapes], np.int64)
-        have = np.bincount(in_row, minlength=len(texts))
-        out = np.empty(len(words) + int(more.sum()), np.int32)
-        out[np.arange(len(words)) + (np.cumsum(more) - more)[in_row]] = words  # a row's words, then its shape
-        out[np.arange(int(more.sum())) + np.repeat(np.cumsum(have), more)] = np.fromiter(chain.from_iterable(shapes), np.int32, int(more.sum()))
-        return Rows(out, have + more)
+        more = np.array([len(x) for x in shapes], np.int64)
+        return Texts(len(texts), flat, sizes, in_doc, of_word, np.fromiter(chain.from_iterable(shapes), np.int32, int(more.sum())), more)
 
     def meta(self, *columns: list) -> Rows:
         if len(self.about) > REMEMBER:
@@ -186,16 +224,10 @@ class View:
     def __init__(self):
         self.features, self.w, self.b = np.empty(0, np.int64), np.empty(0), 0.0
 
-    def _columns(self, x: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not len(self.features):
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        at = np.minimum(np.searchsorted(self.features, x.f), len(self.features) - 1)
-        hit = self.features[at] == x.f
-        return at[hit], x.row[hit], x.values()[hit]
-
-    def logits(self, x: Rows) -> np.ndarray:
-        cols, rows, value = self._columns(x)
-        return np.bincount(rows, self.w[cols] * value, x.n) + self.b
+    def weights(self, f: np.ndarray) -> np.ndarray:
+        """Of each feature its weight, or zero."""
+        at, hit = looked_up(self.features, f)
+        return np.where(hit, self.w[at], 0.0) if len(self.w) else np.zeros(len(f))
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 100) -> np.ndarray:
@@ -235,8 +267,8 @@ class Model:
     def __init__(self, text: View, meta: View, calibration: list[np.ndarray], combination: np.ndarray):
         self.views, self.calibration, self.combination = (text, meta), calibration, combination
 
-    def probability(self, text: Rows, meta: Rows) -> np.ndarray:
-        z = [np.column_stack([v.logits(x), np.ones(x.n)]) @ c for v, x, c in zip(self.views, (text, meta), self.calibration)]
+    def probability(self, text: Texts, meta: Rows) -> np.ndarray:
+        z = [np.column_stack([x.logits(v), np.ones(x.n)]) @ c for v, x, c in zip(self.views, (text, meta), self.calibration)]
         return sigmoid(np.column_stack([*z, np.ones(text.n)]) @ self.combination)
 
 
@@ -247,36 +279,46 @@ def frequent(rows: list[np.ndarray], least: int = 5) -> np.ndarray:
     return found[np.sort(common[np.argsort(-counts[common], kind="stable")][:CANDIDATES])]
 
 
-def places(known: np.ndarray, x: Rows) -> tuple[np.ndarray, np.ndarray]:
-    """Where the rows' features stand among the known ones, and how many known ones each row has."""
-    at = np.searchsorted(known, x.f)
+def looked_up(known: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each feature stands among the known ones in order, and whether it does."""
+    at = np.searchsorted(known, f)
     at[at == len(known)] = 0
-    hit = known[at] == x.f if len(known) else np.zeros(len(at), bool)
-    return at[hit], np.bincount(x.row[hit], minlength=x.n)
+    return at, known[at] == f if len(known) else np.zeros(len(at), bool)
+
+
+def usual(sizes: np.ndarray) -> np.ndarray:
+    """What a row's features count: less in long rows, so that many faint words don't outweigh a few plain ones."""
+    return np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))
 
 
 class Part:
-    """Rows of one view as places of candidates."""
+    """Rows of one view as places of candidates, in each row those of words first; sums go over runs of equal value."""
 
-    def __init__(self, known: np.ndarray, at: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, used: np.ndarray | None = None):
-        self.n, self.k, self.at, self.row = len(lengths), len(known), at, np.repeat(np.arange(len(lengths)), lengths)
-        if used is not None:
-            hit = used[at]
-            self.at, self.row = at[hit], self.row[hit]
-            at = self.at
-        usual = np.sqrt(np.minimum(1.0, USUAL / np.maximum(1, sizes)))
-        self.value = np.where((known >= PLAIN)[at], SHAPE_VALUE, usual[self.row]) if len(at) else np.empty(0)
+    def __init__(self, known: np.ndarray, at: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
+        self.n, self.k, self.at = len(lengths), len(known), at
+        shapes = np.flatnonzero(at >= np.searchsorted(known, PLAIN))
+        more = np.bincount(np.searchsorted(np.cumsum(lengths), shapes, "right"), minlength=self.n)
+        self.runs = np.column_stack([lengths - more, more]).reshape(-1)
+        self.full = np.flatnonzero(self.runs)
+        self.starts = (np.cumsum(self.runs) - self.runs)[self.full]
+        self.value = np.column_stack([usual(sizes), np.full(self.n, SHAPE_VALUE)])
 
     def logits(self, w: np.ndarray) -> np.ndarray:
         """Of weights with the intercept last."""
-        return np.bincount(self.row, w[self.at] * self.value, self.n) + w[-1]
+        sums = np.zeros(2 * self.n)
+        if len(self.full):
+            sums[self.full] = np.add.reduceat(w[self.at], self.starts)
+        return (sums.reshape(-1, 2) * self.value).sum(axis=1) + w[-1]
 
     def gradient(self, r: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(self.at, r[self.row] * self.value, self.k), r.sum())
+        return self._added(r[:, None] * self.value, r)
 
     def counts(self, r: np.ndarray) -> np.ndarray:
         """How often each candidate stands in the rows, weighted; last, the sum of the weights."""
-        return np.append(np.bincount(self.at, r[self.row], self.k), r.sum())
+        return self._added(np.column_stack([r, r]), r)
+
+    def _added(self, each: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, np.repeat(each.reshape(-1), self.runs), self.k), r.sum())
 
 
 def given(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -296,9 +338,9 @@ class Pool:
 
             def work(c):
                 out = [c[0]]
-                rows = read.text(c[4]), read.meta(*c[1:4])
+                rows = read.read(c[4]), read.meta(*c[1:4])
                 for v in (0, 1):
-                    at, n = places(known[v], rows[v])
+                    at, n = rows[v].places(known[v])
                     data, ends = at.astype(np.uint16).tobytes(), (2 * np.cumsum(n)).tolist()
                     out.append([data[a:b] for a, b in zip([0, *ends], ends)])
                 return out + [x.sizes.tolist() for x in rows]
@@ -318,14 +360,13 @@ class Pool:
         """By view, over all rows to which the other view gives a label: counts of the rows and of the bad ones with each
         candidate; or, of the ``new`` weights, the gradient by the candidates that are kept, and zeros."""
         known = self.known
-        used = [None if new is None else keep[v] | (views[v][:-1] != 0) for v in (0, 1)]
         starts = np.cumsum([0, *(len(k) + 1 for k in known)])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((2, starts[-1]))
             for block in (part for whole in batches for part in slices(whole, 1)):
                 cells = [c[0].as_py() for c in block.columns[1:]]
-                x = [Part(known[v], np.frombuffer(cells[3 * v], np.uint16).astype(np.int64), *(np.frombuffer(c, np.int32) for c in cells[3 * v + 1 : 3 * v + 3]), used[v]) for v in (0, 1)]
+                x = [Part(known[v], np.frombuffer(cells[3 * v], np.uint16).astype(np.int64), *(np.frombuffer(c, np.int32) for c in cells[3 * v + 1 : 3 * v + 3])) for v in (0, 1)]
                 for v in (0, 1):
                     z = x[1 - v].logits(views[1 - v])
                     sure, bad = given(sigmoid(z * calibration[1 - v][0] + calibration[1 - v][1]))
@@ -334,6 +375,8 @@ class Pool:
                         own += [x[v].counts(sure), x[v].counts(bad)]
                     else:
                         own[0] += x[v].gradient(sure * (sigmoid(x[v].logits(new[v])) - bad))
+            if new is not None:
+                total[0] *= np.concatenate([np.append(k, True) for k in keep])
             at = np.flatnonzero(total.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], ["at", "a", "b"])
 
@@ -358,7 +401,7 @@ def cotrain(text: list, meta: list, y: np.ndarray, pool: Pool, rounds: int = ROU
     """Fit on labelled rows and the pool."""
     known = pool.known
     sizes = [np.array([len(x) for x in rows]) for rows in (text, meta)]
-    at = [[places(k, Rows(x, np.array([len(x)])))[0] for x in rows] for k, rows in zip(known, (text, meta))]
+    at = [[Rows(x, np.array([len(x)])).places(k)[0] for x in rows] for k, rows in zip(known, (text, meta))]
     held_out = np.arange(len(y)) % 4 == 3
 
     def part(v: int, which: np.ndarray) -> Part:
@@ -468,7 +511,7 @@ def bad_probability(model: Model | None, text: Column, lang: Column, source: Col
             done = []
             for i in range(0, len(columns[0]), 1000):
                 t, *about = (c.slice(i, 1000).to_pylist() for c in columns)
-                done.append(model.probability(read.text(t), read.meta(*about)))
+                done.append(model.probability(read.read(t), read.meta(*about)))
             yield pa.array(np.concatenate(done) if done else [], pa.float64())
 
     return score(F.coalesce(text.cast("string"), F.lit("")), lang.cast("string"), source.cast("string"), n_chars.cast("long"))

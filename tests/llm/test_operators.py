@@ -501,6 +501,23 @@ def test_views_exchange_labels(spark):
     assert n_sure > 10
 
 
+def test_reading_looks_up_each_word_once(monkeypatch):
+    """Places and logits come from a look-up of the batch's different words, not of every text's; equal to those by rows."""
+    texts = ["", None, " \n ", "?! #", *(prose(80, k) + "\nStones stones " * (k % 3) for k in range(200)), "日本日本日本 " * 400, ""]
+    rows, got, asked = cotrain.Reader().text([t or "" for t in texts]), cotrain.Reader().read([t or "" for t in texts]), []
+    plain = np.searchsorted
+    monkeypatch.setattr(cotrain.np, "searchsorted", lambda a, v, *more: asked.append(np.size(v)) or plain(a, v, *more))
+    known = cotrain.frequent(rows.each(), 2)
+    assert (got.sizes == rows.sizes).all() and all((a == b).all() for a, b in zip(got.places(known), rows.places(known)))
+    assert sum(asked[:2]) < len(rows.f) / 3 and len(known) > 60
+    view, rng = cotrain.View(), np.random.default_rng(3)
+    view.features, view.b = known[::2], 0.25
+    view.w = rng.normal(0, 1, len(view.features))
+    w, share = dict(zip(view.features.tolist(), view.w)), [min(1.0, cotrain.USUAL / max(1, n)) ** 0.5 for n in rows.sizes.tolist()]
+    want = [0.25 + sum(w.get(x, 0) * (cotrain.SHAPE_VALUE if x >= cotrain.PLAIN else s) for x in f.tolist()) for f, s in zip(rows.each(), share)]
+    assert np.allclose(got.logits(view), want)
+
+
 def test_ledger(docs):
     rows = ledger.apply_policy(ledger.ledger(docs), "v1")
     db = duckdb.connect()
