@@ -80,7 +80,7 @@ def encode_block(ids: np.ndarray, percent: int = PERCENT) -> tuple[bytes, int, i
     """(payload, minimum, width, exceptions) of a non-empty block."""
     minimum = int(ids.min())
     rest = (ids - np.uint32(minimum)).astype(np.uint64)
-    sizes = np.bincount(np.ceil(np.log2(rest + np.uint64(1))).astype(int), minlength=33)  # bits each value needs
+    sizes = np.bincount(np.frexp(rest.astype(float))[1], minlength=33)  # bits each value needs
     width = int(np.searchsorted(np.cumsum(sizes), percent * len(ids) / 100))
     odd = np.flatnonzero(rest >> np.uint64(width)).astype("<u4")
     high = (rest[odd] >> np.uint64(width)).astype("<u4")

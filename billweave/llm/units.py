@@ -2,7 +2,8 @@
 
 A unit is what begins at a single space that has a non-space on either side, or at the text's start. A byte-level
 pre-tokenizer always starts a new piece at such a space, and what follows it depends on nothing before it, so a text's ids
-are its units' ids in order. Many texts are taken together: their units are found and counted as Arrow binary dictionaries,
+are its units' ids in order. Where a pre-tokenizer never takes punctuation or a line's end together with letters (``Encoder``), units
+also begin at a mark after an ASCII letter and after a line's end between non-spaces, so that a word is the same unit before any mark. Many texts are taken together: their units are found and counted as Arrow binary dictionaries,
 so that Python sees each of them once, and a worker keeps the ids of the units and words it met lately, up to a bound.
 """
 
@@ -28,6 +29,7 @@ UNITS, WORDS = 150_000, 300_000
 #: Characters of texts taken together.
 TEXT = 8_000_000
 _WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _MARKS = frozenset(bytes([b]) for b in b".,;:!?)\"'")
 
@@ -44,13 +46,12 @@ class Recent:
         """The keys not remembered; all others are in ``now`` until the next call."""
         if len(self.now) > self.size:
             self.now, self.before = {}, self.now
-        now, old, absent = self.now, self.before, []
-        for key in keys:
-            if key not in now:
-                if (got := old.get(key)) is None:
-                    absent.append(key)
-                else:
-                    now[key] = got
+        now, old = self.now, self.before
+        absent = [key for key in keys if key not in now]
+        if old:
+            again = [key for key in absent if key in old]
+            now.update(zip(again, map(old.__getitem__, again)))
+            absent = [key for key in absent if key not in old]
         return absent
 
 
@@ -73,8 +74,9 @@ class UnitCoder:
     a text is one unit.
     """
 
-    def __init__(self, divide: Callable[[str], list[str]], learn: Callable[[list[bytes]], list[bytes]], cut: bool):
+    def __init__(self, divide: Callable[[str], list[str]], learn: Callable[[list[bytes]], list[bytes]], cut: bool, marks: bytes | None = None):
         self.divide, self.learn, self.cut = divide, learn, cut
+        self.marks = None if marks is None else np.isin(np.arange(256), list(marks))
         self.units, self.words = Recent(UNITS), Recent(WORDS)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
@@ -83,7 +85,7 @@ class UnitCoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         content = [t.encode() for t in texts]
         ends = np.cumsum([len(c) for c in content])
-        starts, data = unit_starts(texts, content, ends, self.cut), b"".join(content)
+        starts, data = unit_starts(texts, content, ends, self.cut, self.marks), b"".join(content)
         offsets = np.append(starts, len(data))
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         which, distinct = units.indices.to_numpy(), cells(units.dictionary)
@@ -101,25 +103,29 @@ class UnitCoder:
         """Learn units not met lately."""
         one, more = [], {}
         for u in fresh:
-            if self.cut and u[:1] == b" " and u[1:].isalpha():  # ASCII letters
+            if self.cut and (u[1:] if u[:1] == b" " else u).isalpha():  # ASCII letters
                 one.append(u)
             elif self.cut and u[:1] == b" " and u[1:-1].isalpha() and u[-1:] in _MARKS:
                 more[u] = (u[:-1], u[-1:])
             else:
                 text = u.decode()
-                if self.cut and u[:1] == b" " and text[1:].isalpha() and not _BEYOND.search(text):
+                plain, word = self.cut and not _BEYOND.search(text), text.removeprefix(" ")
+                if plain and word.isalpha():
                     one.append(u)
+                elif plain and word[:-1].isalpha() and u[-1:] in _MARKS:
+                    more[u] = (u[:-1], u[-1:])
                 else:
                     more[u] = [w.encode() for w in self.divide(text)]
         new = self.words.missing(list(dict.fromkeys(chain(one, chain.from_iterable(more.values())))))
         words, units = self.words.now, self.units.now
         words.update(zip(new, self.learn(new), strict=True))
-        units.update((u, words[u]) for u in one)
-        units.update((u, b"".join([words[w] for w in parts])) for u, parts in more.items())
+        units.update(zip(one, map(words.__getitem__, one)))
+        known = words.__getitem__
+        units.update((u, known(parts[0]) + known(parts[1]) if len(parts) == 2 else b"".join(map(known, parts))) for u, parts in more.items())
 
 
-def unit_starts(texts: list[str], content: list[bytes], ends: np.ndarray, cut: bool) -> np.ndarray:
-    """Byte places in the contents, one after the other, where units start."""
+def unit_starts(texts: list[str], content: list[bytes], ends: np.ndarray, cut: bool, marks: np.ndarray | None = None) -> np.ndarray:
+    """Byte places in the contents, one after the other, where units start; with ``marks`` (by byte), at these and after lines too."""
     sizes = np.array([len(c) for c in content], np.int64)
     own = (ends - sizes)[sizes > 0]
     if not cut or not len(own):
@@ -132,6 +138,9 @@ def unit_starts(texts: list[str], content: list[bytes], ends: np.ndarray, cut: b
     start = np.zeros(len(raw), bool)
     start[1:-1] = (raw[1:-1] == 0x20) & ~white[:-2] & ~white[2:]
     start[ends[sizes > 0] - 1] = False  # a text's last character
+    if marks is not None:
+        start[1:] |= marks[raw[1:]] & _LETTER[raw[:-1]]
+        start[2:] |= (raw[1:-1] == 0x0A) & ~white[:-2] & ~white[2:]
     start[own] = True
     return np.flatnonzero(start)
 
@@ -160,23 +169,24 @@ class Encoder(UnitCoder):
         self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.letters = {b: c for b, c in _byte_letters()}
         self.mark = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
-        super().__init__(lambda unit: [unit] if self._odd(unit) else _PIECES.findall(unit), self._ids, True)
+        super().__init__(lambda unit: [unit] if self._odd(unit) else _PIECES.findall(unit), self._ids, True, b"".join(_MARKS - {bytes([b]) for x in self.specials for b in x.encode()}))
 
     def _odd(self, unit: str) -> bool:
         """Whether the library takes the unit as a whole: it has a special string, or letters beyond those agreed on."""
         return bool(not unit.isascii() and _BEYOND.search(unit) or self.mark.search(unit))
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
-        space, out, tokenize = self.letters[0x20], [], self.model.tokenize
+        space, ids, ends, tokenize = self.letters[0x20], [], [0], self.model.tokenize
         for w in words:
-            if w[1:].isalpha() and w[:1] == b" ":
-                ids = [t.id for t in tokenize(space + w[1:].decode())]
+            if w[:1] == b" " and (rest := w[1:]).isalpha():
+                ids += [t.id for t in tokenize(space + rest.decode())]
             elif self._odd(text := w.decode()):
-                ids = self.tok.encode(text, add_special_tokens=False).ids
+                ids += self.tok.encode(text, add_special_tokens=False).ids
             else:
-                ids = [t.id for t in tokenize(w.decode("latin-1").translate(self.letters))]
-            out.append(array("I", ids).tobytes())
-        return out
+                ids += [t.id for t in tokenize(w.decode("latin-1").translate(self.letters))]
+            ends.append(4 * len(ids))
+        data = array("I", ids).tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0].tobytes()

@@ -21,7 +21,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from billweave.llm import byte_bpe, cotrain, decontaminate, html_text, kneser_ney, ledger, pfor, queries, secrets, simhash, token_counts
-from billweave.llm.units import Encoder, encoder
+from billweave.llm.units import Encoder, encoder, load
 
 RANKS, JSON = public_tokenizers.path(queries.BPE_RANKS), public_tokenizers.path(queries.BPE_JSON)
 _RNG = random.Random(7)
@@ -317,6 +317,22 @@ def plain_components(pairs_of, n):
     return label
 
 
+def test_units_are_the_same_before_any_mark_and_line():
+    """A word is met once whatever mark or line follows it, and told apart without the pattern, beyond ASCII too; ids are the library's."""
+    enc, plain, divided, met = Encoder(JSON), load(JSON), [], []
+    divide, meet = enc.divide, enc._meet
+    enc.divide = lambda unit: divided.append(unit) or divide(unit)
+    enc._meet = lambda fresh: met.extend(fresh) or meet(fresh)
+    stems = [f"{a}{k:x}e".translate(str.maketrans("0123456789", "ghijklmnop")) for k in range(500) for a in ("été", "lampe")]
+    texts = [" ".join(w + mark for w in stems) for mark in ("", ",", ".", "!", ".\nAn", ";", "?\nÉté")]
+    odd = ["a ª. º, é' é's É's. ñ1, ñ\u0301. \u0250, é.. <unk>é. ß", "it's, don't. x'\n'y' a\n\nb\n", "\na.\n", "a,\n\u3000b.\n\u00a0c\nd", "a<|endoftext|>.\nb <|endoftext|>\nx.<|endof", "a\r\nb.\r\n c\n d \ne\x1c\nf", "I'll.'ll a''b.c,d", "日本x,\n日本.x\u0301,", "\n", "a", ",", "\na", "a\n"]
+    texts += odd + ["".join(random.Random(k).choices(["a", "ab", "é", "日", " ", "\n", "\r", ",", ".", "'", "s", "1", "\x85", "<|endoftext|>", "\""], k=40)) for k in range(2000)]
+    got = enc.encode_all(texts[:7])
+    assert len(met) < 1.1 * len(stems) and len(divided) < 20
+    got += enc.encode_all(texts[7:])
+    assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_simhash_groups(spark, docs):
     more = [(100 + k, prose(60, k // 3) + (" tail" if k % 3 else "")) for k in range(60)]
     frame = docs.select("doc_id", "text", "fp").unionByName(spark.createDataFrame([(*m, "x") for m in more], "doc_id long, text string, fp string"))
