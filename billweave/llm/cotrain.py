@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain
 
 import numpy as np
@@ -49,6 +50,7 @@ STEPS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 PLAIN, SHAPE_VALUE = 1 << 30, 2.0
 REMEMBER = 300_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LAST = (1 << 20) - 1
 _digest, _LOW = xxhash.xxh32_intdigest, 0x3FFFFFFF
 _SYMBOLS, _UPPER = b"#*$%&|<>~^{}\\", bytes(range(0x41, 0x5B))
 
@@ -281,9 +283,17 @@ def frequent(rows: list[np.ndarray], least: int = 5) -> np.ndarray:
 
 def looked_up(known: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each feature stands among the known ones in order, and whether it does."""
-    at = np.searchsorted(known, f)
-    at[at == len(known)] = 0
-    return at, known[at] == f if len(known) else np.zeros(len(at), bool)
+    at, hit = np.zeros(len(f), np.int64), np.zeros(len(f), bool)
+    if len(known):
+        some = slice(None)
+        if len(f) > len(known):  # most are unknown, which the last bits tell without a search
+            last = np.zeros(_LAST + 1, bool)
+            last[known & _LAST] = True
+            some = np.flatnonzero(last[f & _LAST])
+        found = np.searchsorted(known, f[some])
+        found[found == len(known)] = 0
+        at[some], hit[some] = found, known[found] == f[some]
+    return at, hit
 
 
 def usual(sizes: np.ndarray) -> np.ndarray:
@@ -295,13 +305,21 @@ class Part:
     """Rows of one view as places of candidates, in each row those of words first; sums go over runs of equal value."""
 
     def __init__(self, known: np.ndarray, at: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
-        self.n, self.k, self.at = len(lengths), len(known), at
+        self.k, self.at, self.value = len(known), at, np.column_stack([usual(sizes), np.full(len(lengths), SHAPE_VALUE)])
         shapes = np.flatnonzero(at >= np.searchsorted(known, PLAIN))
-        more = np.bincount(np.searchsorted(np.cumsum(lengths), shapes, "right"), minlength=self.n)
-        self.runs = np.column_stack([lengths - more, more]).reshape(-1)
-        self.full = np.flatnonzero(self.runs)
-        self.starts = (np.cumsum(self.runs) - self.runs)[self.full]
-        self.value = np.column_stack([usual(sizes), np.full(self.n, SHAPE_VALUE)])
+        more = np.bincount(np.searchsorted(np.cumsum(lengths), shapes, "right"), minlength=len(lengths))
+        self._divide(np.column_stack([lengths - more, more]).reshape(-1))
+
+    def _divide(self, runs: np.ndarray) -> None:
+        self.n, self.runs, self.full = len(runs) // 2, runs, np.flatnonzero(runs)
+        self.starts = (np.cumsum(runs) - runs)[self.full]
+
+    def only(self, rows: np.ndarray) -> Part:
+        """Some of its rows."""
+        out, both = copy(self), np.repeat(rows, 2)
+        out.at, out.value = self.at[np.repeat(both, self.runs)], self.value[rows]
+        out._divide(self.runs[both])
+        return out
 
     def logits(self, w: np.ndarray) -> np.ndarray:
         """Of weights with the intercept last."""
@@ -370,11 +388,13 @@ class Pool:
                 for v in (0, 1):
                     z = x[1 - v].logits(views[1 - v])
                     sure, bad = given(sigmoid(z * calibration[1 - v][0] + calibration[1 - v][1]))
-                    own = total[:, starts[v] : starts[v + 1]]
+                    own, mine, rows = total[:, starts[v] : starts[v + 1]], x[v], sure > 0
+                    if 2 * rows.sum() < mine.n:
+                        mine, sure, bad = mine.only(rows), sure[rows], bad[rows]
                     if new is None:
-                        own += [x[v].counts(sure), x[v].counts(bad)]
+                        own += [mine.counts(sure), mine.counts(bad)]
                     else:
-                        own[0] += x[v].gradient(sure * (sigmoid(x[v].logits(new[v])) - bad))
+                        own[0] += mine.gradient(sure * (sigmoid(mine.logits(new[v])) - bad))
             if new is not None:
                 total[0] *= np.concatenate([np.append(k, True) for k in keep])
             at = np.flatnonzero(total.any(axis=0))
@@ -447,7 +467,7 @@ def cotrain(text: list, meta: list, y: np.ndarray, pool: Pool, rounds: int = ROU
     views = []
     for v in (0, 1):
         view = View()
-        view.features, view.w, view.b = known[v][keep[v]].astype(np.int64), w[v][:-1][keep[v]], float(w[v][-1])
+        view.features, view.w, view.b = known[v][keep[v]], w[v][:-1][keep[v]], float(w[v][-1])
         views.append(view)
     z = np.column_stack([calibrating[v].logits(w[v]) * calibration[v][0] + calibration[v][1] for v in (0, 1)])
     return Model(*views, calibration, platt(z, theirs))

@@ -534,6 +534,17 @@ def test_reading_looks_up_each_word_once(monkeypatch):
     assert np.allclose(got.logits(view), want)
 
 
+def test_sums_over_some_rows_only():
+    rng, known = np.random.default_rng(9), np.array([3, 8, 20, cotrain.PLAIN + 1, cotrain.PLAIN + 7], np.int32)
+    lengths = np.array([0, 3, 5, 0, 2, 1, 0])
+    at = np.array([0, 2, 4, 1, 1, 2, 3, 4, 0, 1, 3])
+    part, w, r = cotrain.Part(known, at, lengths, lengths * 200), rng.normal(0, 1, 6), rng.normal(0, 1, 7)
+    for rows in (np.array([1, 0, 1, 0, 0, 1, 1], bool), np.zeros(7, bool), np.ones(7, bool)):
+        some = part.only(rows)
+        assert np.allclose(some.logits(w), part.logits(w)[rows])
+        assert np.allclose(some.gradient(r[rows]), part.gradient(r * rows)) and np.allclose(some.counts(r[rows]), part.counts(r * rows))
+
+
 def test_ledger(docs):
     rows = ledger.apply_policy(ledger.ledger(docs), "v1")
     db = duckdb.connect()
