@@ -1,5 +1,6 @@
 """The relational store, extraction end to end, uploads as a stream, and the shape of plans."""
 
+import os
 from decimal import Decimal
 
 import pytest
@@ -305,3 +306,34 @@ def test_sure_pages_are_not_tried_again(spark):
     rows = [("a", 0, 1, 0.8), ("a", 0, 2, 0.9), ("b", 0, 1, 0.4), ("b", 0, 2, 0.3), ("c", 0, 1, 0.4), ("c", 0, 2, 0.76), ("c", 0, 3, 0.99)]
     got = uploads.best_attempt(spark.createDataFrame(rows, "doc_id string, page int, attempt int, confidence double")).collect()
     assert {r["doc_id"]: (r["attempt"], r["attempts_used"]) for r in got} == {"a": (1, 1), "b": (1, 2), "c": (2, 2)}
+
+
+def exchanges(df):
+    text_of = df._jdf.queryExecution().executedPlan().toString()
+    return text_of.count("Exchange hashpartitioning"), "ExistingRDD" in text_of
+
+
+def test_words_are_not_moved(spark):
+    """Documents and orders are dealt once, before words are made of them, and nothing that has words is written to the shared folder."""
+    for name, most in (("word_cells", 1), ("line_text", 1), ("line_clusters", 1), ("candidate_items", 1), ("header_fields", 2), ("extract_bills", 5), ("invoice_headers", 2), ("invoice_items", 2), ("invoice_totals", 2), ("off_line_words", 2)):
+        n, kept = exchanges(entry.queries()[name](spark, SF))
+        assert n <= most and not kept, name
+
+
+def test_a_stretch_higher_than_the_tolerance_is_folded_and_others_are_lines(spark):
+    tops = [0, 3, 6, 40, 50, 60, 70, 120]
+    words = spark.createDataFrame([("d", 0, i, f"w{i}", 90.0, 50 * i, t, 40, 20, 1, 1, 1) for i, t in enumerate(tops)], WORDS)
+    assert [r["line"] for r in layout.line_clusters(words).orderBy("word_ord").collect()] == [0, 0, 0, 1, 1, 2, 2, 3]
+
+
+def test_edits_and_changes_leave_no_checkpoint(spark, tmp_path):
+    """Judged edits are compressed files in the shared folder, and a change of a stored table leaves none of its own there."""
+    held, rows = storage.Stored(f"{tmp_path}/t", "k", 3), spark.range(10).selectExpr("id as k", "cast(id as string) as v")
+    held.write(rows)
+    held.replace(rows.where("k < 5"), rows.where("k < 3"), "one")
+    assert {r["k"] for r in held.read(spark).collect()} == {0, 1, 2, 5, 6, 7, 8, 9}
+    there = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [n for n in os.listdir(there) if n.startswith(("touched", "rows"))]
+    items = priced_items(spark, [(1, "a", 1, "Pen", "18", "2", "10.00")])
+    results = store.edit_items(some_bills(spark, 2), items, spark.createDataFrame([(1, 1, "add", None, "Nib", 3)], EDITS))[2]
+    assert not exchanges(results)[1] and [r["code"] for r in results.collect()] == [200]
